@@ -20,7 +20,7 @@ WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
 
 #: Bytes handled at once; temporary arrays take about 60 times as much.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -144,13 +144,37 @@ def whole(hashes: np.ndarray) -> int:
     return int(mix(np.array([(total + len(hashes) * 0xA0761D6478BD642F) & _MASK], dtype=U64))[0])
 
 
-def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct hashes of n-word shingles; a shorter sequence is one shingle, an empty one has none."""
-    if not len(hashes):
-        return hashes
-    if len(hashes) < n:
-        return np.array([whole(hashes)], dtype=U64)
-    return np.unique(windows(hashes, n))
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, values): values[first[i]:first[i+1]] are the sorted distinct n-word shingle hashes of row i, A-Z lowered.
+
+    A row of fewer words is one shingle; a row without words has none.
+    """
+    first, _, _, hashes = word_table(data, offsets, lower=True)
+    words = np.diff(first)
+    per_row = np.where(words >= n, words - n + 1, words > 0)
+    at = np.r_[0, np.cumsum(per_row)]
+    values = np.empty(at[-1], dtype=U64)
+    all_windows = windows(hashes, n)
+    long = np.flatnonzero(words >= n)
+    if len(long) == len(words):
+        pick = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], per_row)
+        values[:] = all_windows[pick]
+    else:
+        for i in np.flatnonzero(words):
+            values[at[i] : at[i + 1]] = all_windows[first[i] : first[i] + per_row[i]] if words[i] >= n else U64(whole(hashes[first[i] : first[i + 1]]))
+    for i in np.flatnonzero(per_row > 1):
+        values[at[i] : at[i + 1]].sort()
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[at[:-1][per_row > 0]] = True
+    return np.r_[0, np.cumsum(fresh)][at], values[fresh]
+
+
+def sums_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum modulo 2**64 of each row's values."""
+    total = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

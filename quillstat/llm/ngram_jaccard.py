@@ -1,7 +1,7 @@
 """Parity-sketch join: documents whose word-shingle sets have a Jaccard similarity of at least a threshold.
 
-Each set is spread over K hash classes; a class holds a 64-bit parity word, the
-XOR of one bit for each shingle in it. The Hamming distance of two sketches is
+Each set is spread over K hash classes; a class holds a wide parity word, the XOR
+of one bit for each shingle in it. The Hamming distance of two sketches is
 at most the symmetric difference d of the sets, so sets that differ in d
 shingles agree in at least K - d parity words. A link of similarity s needs
 d <= (1 - s) / (1 + s) * (a + b), hence the larger set of a pair meets the
@@ -42,7 +42,7 @@ def classes(low: int, num: int, den: int) -> int:
     if low < SMALL:
         return SMALL_CLASSES
     furthest = 2 * low * den // num + 2  # the largest set that can have a partner below 2 * low
-    return max(int((1.2 if low < 512 else 0.8) * low), _most(2 * low - 1, furthest, num, den) + 2)
+    return max(int((0.9 if low < 128 else 0.8) * low), _most(2 * low - 1, furthest, num, den) + 2)
 
 
 def _most(a: int, b: int, num: int, den: int) -> int:
@@ -50,60 +50,84 @@ def _most(a: int, b: int, num: int, den: int) -> int:
     return (den - num) * (a + b) // (den + num)
 
 
-def sketch(shingles: np.ndarray, low: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, parity words) of the classes whose parity is not zero."""
-    h = W.mix(shingles ^ W.U64(0x51ED270B35AE87F1 + low))
-    cls = ((h >> W.U64(32)) * W.U64(k) >> W.U64(32)).astype(np.int64)
-    order = np.argsort(cls, kind="stable")
-    cls, bits = cls[order], (W.U64(1) << (h[order] & W.U64(63)))
-    starts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-    parity = np.bitwise_xor.reduceat(bits, starts)
-    full = parity != 0
-    return cls[starts][full], parity[full]
-
-
-def _keys(low: int, cls: np.ndarray, parity: np.ndarray) -> np.ndarray:
-    return W.mix(W.mix(parity + W.U64(low)) ^ (cls.astype(W.U64) * W.U64(0x9FB21C651E98DF25)))
+def _sketches(values: np.ndarray, rows: np.ndarray, low: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, keys, set bits) of each row's classes that have a set bit.
 
-
-def _fullest(parity: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    if n >= len(keys):
-        return np.ones(len(keys), dtype=bool)
-    chosen = np.zeros(len(keys), dtype=bool)
-    chosen[np.lexsort((keys, -np.bitwise_count(parity).astype(np.int64)))[:n]] = True
+    ``rows``, ``low`` and ``k`` go with ``values``. A parity word is 2**32 bits
+    wide and nearly empty, so only the XOR of its set positions' codes is held:
+    equal words have equal codes, and a position set twice cancels as in the word.
+    """
+    h = W.mix(values ^ (W.U64(0x51ED270B35AE87F1) + low))
+    slot = (rows << 24) | ((h >> W.U64(32)) * k >> W.U64(32)).astype(np.int64)
+    order = np.argsort(slot)
+    slot, codes = slot[order], W.mix((h[order] & W.U64(0xFFFFFFFF)) + W.U64(1))
+    starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    parity, n = np.bitwise_xor.reduceat(codes, starts), np.diff(np.r_[starts, len(slot)])
+    full = parity != 0
+    starts, parity, n = starts[full], parity[full], n[full]
+    low = low[order[starts]]
+    keys = W.mix(W.mix(parity + low) ^ ((slot[starts] & 0xFFFFFF).astype(W.U64) * W.U64(0x9FB21C651E98DF25)))
+    return slot[starts] >> 24, keys, n
+
+
+def _fullest(rows: np.ndarray, keys: np.ndarray, bits: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether a key is among its row's ``most[row]`` ones with the most set bits, ties by key."""
+    order = np.lexsort((keys, -bits, rows))
+    sorted_rows = rows[order]
+    starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+    rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    chosen = np.empty(len(rows), dtype=bool)
+    chosen[order] = rank < most[sorted_rows]
     return chosen
 
 
-def signatures(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, roles, need) of a set. Roles: 1 indexed, 2 probing, 3 both; need: least number of its indexed classes that a partner shares."""
-    n = len(shingles)
-    low = 1 << (n.bit_length() - 1)
-    cls, parity = sketch(shingles, low, classes(low, num, den))
-    keys = _keys(low, cls, parity)
-    roles = 1 + 2 * _fullest(parity, keys, _most(n, n, num, den) + 1).astype(np.int8)
-    need = max(1, len(keys) - _most(n, n * den // num, num, den))
-    if low > 1 and (low - 1) * den >= num * n:
-        under = low // 2
-        cls, parity = sketch(shingles, under, classes(under, num, den))
-        down = _keys(under, cls, parity)
-        down = down[_fullest(parity, down, _most(low - 1, n, num, den) + 1)]
-        keys, roles = np.concatenate([keys, down]), np.concatenate([roles, np.full(len(down), 2, np.int8)])
-    return keys, roles.astype(np.int8), need
+def signatures(first: np.ndarray, values: np.ndarray, num: int, den: int):
+    """(rows, keys, roles, needs) of the sets values[first[i]:first[i+1]].
+
+    Roles: 1 indexed, 2 probing, 3 both. Need: the least number of its indexed
+    classes that a set must share to have a partner.
+    """
+    n = np.diff(first)
+    out = []
+    bands: dict[int, int] = {}
+    low_of, k_of, k_under = np.ones(len(n), np.int64), np.ones(len(n), np.int64), np.ones(len(n), np.int64)
+    for i in np.flatnonzero(n):
+        low = 1 << (int(n[i]).bit_length() - 1)
+        low_of[i] = low
+        for b in (low, low // 2):
+            if b and b not in bands:
+                bands[b] = classes(b, num, den)
+        k_of[i], k_under[i] = bands[low], bands.get(low // 2, 1)
+    every = np.repeat(np.arange(len(n)), n)
+    if not len(every):
+        return tuple(np.zeros(0, t) for t in (np.int64, W.U64, np.int8, np.int32))
+    rows, keys, bits = _sketches(values, every, low_of[every].astype(W.U64), k_of[every].astype(W.U64))
+    roles = 1 + 2 * _fullest(rows, keys, bits, _most(n, n, num, den) + 1)
+    need = np.maximum(1, np.bincount(rows, minlength=len(n)) - _most(n, n * den // num, num, den))
+    out.append((rows, keys, roles.astype(np.int8), need[rows].astype(np.int32)))
+    down = (low_of > 1) & ((low_of - 1) * den >= num * n)
+    if down.any():
+        part = down[every]
+        rows, keys, bits = _sketches(values[part], every[part], low_of[every[part]].astype(W.U64) >> W.U64(1), k_under[every[part]].astype(W.U64))
+        probing = _fullest(rows, keys, bits, _most(low_of - 1, n, num, den) + 1)
+        rows, keys = rows[probing], keys[probing]
+        out.append((rows, keys, np.full(len(rows), 2, np.int8), np.zeros(len(rows), np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def set_ids(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A hash of each whole set; the empty set has 0."""
+    n = np.diff(first)
+    ids = W.mix(W.sums_by_row(W.mix(values), first) ^ n.astype(W.U64))
+    ids[ids == 0] = 1
+    ids[n == 0] = 0
+    return W.signed(ids)
 
 
 def _sets(column: pa.Array, shingle: int):
-    """(row, sorted shingle hashes) of each row."""
+    """(first row, first, values) of each block of rows."""
     for lo, data, offsets in W.blocks(column):
-        first, _, _, hashes = W.word_table(data, offsets, lower=True)
-        for i in range(len(offsets) - 1):
-            yield lo + i, W.shingle_set(hashes[first[i] : first[i + 1]], shingle)
-
-
-def set_id(shingles: np.ndarray) -> int:
-    """A hash of the whole set; the empty set has 0."""
-    if not len(shingles):
-        return 0
-    return int(W.signed(W.mix(np.array([np.sum(W.mix(shingles), dtype=W.U64) ^ W.U64(len(shingles))], dtype=W.U64)))[0]) or 1
+        yield lo, *W.shingle_sets(data, offsets, shingle)
 
 
 def shingle_counts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -113,8 +137,9 @@ def shingle_counts(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
     def run(batches):
         for b in batches:
             n, sid = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for row, s in _sets(b.column(1), shingle):
-                n[row], sid[row] = len(s), set_id(s)
+            for lo, first, values in _sets(b.column(1), shingle):
+                hi = lo + len(first) - 1
+                n[lo:hi], sid[lo:hi] = np.diff(first), set_ids(first, values)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid)], ["id", "n_shingles", "set_id"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n_shingles long, set_id long")
@@ -124,23 +149,16 @@ def _signature_rows(docs: DataFrame, text_col: str, shingle: int, num: int, den:
     def run(batches):
         for b in batches:
             seen: set[int] = set()
-            keys, roles, needs, ids, held = [], [], [], [], 0
-            for _, s in _sets(b.column(0), shingle):
-                if not len(s) or (sid := set_id(s)) in seen:
-                    continue
-                seen.add(sid)
-                k, r, need = signatures(s, num, den)
-                keys.append(k), roles.append(r)
-                needs.append(np.full(len(k), need, np.int32)), ids.append(np.full(len(k), sid, np.int64))
-                held += len(k)
-                if held > 200_000:
-                    yield _rows(keys, ids, roles, needs)
-                    keys, roles, needs, ids, held = [], [], [], [], 0
-            if held:
-                yield _rows(keys, ids, roles, needs)
-
-    def _rows(keys, ids, roles, needs):
-        return pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(keys))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(needs))], ["key", "sid", "role", "need"])
+            for _, first, values in _sets(b.column(0), shingle):
+                sids = set_ids(first, values)
+                rows, keys, roles, needs = signatures(first, values, num, den)
+                new = np.zeros(len(sids), bool)
+                for i, sid in enumerate(sids.tolist()):
+                    new[i] = sid not in seen
+                    seen.add(sid)
+                keep = new[rows]
+                rows = rows[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(keys[keep])), pa.array(sids[rows]), pa.array(roles[keep]), pa.array(needs[keep])], ["key", "sid", "role", "need"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, sid long, role tinyint, need int")
 
@@ -200,16 +218,10 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int
 
     def run(batches):
         for b in batches:
-            sids, sets, held = [], [], 0
-            for _, s in _sets(b.column(0), shingle):
-                if len(s):
-                    sids.append(set_id(s)), sets.append(s.tobytes())
-                    held += len(sets[-1])
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "s"])
-                    sids, sets, held = [], [], 0
-            if sids:
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "s"])
+            for _, first, values in _sets(b.column(0), shingle):
+                have = np.flatnonzero(np.diff(first))
+                raw = [values[first[i] : first[i + 1]].tobytes() for i in have]
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(first, values)[have]), pa.array(raw, pa.binary())], ["sid", "s"])
 
     texts = docs.join(small(wanted.select(F.col("id").alias("_wanted"))), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
     return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "sid long, s binary").join(wanted.select("sid"), "sid", "left_semi")
