@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 from quillstat.llm import curriculum, warc
 from quillstat.llm.exact_dedup import exact_groups, normalised
 from quillstat.llm.ngram_jaccard import jaccard_components
+from quillstat.llm.substring_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,6 +39,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_curriculum_mix": op6_curriculum_mix,
@@ -57,6 +64,16 @@ c(node, root) as (select doc_id, doc_id from n union select g.v, c.root from c j
 select n.doc_id, n_shingles, min(root) as component_id from n join c on c.node = n.doc_id group by 1, 2
 """
 
+SUBSTRING_SQL = r"""
+with w as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents),
+x as (select r, s, array_to_string(w[s:s+34], ' ') as g from w, unnest(range(1, len(w) - 33)) as t(s)),
+g as (select g from x group by g having count(*) > 1),
+c as (select distinct r, p from (select r, unnest(range(s, s + 35)) as p from x semi join g on x.g = g.g)),
+k as (select r, list(p) as gone, count(*) as n from c group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(k.n, 0)::bigint as n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256 from w left join k on k.r = w.r
+"""
+
 WARC_SQL = r"""
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
 d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as h, min(page_id) over (partition by sha256(b)) as f from p)
@@ -66,6 +83,7 @@ select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": SUBSTRING_SQL,
     "op3_warc": WARC_SQL,
     "op5_exact_dedup": EXACT_SQL,
     "op6_curriculum_mix": curriculum.MIX_SQL.format(docs="documents"),
