@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillstat.llm._tables import store
 
 WORD_SEPARATORS = "[ \\t\\n\\x0B\\f\\r]+"
+NON_SEPARATOR = "[^ \\t\\n\\x0B\\f\\r]"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Knots (time, rate) of the schedules of the sources in order, repeating: early, even, late.
@@ -25,8 +26,9 @@ BIN_DIGITS = 3
 
 def word_count(text: Column) -> Column:
     """Number of words; null counts 0."""
-    trimmed = F.regexp_replace(text, f"^{WORD_SEPARATORS}|{WORD_SEPARATORS}$", "")
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WORD_SEPARATORS))).cast("long")
+    text = F.coalesce(text, F.lit(""))
+    edge = lambda at: F.substring(text, at, 1).rlike(WORD_SEPARATORS).cast("int")
+    return F.when(text.rlike(NON_SEPARATOR), F.size(F.split(text, WORD_SEPARATORS)) - edge(1) - edge(-1)).otherwise(0).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstat.llm._tables import lower_az, small, store
 
-#: Bytes that the second step hashes.
+#: Characters that the second step hashes.
 PREFIX = 64
 
 
@@ -31,14 +31,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are joined by a shuffle.
     """
     carry = carry or {}
-    base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_t"), *[c.alias(f"_carry_{k}") for k, c in carry.items()])
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"), *[c.alias(f"_carry_{k}") for k, c in carry.items()])
     base = base.withColumn("_len", F.octet_length("_t"))
     lengths = store(base.groupBy(F.col("_len").alias("_l1")).agg(F.count("*").alias("_n1")).where("_n1 > 1").select("_l1"), "lengths")
     step1 = base.join(small(lengths), F.col("_len") == F.col("_l1"), "left")
-    step1 = step1.withColumn("_prefix", F.when(F.col("_l1").isNotNull(), F.xxhash64(F.substring(F.col("_t").cast("binary"), 1, PREFIX))))
+    step1 = step1.withColumn("_prefix", F.when(F.col("_l1").isNotNull(), F.xxhash64(lower_az(F.substring("_t", 1, PREFIX)))))
     prefixes = store(step1.where("_prefix is not null").groupBy(F.col("_len").alias("_l2"), F.col("_prefix").alias("_p2")).agg(F.count("*").alias("_n2")).where("_n2 > 1").select("_l2", "_p2"), "prefixes")
     step2 = step1.join(small(prefixes), (F.col("_len") == F.col("_l2")) & (F.col("_prefix") == F.col("_p2")), "left")
-    rows = step2.select("_id", "_len", F.coalesce("_prefix", F.lit(0)).alias("_prefix"), F.when(F.col("_p2").isNotNull(), F.unhex(F.sha2(F.col("_t").cast("binary"), 256))).alias("full_hash"), *[f"_carry_{k}" for k in carry])
+    rows = step2.select("_id", "_len", F.coalesce("_prefix", F.lit(0)).alias("_prefix"), F.when(F.col("_p2").isNotNull(), F.unhex(F.sha2(lower_az(F.col("_t")).cast("binary"), 256))).alias("full_hash"), *[f"_carry_{k}" for k in carry])
     key = ["_len", "_prefix", "full_hash"]
     # Rows that repeat id and text are counted here and dealt out again below.
     own = store(rows.groupBy("_id", *key).agg(F.count("*").alias("_times"), *[F.first(f"_carry_{k}").alias(f"_carry_{k}") for k in carry]), "text-keys")

@@ -7,15 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm import curriculum, warc
+from quillstat.llm._tables import crc_mod
 from quillstat.llm.exact_dedup import exact_groups, normalised
 from quillstat.llm.ngram_jaccard import jaccard_components
+from quillstat.llm.quality import score_quality
 from quillstat.llm.substring_dedup import remove_repeats
+from quillstat.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _verdict(scored: DataFrame, score: str, held_out, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _verdict(scored, "toxicity_score", held_out, 0.7)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -34,15 +48,24 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _verdict(scored, "quality_score", held_out, 0.3)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_curriculum_mix": op6_curriculum_mix,
+    "op8_quality": op8_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
