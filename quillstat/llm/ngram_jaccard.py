@@ -283,3 +283,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = named.join(least, "component").select("set_id", "component_id")
     out = counts.join(named, "set_id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """docs with only the least id of each linked component, all columns unchanged.
+
+    Rows without shingles stay. Of rows that repeat the least id, all stay.
+    """
+    comp = jaccard_components(docs, id_col, text_col, shingle, num, den)
+    gone = store(comp.where(F.col("n_shingles") > 0).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
+    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)

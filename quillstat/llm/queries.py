@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from quillstat.llm import curriculum, warc
 from quillstat.llm._tables import crc_mod
+from quillstat.llm.decontaminate import contaminated
 from quillstat.llm.exact_dedup import exact_groups, normalised
+from quillstat.llm.html_text import extract
 from quillstat.llm.ngram_jaccard import jaccard_components
 from quillstat.llm.quality import score_quality
 from quillstat.llm.substring_dedup import remove_repeats
@@ -48,6 +50,10 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +61,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(scored, "quality_score", held_out, 0.3)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -65,7 +75,9 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_curriculum_mix": op6_curriculum_mix,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op9_html_text": op9_html_text,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
