@@ -5,17 +5,18 @@ of one bit for each shingle in it. The Hamming distance of two sketches is
 at most the symmetric difference d of the sets, so sets that differ in d
 shingles agree in at least K - d parity words. A link of similarity s needs
 d <= (1 - s) / (1 + s) * (a + b), hence the larger set of a pair meets the
-smaller one in at least one of *any* D + 1 of its own classes: it probes the
-D + 1 fullest ones, and the other side is indexed by all its non-empty classes.
+smaller one in at least one of *any* D + 1 of its own classes: it probes the D + 1 rarest ones,
+and the other side is indexed by all its non-empty classes.
 
 K depends on the size band [2^j, 2^(j+1)); a set that lies low in its band also
-probes the band below. A set that meets too few shared classes to have a
-partner at all drops out before pairs are formed, which keeps passages that
-many documents share from making pairs.
-
-Pairs are formed twice: first each shared class is linked as a star to its least
-member; then, with the components of the verified links at hand, every
-probe-index pair of a class that still crosses components. So a class of n near
+probes the band below. Classes that only one set has count among the rarest, so a
+set with more than D of them probes nothing, and a set that shares too few classes
+to have a partner is not indexed. So passages that many documents share
+make no pairs.
+
+Pairs are formed twice: first each set is paired with the least and the greatest
+member of a few of its classes; then, with the components of the verified links
+at hand, every probe-index pair that still crosses components. So a class of n near
 copies makes about n pairs, and no link between different components is lost.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.llm import _words as W
@@ -33,8 +34,8 @@ from quillstat.llm.components import connected_components
 #: Sets below this size get so many classes that each shingle has its own.
 SMALL = 64
 SMALL_CLASSES = 4096
-#: Of the shared classes, one in so many takes part in the first round.
-STAR_SHARE = 8
+#: A set's classes that take part in the first round: so many of the most frequent and of the rarest.
+STARS = 3
 
 
 def classes(low: int, num: int, den: int) -> int:
@@ -50,8 +51,8 @@ def _most(a: int, b: int, num: int, den: int) -> int:
     return (den - num) * (a + b) // (den + num)
 
 
-def _sketches(values: np.ndarray, rows: np.ndarray, low: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, keys, set bits) of each row's classes that have a set bit.
+def _sketches(values: np.ndarray, rows: np.ndarray, low: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of each row's classes that have a set bit.
 
     ``rows``, ``low`` and ``k`` go with ``values``. A parity word is 2**32 bits
     wide and nearly empty, so only the XOR of its set positions' codes is held:
@@ -62,30 +63,18 @@ def _sketches(values: np.ndarray, rows: np.ndarray, low: np.ndarray, k: np.ndarr
     order = np.argsort(slot)
     slot, codes = slot[order], W.mix((h[order] & W.U64(0xFFFFFFFF)) + W.U64(1))
     starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    parity, n = np.bitwise_xor.reduceat(codes, starts), np.diff(np.r_[starts, len(slot)])
-    full = parity != 0
-    starts, parity, n = starts[full], parity[full], n[full]
+    parity = np.bitwise_xor.reduceat(codes, starts)
+    starts, parity = starts[parity != 0], parity[parity != 0]
     low = low[order[starts]]
     keys = W.mix(W.mix(parity + low) ^ ((slot[starts] & 0xFFFFFF).astype(W.U64) * W.U64(0x9FB21C651E98DF25)))
-    return slot[starts] >> 24, keys, n
-
-
-def _fullest(rows: np.ndarray, keys: np.ndarray, bits: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether a key is among its row's ``most[row]`` ones with the most set bits, ties by key."""
-    order = np.lexsort((keys, -bits, rows))
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-    rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-    chosen = np.empty(len(rows), dtype=bool)
-    chosen[order] = rank < most[sorted_rows]
-    return chosen
+    return slot[starts] >> 24, keys
 
 
 def signatures(first: np.ndarray, values: np.ndarray, num: int, den: int):
-    """(rows, keys, roles, needs) of the sets values[first[i]:first[i+1]].
+    """(rows, keys, infos) of the sets values[first[i]:first[i+1]]: a key for each class with a set bit.
 
-    Roles: 1 indexed, 2 probing, 3 both. Need: the least number of its indexed
-    classes that a set must share to have a partner.
+    Info packs the set's size, its number of such classes and whether the key is
+    of the band below (1) or its own (0): size << 32 | classes << 1 | below.
     """
     n = np.diff(first)
     out = []
@@ -100,18 +89,13 @@ def signatures(first: np.ndarray, values: np.ndarray, num: int, den: int):
         k_of[i], k_under[i] = bands[low], bands.get(low // 2, 1)
     every = np.repeat(np.arange(len(n)), n)
     if not len(every):
-        return tuple(np.zeros(0, t) for t in (np.int64, W.U64, np.int8, np.int32))
-    rows, keys, bits = _sketches(values, every, low_of[every].astype(W.U64), k_of[every].astype(W.U64))
-    roles = 1 + 2 * _fullest(rows, keys, bits, _most(n, n, num, den) + 1)
-    need = np.maximum(1, np.bincount(rows, minlength=len(n)) - _most(n, n * den // num, num, den))
-    out.append((rows, keys, roles.astype(np.int8), need[rows].astype(np.int32)))
+        return tuple(np.zeros(0, t) for t in (np.int64, W.U64, np.int64))
     down = (low_of > 1) & ((low_of - 1) * den >= num * n)
-    if down.any():
-        part = down[every]
-        rows, keys, bits = _sketches(values[part], every[part], low_of[every[part]].astype(W.U64) >> W.U64(1), k_under[every[part]].astype(W.U64))
-        probing = _fullest(rows, keys, bits, _most(low_of - 1, n, num, den) + 1)
-        rows, keys = rows[probing], keys[probing]
-        out.append((rows, keys, np.full(len(rows), 2, np.int8), np.zeros(len(rows), np.int32)))
+    for below, part in ((0, np.ones(len(every), bool)), (1, down[every])):
+        if part.any():
+            low, k = (low_of, k_of) if not below else (low_of // 2, k_under)
+            rows, keys = _sketches(values[part], every[part], low[every[part]].astype(W.U64), k[every[part]].astype(W.U64))
+            out.append((rows, keys, (n[rows] << 32) | (np.bincount(rows, minlength=len(n))[rows] << 1) | below))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -151,26 +135,26 @@ def _signature_rows(docs: DataFrame, text_col: str, shingle: int, num: int, den:
             seen: set[int] = set()
             for _, first, values in _sets(b.column(0), shingle):
                 sids = set_ids(first, values)
-                rows, keys, roles, needs = signatures(first, values, num, den)
+                rows, keys, infos = signatures(first, values, num, den)
                 new = np.zeros(len(sids), bool)
                 for i, sid in enumerate(sids.tolist()):
                     new[i] = sid not in seen
                     seen.add(sid)
                 keep = new[rows]
                 rows = rows[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(W.signed(keys[keep])), pa.array(sids[rows]), pa.array(roles[keep]), pa.array(needs[keep])], ["key", "sid", "role", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(keys[keep])), pa.array(sids[rows]), pa.array(infos[keep])], ["key", "sid", "info"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, sid long, role tinyint, need int")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, sid long, info long")
 
 
 def _shared(batches):
-    """Of rows sorted by (key, sid): those of keys with two sets or more, one of them probing. Holds one batch and one row."""
+    """Of rows sorted by (key, sid): those of keys with two sets or more. Holds one batch and one row."""
     carry = None  # last row of a key that has no second set yet
     open_key = None  # key whose rows are all to be passed on
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(i).to_numpy() for i in range(4)]
+        cols = [b.column(i).to_numpy() for i in range(3)]
         if carry is not None:
             cols = [np.concatenate([c, x]) for c, x in zip(carry, cols, strict=True)]
         key, sid = cols[0], cols[1]
@@ -187,7 +171,7 @@ def _shared(batches):
             open_key, carry = key[-1], None
             # a repeat of the last row may open the next batch; it is dropped by the reader's distinct
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "sid", "role", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "sid", "info"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -238,12 +222,18 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = store(shingle_counts(docs, "_id", text_col, shingle), "shingle-counts")
     rows = _signature_rows(docs, text_col, shingle, num, den).repartition("key").sortWithinPartitions("key", "sid")
     shared = store(rows.mapInArrow(_shared, rows.schema), "shared-classes")
-    able = shared.where("role <> 2").groupBy("sid").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("sid")
-    able = able.withColumn("indexed", F.lit(True))
-    # A set that only probes the band below is not counted there, so probing rows stay.
-    live = store(shared.join(able, "sid", "left").where("role >= 2 or indexed").withColumn("index", F.expr("role <> 2 and indexed is not null")).select("key", "sid", "role", "index"), "live-classes")
-    star = live.where(F.pmod(F.xxhash64("key"), F.lit(STAR_SHARE)) == 0)
-    hubs = star.where("index").groupBy("key").agg(F.min("sid").alias("hub"))
+    sizes = shared.groupBy("key").agg(F.count("*").alias("size"))
+    gap, whole = den - num, den + num
+    low = "cast(power(2, floor(log2(n))) as bigint)"
+    known = shared.join(sizes, "key").selectExpr("key", "sid", "size", "shiftright(info, 32) as n", "shiftright(info & 4294967295, 1) as classes", "info & 1 as below")
+    mine = Window.partitionBy("sid", "below")
+    known = known.withColumns({"met": F.count("*").over(mine), "rarest": F.row_number().over(mine.orderBy("size", "key")), "commonest": F.row_number().over(mine.orderBy(F.desc("size"), "key"))})
+    most = F.expr(f"{gap} * (n + if(below = 1, {low} - 1, n)) div {whole}")
+    furthest = F.expr(f"{gap} * (n + n * {den} div {num}) div {whole}")
+    known = known.withColumn("probe", F.col("rarest") <= most + 1 - (F.col("classes") - F.col("met"))).withColumn("index", (F.col("below") == 0) & (F.col("met") >= F.col("classes") - furthest))
+    live = store(known.where("probe or index").select("key", "sid", "probe", "index", ((F.col("rarest") <= STARS) | (F.col("commonest") <= STARS)).alias("star")), "live-classes")
+    star = live.where("star")
+    hubs = star.where("index").groupBy("key").agg(F.min("sid").alias("least"), F.max("sid").alias("greatest")).select("key", F.explode(F.array("least", "greatest")).alias("hub"))
     pairs = star.join(hubs, "key").where("hub <> sid").select(F.greatest("hub", "sid").alias("v"), F.least("hub", "sid").alias("u")).distinct()
     first = _check(docs, counts, pairs, text_col, shingle, num, den)
     comp = connected_components(first)
@@ -251,7 +241,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_rows = store(label.join(mixed, "key", "left_semi"), "open-classes")
     index = open_rows.where("index").select("key", F.col("sid").alias("y"), F.col("component").alias("cy"))
-    rest = open_rows.where("role >= 2").join(index, "key").where("sid <> y and component <> cy").select(F.least("sid", "y").alias("u"), F.greatest("sid", "y").alias("v")).distinct()
+    rest = open_rows.where("probe").join(index, "key").where("sid <> y and component <> cy").select(F.least("sid", "y").alias("u"), F.greatest("sid", "y").alias("v")).distinct()
     sizes = counts.select("set_id", "n_shingles").distinct()
     rest = rest.join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v").where(F.expr(f"{den} * least(nu, nv) >= {num} * greatest(nu, nv)")).select("u", "v")
     second = _check(docs, counts, rest, text_col, shingle, num, den)
