@@ -143,13 +143,13 @@ def _slot(item):
 
 
 def folded(items: list) -> list:
-    """Adjacent repeats of up to six items, slots apart, become repeated groups."""
+    """Adjacent repeats of up to six items that hold slots only become repeated groups."""
     for width in (1, 2, 3, 4, 6):
         out, i = [], 0
         while i < len(items):
             unit = [_slot(x) for x in items[i : i + width]]
             n = 1
-            while len(unit) == width and [_slot(x) for x in items[i + n * width : i + (n + 1) * width]] == unit:
+            while len(unit) == width and unit == items[i : i + width] and [_slot(x) for x in items[i + n * width : i + (n + 1) * width]] == unit == items[i + n * width : i + (n + 1) * width]:
                 n += 1
             body = items[i][1] if width == 1 and isinstance(items[i], list) and items[i][0] == "+" else None
             if n > 1:
@@ -169,7 +169,7 @@ def _shape(item) -> str:
 
 
 def aligned(a: list, b: list) -> list:
-    """The wrapper that covers both: equal shapes meet (texts that differ turn into slots), others become optional."""
+    """The wrapper that covers both: equal shapes meet (texts that differ turn into slots), others become optional slots."""
     x = [i[1] if isinstance(i, list) and i[0] == "?" else [i] for i in a]
     y = [i[1] if isinstance(i, list) and i[0] == "?" else [i] for i in b]
     shape_x, shape_y = (["\0".join(map(_shape, g)) for g in s] for s in (x, y))
@@ -181,7 +181,7 @@ def aligned(a: list, b: list) -> list:
                 optional = isinstance(a[p], list) and a[p][0] == "?" or isinstance(b[q], list) and b[q][0] == "?"
                 out += [["?", body]] if optional else body
         else:
-            out += [["?", g] for g in x[i:j]] + [["?", g] for g in y[k:m]]
+            out += [["?", [_slot(u) for u in g]] for g in (*x[i:j], *y[k:m])]
     return folded(out)
 
 
@@ -195,7 +195,8 @@ def literals(wrapper: list) -> set[str]:
 
 def main_text(found: list[tuple[str, bool, bool, str]], template: set[str] = frozenset()) -> str:
     has_article = any(a and not o for _, a, o, _ in found)
-    return "\n".join(t for path, a, o, t in found if not o and (a if has_article else f"{path}|{t}" not in template))
+    own = [t for path, a, o, t in found if not o and (a if has_article else f"{path}|{t}" not in template)]
+    return "\n".join(own or [t for _, _, o, t in found if not o])  # pages that are all alike are no template
 
 
 def host(url):
@@ -227,7 +228,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                         old[1] = aligned(old[1], s)[:WRAPPER_TOKENS]
             yield pa.RecordBatch.from_arrays([pa.array(list(have)), pa.array([v[0] for v in have.values()], pa.int64()), pa.array([json.dumps(v[1]) for v in have.values()])], ["host", "pages", "wrapper"])
 
-    def join(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def join(key, rows):
         rows = rows.sort_values(["pages", "wrapper"])
         wrapper = json.loads(rows["wrapper"].iloc[0])
         for w in rows["wrapper"].iloc[1:]:
