@@ -17,7 +17,8 @@ def moments(x: Column, w: Column) -> dict[str, Column]:
     ok = x.isNotNull()
     w = F.when(ok, w).otherwise(0.0)
     x0 = F.coalesce(x, F.lit(0.0))
-    n, s1, s2, s3, s4 = (F.sum(w * x0**k) if k else F.sum(w) for k in range(5))
+    x2 = x0 * x0
+    n, s1, s2, s3, s4 = F.sum(w), F.sum(w * x0), F.sum(w * x2), F.sum(w * x2 * x0), F.sum(w * x2 * x2)
     mean = F.try_divide(s1, n)
     d2 = F.greatest(s2 - n * mean**2, F.lit(0.0))
     d3 = s3 - 3 * mean * s2 + 2 * n * mean**3
