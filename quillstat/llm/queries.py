@@ -11,6 +11,7 @@ from quillstat.llm._tables import crc_mod
 from quillstat.llm.decontaminate import contaminated
 from quillstat.llm.exact_dedup import exact_groups, normalised
 from quillstat.llm.html_text import extract
+from quillstat.llm.licenses import LICENSE_SQL, scan_licenses, template_table
 from quillstat.llm.ngram_jaccard import jaccard_components
 from quillstat.llm.quality import score_quality
 from quillstat.llm.substring_dedup import remove_repeats
@@ -41,6 +42,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), template_table(spark))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     return exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": digest}).drop("full_hash")
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
+    "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_curriculum_mix": op6_curriculum_mix,
     "op7_decontaminate": op7_decontaminate,
@@ -120,6 +126,7 @@ select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_SQL,
     "op3_warc": WARC_SQL,
+    "op4_license_scan": LICENSE_SQL,
     "op5_exact_dedup": EXACT_SQL,
     "op6_curriculum_mix": curriculum.MIX_SQL.format(docs="documents"),
     "op10_ngram_jaccard": JACCARD_SQL,

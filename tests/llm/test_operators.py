@@ -15,6 +15,7 @@ from quillstat.llm.components import connected_components
 from quillstat.llm.decontaminate import contaminated
 from quillstat.llm.exact_dedup import drop_copies, exact_groups
 from quillstat.llm.html_text import aligned, extract, folded, literals
+from quillstat.llm.licenses import _MIT, TEMPLATES, scan_licenses, template_table
 from quillstat.llm.ngram_jaccard import drop_near_copies, jaccard_components
 from quillstat.llm.quality import score_quality
 from quillstat.llm.toxicity import score_toxicity
@@ -137,6 +138,49 @@ def test_warc_round_trip(spark):
     assert {r["record_type"] for r in warc.parsed(warc.read_records(spark, path)).collect()} == {"response"}
 
 
+def license_brute(text, parts, dice=90):
+    """Matches of a text by plain Python sets: (kind, number, license, part, dice)."""
+
+    def clean(t):
+        t = (t or "").translate(AZ).replace("licence", "license")
+        return re.sub(r"(^|\n)[^a-z0-9\n]*copyright[ \t]+(\(c\)|©|[0-9])[^\n]*", "\n", t).strip(" \t\r\n")
+
+    def pairs(t):
+        w = re.findall("[a-z0-9]+", t)
+        return set(zip(w, w[1:], strict=False))
+
+    def paragraphs(t):
+        return re.split(r"\n(?:[ \t\r]*\n)+", t)
+
+    if parts is None:
+        return [(name, k, pairs(x)) for name, t in sorted({(n, clean(t)) for n, t in TEMPLATES}) for k, x in enumerate([t, *(paragraphs(t) if len(paragraphs(t)) > 1 else [])])]
+    x = clean(text)
+    units = [("line", i, u) for i, u in enumerate(x.split("\n"), 1)] + [("paragraph", i, u) for i, u in enumerate(paragraphs(x), 1) if "\n" in u] + [("text", 1, x)] * (len(paragraphs(x)) > 1)
+    out = []
+    for kind, i, u in units:
+        a = pairs(u)
+        found = [(kind, i, name, k, round(2 * len(a & b) / (len(a) + len(b)), 9)) for name, k, b in parts if a and b and 200 * len(a & b) >= dice * (len(a) + len(b))]
+        out += [m for m in found if m[-1] == max(x[-1] for x in found)]
+    return out
+
+
+def test_license_scan(spark):
+    mit = "MIT Licence\n\nCopyright (c) 2020 A. Person\n© x\n\n" + re.sub(r"(.{60}\S*) ", r"\1\n", _MIT)
+    texts = [mit, "story\n\n" + mit + "\n\nend", mit.replace("merge", "blend").upper(), "Prose.\nReleased under the MIT License.\nMore é prose.", "Released under the mit licence", "Released under an MIT-like License.",
+             "Licensed under CC BY-NC 4.0.\r\n\r\nLicensed under CC BY 4.0.\nLicensed under CC BY 4.0.", None, "", " \n\n ", "word", "long prose " * 30000 + "\n" + TEMPLATES[5][1]]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "y"), (None, texts[4], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license_id string")
+    parts = license_brute(None, None)
+    want = sorted((str(i), *m) for i, t, _ in rows for m in license_brute(t, parts))
+    found = scan_licenses(docs, template_table(spark))
+    got = sorted((str(r["doc_id"]), r["unit_kind"], r["unit_no"], r["license_id"], r["template_part"], round(r["dice"], 9)) for r in found.collect())
+    assert got == want
+    names = {(r[0], r[3]) for r in got}
+    assert {("0", "MIT"), ("1", "MIT"), ("2", "MIT"), ("3", "MIT"), ("4", "MIT"), ("6", "CC-BY-NC-4.0"), ("6", "CC-BY-4.0"), ("11", "Apache-2.0")} <= names
+    assert not {i for i, _ in names} & {"5", "7", "8", "9", "10"}
+    assert scan_licenses(docs.limit(0), template_table(spark)).count() == scan_licenses(docs, template_table(spark).limit(0)).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(900)]
