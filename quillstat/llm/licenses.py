@@ -76,11 +76,23 @@ def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, HOLDER, "\n"), F.lit(EDGES))
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring words of a cleaned text; a word is a run of a-z and 0-9."""
-    words = F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+def words(text: Column) -> Column:
+    """Words of a cleaned text: runs of a-z and 0-9."""
+    return F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
+
+
+def bigrams(w: str) -> Column:
+    """Distinct pairs of neighbouring words of the column ``w``."""
+    return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _anchors(template: str, dice: int) -> Column:
+    """The longer word of so many bigrams that a match must have one of them; those with the longest words, as these are rare."""
+    n = F.size(template)
+    need = F.floor((dice * n + (199 - dice)) / (200 - dice))
+    longer = F.transform(template, lambda g: F.when(F.length(F.substring_index(g, " ", 1)) >= F.length(F.substring_index(g, " ", -1)), F.substring_index(g, " ", 1)).otherwise(F.substring_index(g, " ", -1)))
+    ranked = F.array_sort(F.transform(longer, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(ranked, 1, (n - need + 1).cast("int")), lambda r: r["w"])
 
 
 def _units(kind: str, texts: Column) -> Column:
@@ -104,7 +116,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     The coefficient 2s / (a + b) can reach the threshold only if the smaller set
     has at least dice / (200 - dice) of the larger one's size. Parts are listed
     by each unit size that this allows, and a unit meets the list of its own size
-    by equality. Texts are not shuffled while the templates are small enough
+    by equality. A match shares so many bigrams with its part that it has one of
+    any few of them; only units with the longer word of one of these are turned
+    into bigrams. Texts are not shuffled while the templates are small enough
     to broadcast, which is checked; beyond that, the joins shuffle.
 
     Null and empty texts, and units and parts of fewer than two words, match
@@ -118,7 +132,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     whole = F.array(F.struct(F.lit(0).alias("template_part"), F.col("x").alias("x")))
     parts = F.when(F.size(_paragraphs()) > 1, F.transform(_paragraphs(), lambda p, i: F.struct((i + 1).alias("template_part"), p.alias("x")))).otherwise(F.array().cast("array<struct<template_part:int,x:string>>"))
     source = source.select("template_no", "license_id", F.inline(F.concat(whole, parts)))
-    source = store(source.select("template_no", "license_id", "template_part", bigrams(F.col("x")).alias("template")).withColumn("n_template", F.size("template")).where("n_template > 0"), "license-templates")
+    source = store(source.select("template_no", "license_id", "template_part", words(F.col("x")).alias("w")).select("template_no", "license_id", "template_part", bigrams("w").alias("template")).withColumn("n_template", F.size("template")).where("n_template > 0"), "license-templates")
     least = F.floor((dice * F.col("n_template") + (199 - dice)) / (200 - dice)).cast("int")
     most = F.floor((200 - dice) * F.col("n_template") / dice).cast("int")
     part = F.struct("license_id", "template_no", "template_part", "template", "n_template")
@@ -126,11 +140,16 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     chars = F.aggregate("_parts", F.lit(0), lambda n, p: n + F.length(F.concat_ws(" ", p["template"])))
     held = by_size.agg(F.coalesce(F.sum(chars), F.lit(0)).alias("chars"), F.coalesce(F.min("_size"), F.lit(1)).alias("least")).first()
     lines = F.split("x", "\n", -1)
-    several = F.filter(_units("paragraph", _paragraphs()), lambda u: F.instr(u["x"], "\n") > 0)
-    text = F.when(F.size(_paragraphs()) > 1, _units("text", F.array("x"))).otherwise(F.filter(_units("text", F.array("x")), lambda u: F.lit(False)))
-    units = docs.select(F.col(id_col).alias("_id"), cleaned(F.col(text_col)).alias("x")).select("_id", F.inline(F.concat(_units("line", lines), several, text)))
+    several = F.filter(_units("paragraph", F.col("p")), lambda u: F.instr(u["x"], "\n") > 0)
+    text = F.filter(_units("text", F.array("x")), lambda u: F.size("p") > 1)
+    units = docs.select(F.col(id_col).alias("_id"), cleaned(F.col(text_col)).alias("x")).select("_id", "x", _paragraphs().alias("p"))
+    units = units.select("_id", F.inline(F.concat(_units("line", lines), several, text)))
     # n distinct bigrams take n + 1 words, so 2n + 1 characters at least.
-    units = units.where(F.length("x") >= 2 * held.least + 1).select("_id", "unit_kind", "unit_no", bigrams(F.col("x")).alias("_unit")).withColumn("n_unit", F.size("_unit"))
+    units = units.where(F.length("x") >= 2 * held.least + 1).select("_id", "unit_kind", "unit_no", words(F.col("x")).alias("_words"))
+    if held.chars <= BROADCAST_CHARS:
+        anchors = source.select(F.explode(_anchors("template", dice)).alias("a")).agg(F.sort_array(F.collect_set("a"))).first()[0]
+        units = units.where(F.arrays_overlap("_words", F.lit(anchors or [""])))
+    units = units.select("_id", "unit_kind", "unit_no", bigrams("_words").alias("_unit")).withColumn("n_unit", F.size("_unit"))
     met = units.join(F.broadcast(by_size) if held.chars <= BROADCAST_CHARS else by_size, F.col("n_unit") == F.col("_size"))
     scored = F.transform("_parts", lambda p: F.struct(p["license_id"].alias("license_id"), p["template_no"].alias("template_no"), p["template_part"].alias("template_part"), F.size(F.array_intersect("_unit", p["template"])).alias("n_shared"), p["n_template"].alias("n_template")))
     close = F.filter(scored, lambda p: 200 * p["n_shared"] >= dice * (F.col("n_unit") + p["n_template"]))
