@@ -4,13 +4,14 @@ Every window of ``window`` words has one anchor, the ``anchor``-word gram inside
 it with the least hash. Equal windows have equal anchors at equal offsets, so a
 window can only recur if its anchor's fingerprint does.
 
-The index keeps (fingerprint, count) in sorted immutable runs, one a batch. A
-new batch is merge-joined with the runs to find the fingerprints that recur,
-and runs are compacted by merging when there are too many. Documents are then
-resolved against the index: anchors with a recurring fingerprint bring the
-hashes of their windows, which are verified within each fingerprint. Groups
-too large to hold are dealt out again by window hash and streamed, so a passage
-in a third of all documents takes no more memory than any other.
+The index keeps (fingerprint, n, wins) in sorted immutable runs, one a batch: wins
+holds the keys of all windows of an anchor, each of which occurs n times there. A
+key is a 64-bit hash of the window's words and 32 bits of a second, independent
+one. Runs are compacted by merging when there are too many. Once a batch is
+ingested, its documents are joined by fingerprint with the windows that occur
+twice or more in all runs, so a copy in any earlier batch counts. Fingerprints
+with too many windows to hold are dealt out by window key, so a passage in a third
+of all documents takes no more memory than any other.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm import _words as W
-from quillstat.llm._tables import BROADCAST_ROWS, forget, new_path, store
+from quillstat.llm._tables import BROADCAST_ROWS, forget, new_path, small, store
 
 WINDOW = 35
 ANCHOR = 12
 #: Bits of a packed minimum that hold the position within a block.
 _POS = 26
-#: Windows of one fingerprint that a task holds at once; more are dealt out by window hash.
+#: Windows of one fingerprint that a task holds at once; more are dealt out by window key.
 HELD = 100_000
+#: Repeated windows of one fingerprint that go to each of its anchors; more are joined window by window.
+PACKED = 256
+#: Bytes of a window's key.
+KEY = 12
 #: Runs above which the index merges them all into one.
 FAN_IN = 4
 
@@ -69,19 +74,13 @@ def _blocks(column: pa.Array, window: int, anchor: int):
 
 
 def fingerprint_counts(docs: DataFrame, text_col: str, window: int, anchor: int) -> DataFrame:
-    """(fp, n): how often each anchor fingerprint occurs in docs."""
-
-    def run(batches):
-        for b in batches:
-            for _, _, _, (_, fps, _, _) in _blocks(b.column(0), window, anchor):
-                fp, n = np.unique(fps, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(W.signed(fp)), pa.array(n.astype(np.int64))], ["fp", "n"])
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    """(fp, n, wins): each anchor of docs with its windows' keys, n = 1. Equal entries are summed when runs are merged."""
+    rows = _anchor_rows(docs.select(F.lit(0).alias("id"), F.lit(0).alias("tk"), F.col(text_col).cast("string").alias("text")), window, anchor)
+    return rows.select("fp", F.lit(1).cast("long").alias("n"), "wins")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n) below ``path``; reopening the path finds them again."""
+    """Sorted immutable runs of (fp, n, wins) below ``path``; reopening the path finds them again."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
         self.spark, self.path, self.fan_in = spark, path or new_path(spark, "fingerprints"), fan_in
@@ -94,7 +93,7 @@ class FingerprintIndex:
         self.runs = sorted(n for n in done if n.startswith("run-"))
 
     def _read(self, names: list[str]) -> DataFrame:
-        schema = "fp long, n long"
+        schema = "fp long, n long, wins binary"
         if not names:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
@@ -102,21 +101,23 @@ class FingerprintIndex:
     def _write(self, counts: DataFrame) -> str:
         name = f"run-{self.next:08d}"
         self.next += 1
-        counts.repartition("fp").sortWithinPartitions("fp").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        counts.sortWithinPartitions("fp").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return name
 
     def ingest(self, counts: DataFrame) -> DataFrame:
-        """Add a batch's (fp, n) as a new run; returns the batch's fingerprints that recur in it or in earlier runs (lazily)."""
+        """Add a batch's (fp, n, wins) as a new run; returns the batch's fingerprints that recur in it or in earlier runs (lazily). Without wins, only fingerprints are counted."""
+        if "wins" not in counts.columns:
+            counts = counts.withColumn("wins", F.lit(None).cast("binary"))
         earlier = self._read(list(self.runs)).select("fp").distinct().withColumn("old", F.lit(True))
-        name = self._write(counts)
-        recurring = self._read([name]).join(earlier, "fp", "left").where("n > 1 or old").select("fp")
+        name = self._write(counts.select("fp", "n", "wins"))
+        batch = self._read([name]).groupBy("fp").agg(F.sum("n").alias("n"))
         self.runs.append(name)
-        return recurring
+        return batch.join(earlier, "fp", "left").where("n > 1 or old").select("fp")
 
     def compact(self, force: bool = False) -> None:
         """Merge all runs into one if there are more than ``fan_in``."""
         if len(self.runs) > (1 if force else self.fan_in):
-            old, self.runs = self.runs, [self._write(self._read(self.runs).groupBy("fp").agg(F.sum("n").alias("n")))]
+            old, self.runs = self.runs, [self._write(self._read(self.runs).groupBy("fp", "wins").agg(F.sum("n").alias("n")).select("fp", "n", "wins"))]
             for name in old:
                 forget(f"{self.path}/{name}", self.spark)
 
@@ -124,9 +125,13 @@ class FingerprintIndex:
         """Fingerprints that occur twice or more in all that was ingested."""
         return self._read(self.runs).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
 
+    def entries(self) -> DataFrame:
+        """(fp, n, wins) of all that was ingested."""
+        return self._read(self.runs).where("wins is not null")
+
 
 def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(fp, id, tk, start, wins): wins holds 6 bytes of each window's hash."""
+    """(fp, id, tk, start, wins): wins holds the keys of the anchor's windows."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -134,145 +139,170 @@ def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             for lo, first, hashes, (rows, fps, starts, counts) in _blocks(b.column(2), window, anchor):
                 if not len(rows):
                     continue
-                wins = W.windows(hashes, window)
                 places = np.repeat(first[rows] + starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                raw = np.ascontiguousarray(wins[places].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                ends = np.r_[0, np.cumsum(counts)].astype(np.int32) * 6
-                binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                raw = np.empty((len(places), KEY), np.uint8)
+                raw[:, :8] = W.windows(hashes, window)[places].view(np.uint8).reshape(-1, 8)
+                raw[:, 8:] = W.windows(W.mix(hashes ^ W.U64(0xE7037ED1A0B428DB)), window)[places].view(np.uint8).reshape(-1, 8)[:, :4]
                 take = pa.array(lo + rows)
-                yield pa.RecordBatch.from_arrays([pa.array(W.signed(fps)), b.column(0).take(take), b.column(1).take(take), pa.array(starts.astype(np.int32)), binary], ["fp", "id", "tk", "start", "wins"])
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(fps)), b.column(0).take(take), b.column(1).take(take), pa.array(starts.astype(np.int32)), _binary(raw, counts)], ["fp", "id", "tk", "start", "wins"])
 
     return docs.mapInArrow(run, f"fp long, id {id_type}, tk int, start int, wins binary")
 
 
-def _six(wins: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(flat window hashes, number of each row)."""
-    counts = np.array([len(x) // 6 for x in (w.as_buffer() for w in wins)], dtype=np.int64)
-    flat = np.frombuffer(b"".join(w.as_buffer().to_pybytes() for w in wins), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :6] = flat
-    return out.view(W.U64).ravel(), counts
+def _binary(raw: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Keys, so many a row."""
+    ends = (np.r_[0, np.cumsum(counts)] * KEY).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
 
 
-_OUT = ["hot", "key", "id", "tk", "start", "count"]
+def _keys(wins: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(raw keys, their first 8 bytes, their last 4, number of each row)."""
+    wins = wins.cast(pa.large_binary())
+    _, off, buf = wins.buffers()
+    ends = np.frombuffer(off, np.int64)[wins.offset : wins.offset + len(wins) + 1]
+    raw = np.frombuffer(buf if buf is not None else b"", np.uint8)[ends[0] : ends[-1]].reshape(-1, KEY)
+    return raw, np.ascontiguousarray(raw[:, :8]).view(W.U64).ravel(), np.ascontiguousarray(raw[:, 8:]).view(np.uint32).ravel(), np.diff(ends) // KEY
 
 
-def _resolve(batches):
-    """Of anchor rows sorted by fp: spans of windows that recur within their fingerprint, or the single windows of a group too large to hold."""
-    held: list[pa.RecordBatch] = []
-    hot = None
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before; the first row counts."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
-    def explode(t):
-        flat, counts = _six(t.column(4))
-        row = np.repeat(np.arange(len(counts)), counts)
-        fp = t.column(0).to_numpy()[row].view(W.U64)
-        start = t.column(3).to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return row, W.mix(W.mix(fp) ^ flat), start.astype(np.int32)
 
-    def hot_rows(t):
-        row, key, start = explode(t)
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), bool)), pa.array(W.signed(key)), t.column(1).take(take), t.column(2).take(take), pa.array(start), pa.array(np.ones(len(row), np.int32))], _OUT)
+def _join(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _repeated(held_most: int):
+    """Of index entries sorted by fp: (hot, fp, n, wins) with each fingerprint's windows that occur twice or more, or the entries of a group too large to hold as they are."""
 
     def settle(t):
         """t holds whole groups only."""
-        fp = t.column(0).to_numpy()
-        heads = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-        size = np.diff(np.r_[heads, len(fp)])
-        t = t.filter(pa.array(np.repeat(size > 1, size)))
-        if not t.num_rows:
-            return None
-        row, key, start = explode(t)
-        order = np.argsort(key)
-        k = key[order]
-        twin = np.zeros(len(k), bool)
-        twin[1:] = k[1:] == k[:-1]
-        twin[:-1] |= twin[1:]
-        again = np.zeros(len(k), bool)
-        again[order] = twin
-        row, start = row[again], start[again]
-        if not len(row):
-            return None
-        heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
-        take = pa.array(row[heads])
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(heads), bool)), pa.array(np.zeros(len(heads), np.int64)), t.column(1).take(take), t.column(2).take(take), pa.array(start[heads]), pa.array(np.diff(np.r_[heads, len(row)]).astype(np.int32))], _OUT)
-
-    def join(parts):
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-    def flush(parts):
-        if parts:
-            out = settle(join(parts))
-            if out is not None:
-                yield out
-
-    rows = 0
+        raw, k1, k2, counts = _keys(t.column(2))
+        fp, n = np.repeat(t.column(0).to_numpy(), counts), np.repeat(t.column(1).to_numpy(), counts)
+        if not len(fp):
+            return
+        order = np.lexsort((k2, k1, fp))
+        heads = np.flatnonzero(_changes(fp[order], k1[order], k2[order]))
+        chosen = order[heads[np.add.reduceat(n[order], heads) > 1]]
+        if len(chosen):
+            at = np.flatnonzero(_changes(fp[chosen]))
+            ones = np.ones(len(at), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ones == 0), pa.array(fp[chosen][at]), pa.array(ones), _binary(raw[chosen], np.diff(np.r_[at, len(chosen)]))], _OUT)
+
+    def as_is(t):
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(t.num_rows, bool)), *t.columns], _OUT)
+
+    def run(batches):
+        tail, hot = None, None
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                t = b.slice(lo, 4096)
+                if hot is not None:
+                    same = int(np.searchsorted(t.column(0).to_numpy(), hot, "right"))
+                    if same:
+                        yield as_is(t.slice(0, same))
+                    if same == t.num_rows:
+                        continue
+                    hot, t = None, t.slice(same)
+                whole = t if tail is None else _join([tail, t])
+                fp = whole.column(0).to_numpy()
+                last = int(np.searchsorted(fp, fp[-1]))
+                if last:
+                    yield from settle(whole.slice(0, last))
+                tail = whole.slice(last)
+                if len(_keys(tail.column(2))[0]) > held_most:
+                    yield as_is(tail)
+                    hot, tail = int(fp[-1]), None
+        if tail is not None:
+            yield from settle(tail)
+
+    return run
+
+
+_OUT = ["hot", "fp", "n", "wins"]
+
+
+def _explode_entries(batches):
+    """(fp, n, key) of entries (fp, n, wins)."""
     for b in batches:
         for lo in range(0, b.num_rows, 4096):
             t = b.slice(lo, 4096)
-            fp = t.column(0).to_numpy()
-            if hot is not None:
-                n = int(np.searchsorted(fp != hot, True)) if (fp != hot).any() else len(fp)
-                if n:
-                    yield hot_rows(t.slice(0, n))
-                if n == len(fp):
-                    continue
-                hot, t, fp = None, t.slice(n), fp[n:]
-            held.append(t)
-            rows += t.num_rows
-            whole = join(held)
-            fps = whole.column(0).to_numpy()
-            last = int(np.searchsorted(fps, fps[-1]))
-            if last:
-                yield from flush([whole.slice(0, last)])
-            tail = whole.slice(last)
-            held, rows = [tail], tail.num_rows
-            if rows * 12 > HELD:
-                hot, held, rows = int(fps[-1]), [], 0
-                yield hot_rows(tail)
-    yield from flush(held)
-
-
-def _recurring_keys(batches):
-    """Of hot windows sorted by key: those whose key occurs twice or more. Holds one row."""
-    carry = None  # a key's first row, while it is alone
-    open_key = None
+            raw, _, _, counts = _keys(t.column(2))
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([t.column(0).take(row), t.column(1).take(row), _binary(raw, np.ones(len(raw), np.int64))], ["fp", "n", "key"])
+
+
+def _explode_rows(batches):
+    """(fp, key, id, tk, start) of anchor rows."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 4096):
+            t = b.slice(lo, 4096)
+            raw, _, _, counts = _keys(t.column(4))
+            row = np.repeat(np.arange(len(counts)), counts)
+            start = t.column(3).to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([t.column(0).take(take), _binary(raw, np.ones(len(raw), np.int64)), t.column(1).take(take), t.column(2).take(take), pa.array(start.astype(np.int32))], ["fp", "key", "id", "tk", "start"])
+
+
+def _marked(batches):
+    """(id, tk, start, count): runs of windows of (id, tk, start, wins, keys) that are among the row's keys."""
     for b in batches:
-        if carry is not None:
-            b = pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
-        if not b.num_rows:
-            continue
-        key = b.column(0).to_numpy()
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[heads, len(key)])
-        keep = np.repeat((size > 1) | (key[heads] == open_key), size)
-        if size[-1] == 1 and key[-1] != open_key:
-            carry, keep[-1] = b.slice(b.num_rows - 1), False
-        else:
-            carry, open_key = None, key[-1]
-        if keep.any():
-            yield b.filter(pa.array(keep))
+        for lo in range(0, b.num_rows, 1024):
+            t = b.slice(lo, 1024)
+            _, a1, a2, have = _keys(t.column(3))
+            _, b1, b2, known = _keys(t.column(4))
+            row = np.repeat(np.arange(t.num_rows), have)
+            start = t.column(2).to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
+            mine = np.arange(len(row) + len(b1)) < len(row)
+            every, k1, k2 = np.r_[row, np.repeat(np.arange(t.num_rows), known)], np.r_[a1, b1], np.r_[a2, b2]
+            order = np.lexsort((mine, k2, k1, every))  # a known key comes before the windows that have it
+            heads = np.flatnonzero(_changes(every[order], k1[order], k2[order]))
+            again = np.zeros(len(order), bool)
+            again[order] = np.repeat(~mine[order][heads], np.diff(np.r_[heads, len(order)]))
+            again = again[: len(row)]
+            row, start = row[again], start[again]
+            if len(row):
+                heads = np.flatnonzero(_changes(row, start - np.arange(len(start))))
+                take = pa.array(row[heads])
+                yield pa.RecordBatch.from_arrays([t.column(0).take(take), t.column(1).take(take), pa.array(start[heads].astype(np.int32)), pa.array(np.diff(np.r_[heads, len(row)]).astype(np.int32))], ["id", "tk", "start", "count"])
 
 
 def repeated_spans(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, tk, start, count): runs of windows of docs (id, tk, text) that recur; all of docs must have been ingested."""
+    """(id, tk, start, count): runs of windows of docs (id, tk, text) that recur in the index; all of docs must have been ingested."""
+    recurring = small(store(index.recurring(), "recurring"))
+    entries = index.entries().join(recurring, "fp", "left_semi").groupBy("fp", "wins").agg(F.sum("n").alias("n")).repartition("fp").sortWithinPartitions("fp")
+    found = store(entries.select("fp", "n", "wins").mapInArrow(_repeated(HELD), "hot boolean, fp long, n long, wins binary"), "repeated")
+    keys = found.where("hot").select("fp", "n", "wins").mapInArrow(_explode_entries, "fp long, n long, key binary")
+    keys = store(keys.groupBy("fp", "key").agg(F.sum("n").alias("n")).where("n > 1").select("fp", "key"), "repeated-keys")
+    few = keys.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") <= PACKED).select("fp")
+    joined = F.expr("aggregate(keys, cast('' as binary), (a, x) -> concat(a, x))")
+    packed = keys.join(few, "fp", "left_semi").groupBy("fp").agg(F.collect_list("key").alias("keys")).select("fp", joined.alias("keys"))
+    narrow = F.length("wins") <= PACKED * KEY
+    packed = store(packed.unionByName(found.where(~F.col("hot") & narrow).select("fp", F.col("wins").alias("keys"))), "repeated-packed")
+    wide = found.where(~F.col("hot") & ~narrow).select("fp", "n", "wins").mapInArrow(_explode_entries, "fp long, n long, key binary").select("fp", "key")
+    wide = store(wide.unionByName(keys.join(few, "fp", "left_anti")), "repeated-wide")
     rows = _anchor_rows(docs, window, anchor)
-    recurring = store(index.recurring(), "recurring")
-    near = rows.join(recurring, "fp", "left_semi").repartition("fp").sortWithinPartitions("fp")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "tk")}
-    found = store(near.mapInArrow(_resolve, f"hot boolean, key long, id {kinds['id']}, tk int, start int, count int"), "spans")
-    hot = found.where("hot").select("key", "id", "tk", "start", "count").repartition("key").sortWithinPartitions("key")
-    again = hot.mapInArrow(_recurring_keys, hot.schema)
-    return found.where("not hot").select("id", "tk", "start", "count").unionByName(again.select("id", "tk", "start", "count"))
+    spans = rows.join(packed, "fp").select("id", "tk", "start", "wins", "keys").mapInArrow(_marked, f"id {kinds['id']}, tk int, start int, count int")
+    if wide.isEmpty():
+        return spans
+    many = rows.join(small(store(wide.select("fp").distinct(), "wide")), "fp", "left_semi").select("fp", "id", "tk", "start", "wins")
+    many = many.mapInArrow(_explode_rows, f"fp long, key binary, id {kinds['id']}, tk int, start int").join(wide, ["fp", "key"], "left_semi")
+    return spans.unionByName(many.select("id", "tk", "start", F.lit(1).alias("count")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, index: FingerprintIndex | None = None, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, index: FingerprintIndex | None = None, batches: int = FAN_IN + 2) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept (the kept words joined by one space).
 
     Each word covered by a window whose word sequence starts anywhere else too,
     in the same document or another, is removed; windows are judged on the input.
-    docs are ingested into ``index`` in ``batches`` by a hash of the id, so a
-    given index also judges against what it holds already.
+    docs are ingested into ``index`` in ``batches`` by a hash of the id and then
+    judged against all that it holds, so a given index also judges against the
+    documents of earlier calls. Documents given again to the same index repeat
+    themselves.
 
     Null and empty texts have no words and give an empty ``kept``. Rows that
     repeat id and text are documents of their own, so they repeat each other.

@@ -111,6 +111,25 @@ def test_index_compacts(spark):
     assert [r[0] for r in sub.FingerprintIndex(spark, index.path).recurring().collect()] == [7]
 
 
+@pytest.mark.parametrize("held,packed", [(sub.HELD, sub.PACKED), (20, 2)])
+def test_second_batch_repeats_first(spark, held, packed, monkeypatch):
+    monkeypatch.setattr(sub, "HELD", held)
+    monkeypatch.setattr(sub, "PACKED", packed)
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(rng.choices([f"q{i}" for i in range(500)], k=n))
+    passage = fresh(60)
+    old = [(1, fresh(80) + " " + passage + " " + fresh(50)), (2, fresh(200))]
+    new = [(3, "a b " + passage + " c"), (4, fresh(100)), (None, passage + " d")]
+    index = sub.FingerprintIndex(spark)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in sub.remove_repeats(frame(old), index=index).collect()] == [0, 0]
+    assert len(index.runs) <= sub.FAN_IN
+    again = sub.FingerprintIndex(spark, index.path)
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in sub.remove_repeats(frame(new[:1] + new[1:2]), index=again).collect()}
+    assert got == {3: (60, "a b c"), 4: (0, new[1][1])}
+    assert [(r["n_removed"], r["kept"]) for r in sub.remove_repeats(frame(new[2:]), index=again).collect()] == [(60, "d")]
+
+
 def test_mix(spark, docs):
     got = curriculum.mix(docs).collect()
     assert len(got) == len(corpus())
