@@ -10,6 +10,12 @@ passage of an item holds several windows that both sides embed. Candidates are
 verified by the exact edit distance, in words, of the whole item to the best
 matching passage.
 
+The embedding alone misses some passages, so its candidates are joined by those of
+a search that misses none: an item cut into one piece more than its allowed edits
+has a piece that no edit touches, and pieces are looked up exactly at each word of
+a document. Thus the recall aimed at is 1 at every item size. Items under MIN_WORDS
+words allow no edits and are one piece.
+
 Items are small next to documents: they are taken in blocks of bounded size, each
 of which is sent to all tasks, and documents never shuffle.
 """
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from quillstat.llm import _words as W
 from quillstat.llm._tables import store
 
-#: Words that an item must have to be evidence of contamination.
+#: Items of fewer words match only exactly.
 MIN_WORDS = 8
 #: Edit distance of a match: at most this share of the item's words.
 MAX_EDITS = 0.25
@@ -51,6 +57,16 @@ def window_size(words: int) -> int:
     return 1 << (max(words, 2).bit_length() - 2)
 
 
+def allowed(words: int, max_edits: float) -> int:
+    """Edits that a match of an item of so many words may have."""
+    return int(max_edits * words) if words >= MIN_WORDS else 0
+
+
+def piece_keys(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words from each word on; none where fewer are left."""
+    return W.mix(W.windows(hashes, length) ^ W.U64(length))
+
+
 def keys(hashes: np.ndarray, at: np.ndarray, end: np.ndarray, size: int):
     """Bucket keys (one array for each walk and sample) of the windows that start at ``at``; words from ``end`` on read as nothing."""
     padded = np.r_[hashes, np.zeros(1, W.U64)]
@@ -93,26 +109,48 @@ class Items:
     words: list[np.ndarray]
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # size -> keys, items, offsets
     blooms: dict[int, np.ndarray] = field(default_factory=dict)
+    max_edits: float = MAX_EDITS
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # words -> keys, items, offsets
+    piece_blooms: dict[int, np.ndarray] = field(default_factory=dict)
     plain: list[list[int]] = field(default_factory=list)
 
     def __post_init__(self):
         by_size: dict[int, list] = {}
         self.plain = [w.tolist() for w in self.words]
+        by_length: dict[int, list] = {}
         for i, w in enumerate(self.words):
+            cuts = np.linspace(0, len(w), min(allowed(len(w), self.max_edits) + 1, len(w)) + 1).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                by_length.setdefault(b - a, []).append((piece_keys(w[a:b], b - a), np.full(1, i), np.full(1, a)))
+            if len(w) < MIN_WORDS:
+                continue
             size = window_size(len(w))
             at = np.arange(len(w) - size + 1)
             for slot, k in enumerate(keys(w, at, np.full(len(at), len(w)), size)):
                 by_size.setdefault(size, []).append((k ^ W.U64(slot), np.full(len(at), i), at))
-        for size, parts in by_size.items():
-            k, i, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(k)
-            self.tables[size] = k[order], i[order], o[order]
-            bloom = np.zeros(1 << _BLOOM, bool)
-            bloom[k >> W.U64(64 - _BLOOM)] = True
-            self.blooms[size] = bloom
-
-    def search(self, first: np.ndarray, hashes: np.ndarray, max_edits: float):
+        for by, tables, blooms in ((by_size, self.tables, self.blooms), (by_length, self.pieces, self.piece_blooms)):
+            for size, parts in by.items():
+                k, i, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(k)
+                tables[size] = k[order], i[order], o[order]
+                blooms[size] = np.zeros(1 << _BLOOM, bool)
+                blooms[size][k >> W.U64(64 - _BLOOM)] = True
+
+    def search(self, first: np.ndarray, hashes: np.ndarray):
         """(row, item, distance, start, end) of the best passage of each matching item in each row."""
+        none = np.zeros(0, np.int64)
+        lines, which, begins = [none], [none], [none]
+        for length, (table, items, offsets) in self.pieces.items():
+            k = piece_keys(hashes, length)
+            hit = np.flatnonzero(self.piece_blooms[length][k >> W.U64(64 - _BLOOM)])
+            in_row = np.searchsorted(first, hit, "right") - 1
+            whole = hit + length <= first[in_row + 1]
+            hit, in_row = hit[whole], in_row[whole]
+            lo, hi = np.searchsorted(table, k[hit], "left"), np.searchsorted(table, k[hit], "right")
+            n = hi - lo
+            y = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            x = np.repeat(np.arange(len(hit)), n)
+            lines.append(in_row[x]), which.append(items[y]), begins.append(hit[x] - first[in_row[x]] - offsets[y])
         for size, (table, items, offsets) in self.tables.items():
             stride = min(STRIDE, size)
             counts = np.maximum(0, (np.diff(first) - 1) // stride + 1)
@@ -122,7 +160,6 @@ class Items:
             at = first[row] + stride * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
             end = first[row + 1]
             bloom = self.blooms[size]
-            lines, which, begins = [], [], []
             for slot, k in enumerate(keys(hashes, at, end, size)):
                 k = k ^ W.U64(slot)
                 hit = np.flatnonzero(bloom[k >> W.U64(64 - _BLOOM)])
@@ -131,40 +168,40 @@ class Items:
                 y = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 x = np.repeat(hit, n)
                 lines.append(row[x]), which.append(items[y]), begins.append(at[x] - first[row[x]] - offsets[y])
-            # Passages that begin within a word of each other are verified once, with room to spare.
-            found = np.unique(np.stack([np.concatenate(lines), np.concatenate(which), np.concatenate(begins) // 2 * 2]), axis=1).T.tolist()
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for r, i, begin in found:
-                item = self.words[i]
-                most = int(max_edits * len(item))
-                text = hashes[first[r] : first[r + 1]]
-                lo, hi = max(0, begin - most - 2), min(len(text), begin + len(item) + most + 3)
-                # Each item word that the passage lacks costs an edit at least.
-                if hi <= lo or sum(map(set(text[lo:hi].tolist()).__contains__, self.plain[i])) < len(item) - most:
-                    continue
-                d, stop = edit_passage(item, text[lo:hi])
-                if d <= most and d < best.get((r, i), (most + 1,))[0]:
-                    _, back = edit_passage(item[::-1], text[lo : lo + stop][::-1])
-                    best[r, i] = d, lo + stop - back, lo + stop
-            for (r, i), (d, start, stop) in best.items():
-                yield r, i, d, start, stop
-
-
-def _items(rows) -> Items:
+        # Passages that begin within a word of each other are verified once, with room to spare.
+        found = np.unique(np.stack([np.concatenate(lines), np.concatenate(which), np.concatenate(begins) // 2 * 2]), axis=1).T.tolist()
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for r, i, begin in found:
+            item = self.words[i]
+            most = allowed(len(item), self.max_edits)
+            text = hashes[first[r] : first[r + 1]]
+            lo, hi = max(0, begin - most - 2), min(len(text), begin + len(item) + most + 3)
+            # Each item word that the passage lacks costs an edit at least.
+            if hi <= lo or sum(map(set(text[lo:hi].tolist()).__contains__, self.plain[i])) < len(item) - most:
+                continue
+            d, stop = edit_passage(item, text[lo:hi])
+            if d <= most and d < best.get((r, i), (most + 1,))[0]:
+                _, back = edit_passage(item[::-1], text[lo : lo + stop][::-1])
+                best[r, i] = d, lo + stop - back, lo + stop
+        for (r, i), (d, start, stop) in best.items():
+            yield r, i, d, start, stop
+
+
+def _items(rows, max_edits: float) -> Items:
     ids, words = [], []
     for r in rows:
         data = np.frombuffer((r["text"] or "").encode(), np.uint8)
         _, h = folded_words(data, np.array([0, len(data)]))
-        if len(h) >= MIN_WORDS:
+        if len(h):
             ids.append(r["id"]), words.append(h)
-    return Items(ids, words)
+    return Items(ids, words, max_edits=max_edits)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document and item where a passage of the document is within ``max_edits`` of the item: id, item id, item_words, distance, start_word, end_word (the best passage).
 
-    Items of fewer than MIN_WORDS words are not looked for; null texts have no
-    words. Repeated rows of either table each give their rows. Null ids are
+    Items of fewer than MIN_WORDS words match without edits only; null texts have
+    no words, and an item without words matches nothing. Repeated rows of either table each give their rows. Null ids are
     carried. An empty table on either side gives an empty table. Other columns
     are ignored.
     """
@@ -177,14 +214,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for n in range(blocks):
-        sent = spark.sparkContext.broadcast(_items(items.where(F.col("block") % blocks == n).collect()))
+        sent = spark.sparkContext.broadcast(_items(items.where(F.col("block") % blocks == n).collect(), max_edits))
 
         def run(batches, sent=sent):
             these = sent.value
             for b in batches:
                 rows, found = [], []
                 for lo, data, offsets in W.blocks(b.column(1)):
-                    for r, i, *rest in these.search(*folded_words(data, offsets), max_edits):
+                    for r, i, *rest in these.search(*folded_words(data, offsets)):
                         rows.append(lo + r)
                         found.append((these.ids[i], len(these.words[i]), *rest))
                 if rows:

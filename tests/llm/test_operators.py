@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstat.llm import curriculum, warc
 from quillstat.llm import substring_dedup as sub
 from quillstat.llm.components import connected_components
-from quillstat.llm.decontaminate import contaminated
+from quillstat.llm.decontaminate import Items, contaminated, edit_passage, folded_words
 from quillstat.llm.exact_dedup import drop_copies, exact_groups
 from quillstat.llm.html_text import aligned, extract, folded, literals
 from quillstat.llm.licenses import _MIT, TEMPLATES, scan_licenses, template_table
@@ -221,6 +221,25 @@ def test_decontamination(spark):
     assert contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall():
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(900)]
+    items = [rng.choices(vocabulary, k=n) for n in (1, 3, 7, 8, 9, 12, 16, 32) for _ in range(12)]
+    texts = []
+    for item in items:
+        for _ in range(4):
+            v = list(item)
+            for _ in range(len(item) // 4 if len(item) >= 8 else 0):
+                at = rng.randrange(len(v))
+                v[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [rng.choice(vocabulary)], [rng.choice(vocabulary)]])
+            texts.append(rng.choices(vocabulary, k=23) + v + rng.choices(vocabulary, k=9))
+    hashed = [folded_words(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w))]))[1] for w in [*items, *texts]]
+    items, texts = hashed[: len(items)], hashed[len(items) :]
+    want = {(r, i): d for r, t in enumerate(texts) for i, w in enumerate(items) if (d := edit_passage(w, t)[0]) <= (len(w) // 4 if len(w) >= 8 else 0)}
+    got = {(r, i): d for r, i, d, _, _ in Items(list(range(len(items))), items).search(np.r_[0, np.cumsum([len(t) for t in texts])], np.concatenate(texts))}
+    assert got == want and len(want) >= len(texts)
+
+
 def test_extract(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one\n two<p>three <b>bold</b></article><div class=\"comments\">no</div><footer>f</footer></body></html>"
     loose = "<body><div><p>site notice text</p></div><div><p>{}</p></div></body>"
