@@ -103,7 +103,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(bins, rows.source.eqNullSafe(F.col("s")) & (rows.bin == F.col("b")))
     rows = rows.withColumn("start", F.col("bin_start") + F.col("within")).withColumn("words", F.round("target").cast("long"))
     in_round = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.lit(k) * F.col("source_size") - F.col("start")))
-    taken = sum((in_round(k) for k in range(1, most)), in_round(0)).cast("long")
 
     def when_taken(k):
         place = (F.lit(k) * F.col("source_size") + F.col("start")) / F.col("target")
@@ -112,7 +111,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             time = F.when(F.col("nth") % len(schedules) == i, invert(place, knots)).otherwise(time)
         return F.when(in_round(k) > 0, time)
 
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), when_taken(0).alias("position"), when_taken(1).alias("repeat_position"))
+    times = [when_taken(k) for k in range(most)]
+    # A taking counts if it has a training time.
+    taken = sum((F.when(time.isNotNull(), in_round(k)).otherwise(0) for k, time in enumerate(times)), F.lit(0)).cast("long")
+    position, repeat = [*times, F.lit(None).cast("double")][:2]
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), position.alias("position"), repeat.alias("repeat_position"))
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -121,6 +124,11 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return takings.repartitionByRange("position").sortWithinPartitions("position")
 
 
+def documents_in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All rows of the mix, range-partitioned and sorted by position; those not taken come first, dealt out by id."""
+    return mixed.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
+
+
 MIX_SQL = r"""
 with d as (select doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h from {docs}),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),

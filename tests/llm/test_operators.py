@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstat.llm import curriculum, warc
+from quillstat.llm import curriculum, queries, warc
 from quillstat.llm import substring_dedup as sub
 from quillstat.llm.components import connected_components
 from quillstat.llm.decontaminate import Items, contaminated, edit_passage, folded_words
@@ -145,6 +145,15 @@ def test_mix(spark, docs):
     assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
 
 
+def test_mix_query_returns_training_order(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_curriculum_mix(spark, str(tmp_path)).collect()
+    assert len(got) == len(corpus())
+    times = [r["position"] for r in got if r["position"] is not None]
+    assert times and times == sorted(times) and all(0 <= t <= 1 for t in times)
+    assert all((r["taken"] > 0) == (r["position"] is not None) and (r["taken"] > r["size"]) <= (r["repeat_position"] is not None) for r in got)
+
+
 def test_warc_round_trip(spark):
     pages = [(5, "http://a/", "<p>é</p>"), (2, "http://b/", "<p>é</p>"), (9, None, None), (1, "x", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
