@@ -265,6 +265,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows each give a row. An empty table gives an empty table. Other
     columns of docs are ignored.
     """
+    return _components(docs, id_col, text_col, shingle, num, den).drop("set_id")
+
+
+def _components(docs, id_col, text_col, shingle, num, den) -> DataFrame:
+    """The rows of :func:`jaccard_components` with their set_id."""
     counts, links = jaccard_links(docs, id_col, text_col, shingle, num, den)
     comp = connected_components(links)
     nodes = counts.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least"))
@@ -272,14 +277,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("set_id", "component_id")
     out = counts.join(named, "set_id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "set_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """docs with only the least id of each linked component, all columns unchanged.
 
-    Rows without shingles stay. Of rows that repeat the least id, all stay.
+    Rows without shingles stay. Of rows that repeat the least id, all stay. Rows
+    are told apart by id and text, so rows that share an id (or have none) go or
+    stay by their own text.
     """
-    comp = jaccard_components(docs, id_col, text_col, shingle, num, den)
-    gone = store(comp.where(F.col("n_shingles") > 0).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    comp = _components(docs, id_col, text_col, shingle, num, den)
+    gone = comp.where(F.col("n_shingles") > 0).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("set_id").alias("_set")).distinct()
+    gone = small(store(gone, "near-copies"))
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    keyed = shingle_counts(docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("_key"), F.col(text_col)), "_key", text_col, shingle)
+    gone = keyed.join(gone, F.col("id.id").eqNullSafe(F.col("_id")) & (F.col("set_id") == F.col("_set")), "left_semi").select(F.col("id.id").alias("_gone"), F.col("id.digest").alias("_digest")).distinct()
+    gone = small(store(gone, "near-copy-texts"))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_digest")), "left_anti").select(*docs.columns)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillstat.llm import curriculum, queries, warc
 from quillstat.llm import substring_dedup as sub
 from quillstat.llm.components import connected_components
@@ -74,6 +75,20 @@ def test_jaccard_components(spark, docs):
     assert {r[0] for r in kept.collect()} == {i for i in sets if root(i) == i or not sets[i]} | {None}
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choices([f"x{i}" for i in range(800)], k=60))
+    copied, clean, other = text(), text(), text()
+    rows = [(1, copied), (None, copied + " end"), (None, clean), (2, copied + " tail"), (2, other), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in drop_near_copies(df).collect()}
+    assert kept == {(1, copied), (None, clean), (2, other), (3, None)}
+    item = " ".join(copied.split()[5:30])
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {tuple(r) for r in corpus_pipeline.benchmark_leaks(spark, df, str(tmp_path)).collect()}
+    assert kept == {(None, clean), (2, other), (3, None)}
+
+
 def test_exact_groups(spark, docs):
     got = exact_groups(docs).collect()
     norm = {}
