@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,13 @@ def test_index_compacts(spark):
     assert [r[0] for r in sub.FingerprintIndex(spark, index.path).recurring().collect()] == [7]
 
 
+def test_window_keys_differ_in_any_byte():
+    key = np.arange(sub.KEY, dtype=np.uint8)
+    keys = [key, *(np.where(np.arange(sub.KEY) == k, 99, key).astype(np.uint8) for k in (6, 7, 11)), key]
+    entries = pa.RecordBatch.from_arrays([pa.array([5] * 5), pa.array([1] * 5), sub._binary(np.stack(keys), np.ones(5, np.int64))], ["fp", "n", "wins"])
+    assert [w for b in sub._repeated(100)([entries]) for w in b.column(3).to_pylist()] == [key.tobytes()]
+
+
 @pytest.mark.parametrize("held,packed", [(sub.HELD, sub.PACKED), (20, 2)])
 def test_second_batch_repeats_first(spark, held, packed, monkeypatch):
     monkeypatch.setattr(sub, "HELD", held)
