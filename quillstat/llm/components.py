@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm._tables import store
+from quillstat.llm._tables import discard, store
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -18,21 +18,18 @@ def _settled(edges: DataFrame) -> bool:
     return n == nodes and edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``links``: columns u, v (any orderable type). Returns node, component (the least node reachable), for linked nodes only.
 
     Null ends, self-links and repeated links are ignored; an empty table gives an empty table.
     """
     edges = store(links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    for _ in range(max_rounds):
-        if _settled(edges):
-            break
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = store(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    else:
-        raise RuntimeError("components did not settle")
+        spent, edges = edges, store(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        discard(spent)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
