@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm import curriculum
-from quillstat.llm._tables import crc_mod, small, store
+from quillstat.llm._tables import crc_mod, keyed_rows, store, text_digest, without
 from quillstat.llm.decontaminate import contaminated
 from quillstat.llm.exact_dedup import drop_copies
 from quillstat.llm.ngram_jaccard import drop_near_copies
@@ -38,11 +38,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item; rows are told apart by id and text."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("_key"), "text")
-    found = contaminated(keyed, _table(spark, sf_dir, "benchmark"), id_col="_key")
-    leaks = store(found.select(F.col("_key.id").alias("_leak"), F.col("_key.digest").alias("_digest")).distinct(), "leaks")
-    return docs.join(small(leaks), F.col("doc_id").eqNullSafe(F.col("_leak")) & (digest == F.col("_digest")), "left_anti").select(*docs.columns)
+    digest = text_digest(F.col("text"))
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), digest.alias("digest")).alias("key"), "text")
+    found = contaminated(keyed, _table(spark, sf_dir, "benchmark"), id_col="key")
+    leaks = store(found.select(F.col("key.id").alias("gone_id"), F.col("key.digest").alias("gone_digest")).distinct(), "leaks")
+    return without(keyed_rows(docs, "doc_id", digest), leaks).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

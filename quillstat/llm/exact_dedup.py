@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm._tables import lower_az, small, store
+from quillstat.llm._tables import keyed_rows, lower_az, small, store, without
 
 #: Characters that the second step hashes.
 PREFIX = 64
+#: Repeated rows that are dealt out from one array.
+REPEATS = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -46,7 +48,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = own.where("full_hash is not null")
     groups = shared.groupBy(key).agg(F.max("_id").alias("keep_id"), F.sum("_times").alias("group_size"))
     every = alone.unionByName(shared.join(groups, key).select(*alone.columns))
-    return every.select("*", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_nth")).select(
+    # Repeats are dealt out in two steps, so no array grows with them.
+    every = every.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(_times - 1) div {REPEATS}"))).alias("_block"))
+    every = every.select("*", F.explode(F.sequence(F.col("_block") * REPEATS + 1, F.least(F.col("_times"), (F.col("_block") + 1) * REPEATS))).alias("_nth"))
+    return every.select(
         F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
         ((F.col("_id").eqNullSafe(F.col("keep_id"))) & (F.col("_nth") == 1)).alias("kept"), "full_hash", *[F.col(f"_carry_{k}").alias(k) for k in carry],
     )
@@ -58,13 +63,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat id and text, one stays (with any one's other columns).
     """
     groups = store(exact_groups(docs, id_col, text_col), "exact-groups")
-    gone = groups.where("not kept and full_hash is not null").select(F.col(id_col).alias("_gone_id"), F.col("full_hash").alias("_gone_hash"), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("_repeat"))
-    full = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    marked = docs.withColumn("_hash", full)
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash"))
-    left = marked.join(small(store(gone.where("not _repeat").distinct(), "copies")), same, "left_anti")
-    repeats = store(gone.where("_repeat").distinct(), "repeats")
+    gone = groups.where("not kept and full_hash is not null").select(F.col(id_col).alias("gone_id"), F.col("full_hash").alias("gone_digest"), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("again"))
+    rows = keyed_rows(docs, id_col, F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
+    left = without(rows, store(gone.where("not again").select("gone_id", "gone_digest").distinct(), "copies"))
+    repeats = store(gone.where("again").select("gone_id", "gone_digest").distinct(), "repeats")
     if not repeats.isEmpty():
-        again = left.join(small(repeats), same, "left_semi").dropDuplicates([id_col, "_hash"])
-        left = left.join(small(repeats), same, "left_anti").unionByName(again)
-    return left.select(*docs.columns)
+        same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_digest") == F.col("gone_digest"))
+        once = left.join(small(repeats), same, "left_semi").groupBy("own_id", "own_digest").agg(F.first("row").alias("row"))
+        left = without(left, repeats).select("row").unionByName(once.select("row"))
+    return left.select("row.*")
