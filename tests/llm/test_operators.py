@@ -103,9 +103,10 @@ def test_exact_groups(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(norm)
 
 
-@pytest.mark.parametrize("held", [sub.HELD, 20])
-def test_substring_dedup(spark, docs, held, monkeypatch):
-    monkeypatch.setattr(sub, "HELD", held)
+@pytest.mark.parametrize("hot,packed,broadcast,batches", [(sub.HOT, sub.PACKED, sub.BROADCAST_FINGERPRINTS, 1), (2, sub.PACKED, sub.BROADCAST_FINGERPRINTS, 5), (1, 2, 3, 2), (sub.HOT, sub.PACKED, 3, 2)])
+def test_substring_dedup(spark, docs, hot, packed, broadcast, batches, monkeypatch):
+    for name, value in (("HOT", hot), ("PACKED", packed), ("BROADCAST_FINGERPRINTS", broadcast)):
+        monkeypatch.setattr(sub, name, value)
     texts = [words(t) for _, t, _ in corpus()]
     seen = {}
     for n, w in enumerate(texts):
@@ -113,7 +114,7 @@ def test_substring_dedup(spark, docs, held, monkeypatch):
             seen.setdefault(tuple(w[s : s + 35]), []).append((n, s))
     gone = {(n, p) for at in seen.values() if len(at) > 1 for n, s in at for p in range(s, s + 35)}
     want = sorted((str(i), len(w), sum((n, p) in gone for p in range(len(w))), " ".join(x for p, x in enumerate(w) if (n, p) not in gone)) for n, ((i, _, _), w) in enumerate(zip(corpus(), texts, strict=True)))
-    got = sorted((str(r[0]), r[1], r[2], r[3]) for r in sub.remove_repeats(docs).collect())
+    got = sorted((str(r[0]), r[1], r[2], r[3]) for r in sub.remove_repeats(docs, batches=batches).collect())
     assert got == want
 
 
@@ -127,16 +128,27 @@ def test_index_compacts(spark):
     assert [r[0] for r in sub.FingerprintIndex(spark, index.path).recurring().collect()] == [7]
 
 
-def test_window_keys_differ_in_any_byte():
-    key = np.arange(sub.KEY, dtype=np.uint8)
-    keys = [key, *(np.where(np.arange(sub.KEY) == k, 99, key).astype(np.uint8) for k in (6, 7, 11)), key]
-    entries = pa.RecordBatch.from_arrays([pa.array([5] * 5), pa.array([1] * 5), sub._binary(np.stack(keys), np.ones(5, np.int64))], ["fp", "n", "wins"])
-    assert [w for b in sub._repeated(100)([entries]) for w in b.column(3).to_pylist()] == [key.tobytes()]
+def test_hot_windows_differ_in_any_byte():
+    key = np.arange(sub.HOT_KEY, dtype=np.uint8)
+    keys = [key, *(np.where(np.arange(sub.HOT_KEY) == k, 99, key).astype(np.uint8) for k in (6, 7, 11)), key]
+    ones = np.ones(5, np.int64)
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * 5), pa.array([0] * 5), pa.array(range(5), pa.int32()), sub._binary(np.stack(keys), ones), sub._binary(np.stack([key] * 5), ones)], ["id", "tk", "start", "wins", "keys"])
+    assert [x for b in sub._marked([rows]) for x in b.column("start").to_pylist()] == [0, 4]
 
 
-@pytest.mark.parametrize("held,packed", [(sub.HELD, sub.PACKED), (20, 2)])
-def test_second_batch_repeats_first(spark, held, packed, monkeypatch):
-    monkeypatch.setattr(sub, "HELD", held)
+def test_anchors_of_texts_beyond_the_packed_positions(monkeypatch):
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 900).astype(np.uint64)
+    first = np.array([0, 20, 700, 900])
+    want = sub.anchors(first, hashes, 35, 12)
+    monkeypatch.setattr(sub, "_POS", 8)
+    got = sub.anchors(first, hashes, 35, 12)
+    each = lambda x: [(r, f, s + k) for r, f, s, n in zip(*(y.tolist() for y in x), strict=True) for k in range(n)]
+    assert each(got) == each(want)
+
+
+@pytest.mark.parametrize("hot,packed", [(sub.HOT, sub.PACKED), (1, 2)])
+def test_second_batch_repeats_first(spark, hot, packed, monkeypatch):
+    monkeypatch.setattr(sub, "HOT", hot)
     monkeypatch.setattr(sub, "PACKED", packed)
     rng = random.Random(8)
     fresh = lambda n: " ".join(rng.choices([f"q{i}" for i in range(500)], k=n))
