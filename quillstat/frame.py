@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstat import ordering
+
 
 @dataclass(frozen=True)
 class Missing:
@@ -46,11 +48,6 @@ class Meta:
     title: str = ""
 
 
-def keeps(c: Column) -> Column:
-    """A condition as a filter: true keeps, false and missing drop; numbers keep when they equal 1."""
-    return F.coalesce(c, F.lit(False))
-
-
 @dataclass(frozen=True)
 class Frame:
     """An immutable active dataset. Transformations return new frames and stay lazy.
@@ -147,7 +144,7 @@ class Frame:
 
     def if_(self, condition: Column, name: str, value: Column) -> Frame:
         old = F.col(name) if name in self.df.columns else F.lit(None)
-        return self.compute(name, F.when(keeps(condition), value).otherwise(old))
+        return self.compute(name, F.when(F.coalesce(self._test(condition), F.lit(False)), value).otherwise(old))
 
     def do_if(self, branches: list[tuple[Column | None, Mapping[str, Column]]]) -> Frame:
         """The first true branch assigns; a missing condition skips all that follows. A None condition is ELSE."""
@@ -240,8 +237,14 @@ class Frame:
             total = total + hit.cast("double")
         return self.compute(into, total)
 
+    def _test(self, condition: Column) -> Column:
+        """A condition as a boolean: numbers hold when they equal 1; missing stays missing."""
+        boolean = self.df.select(condition).schema[0].dataType.typeName() == "boolean"
+        return condition if boolean else condition.cast("double") == 1.0
+
     def select_if(self, condition: Column) -> Frame:
-        return self._with(self.df.where(keeps(condition)))
+        """Keeps cases for which the condition holds; false and missing drop. A plain filter, so it reaches the scan."""
+        return self._with(self.df.where(self._test(condition)))
 
     def n_of_cases(self, n: int) -> Frame:
         return replace(self, limit=n)
@@ -275,23 +278,36 @@ class Frame:
             raise ValueError("this operation needs a frame with an order")
         return [F.col(c) for c in self.order]
 
+    def _within_groups(self):
+        if not self.split_by:
+            raise ValueError("without split groups use with_lag or with_running")
+        return Window.partitionBy(*self.split_by).orderBy(*self._by_order())
+
     def lag(self, name: str, n: int = 1) -> Column:
-        """The value n cases before, of the cases that survive the transformations so far."""
-        over = Window.partitionBy(*self.split_by) if self.split_by else Window.partitionBy()
-        return F.lag(self.valid(name), n).over(over.orderBy(*self._by_order()))
+        """The value n cases before within the split group, of the cases that survive the transformations so far."""
+        return F.lag(self.valid(name), n).over(self._within_groups())
 
     def running(self, name: str) -> Column:
-        """Running sum: what ``x = lag(x) + name`` computes."""
-        over = Window.partitionBy(*self.split_by) if self.split_by else Window.partitionBy()
-        return F.sum(self.valid(name)).over(over.orderBy(*self._by_order()).rowsBetween(Window.unboundedPreceding, 0))
+        """Running sum within the split group: what ``x = lag(x) + name`` computes."""
+        return F.sum(self.valid(name)).over(self._within_groups().rowsBetween(Window.unboundedPreceding, 0))
+
+    def with_lag(self, into: str, name: str, n: int = 1) -> Frame:
+        """A variable with the value n cases before, over all cases; with split groups, within each."""
+        if self.split_by:
+            return self._with(self.df.withColumn(into, self.lag(name, n)))
+        rows = ordering.numbered(ordering.placed(self.df, self._by_order()))
+        return self._with(ordering.lagged(rows, {into: self.valid(name)}, n).drop("__case", "__id"))
+
+    def with_running(self, into: str, name: str) -> Frame:
+        """A variable with the running sum over all cases; with split groups, within each."""
+        if self.split_by:
+            return self._with(self.df.withColumn(into, self.running(name)))
+        return self._with(ordering.cumulated(ordering.placed(self.df, self._by_order()), self.valid(name), into).drop("__id"))
 
     def casenum(self, into: str) -> Frame:
-        """1, 2, ... in case order. Range-partitions by the order and offsets each range by the rows before it, so no task sees all rows."""
-        ranged = self.df.repartitionByRange(*self._by_order()).sortWithinPartitions(*self._by_order()).withColumn("__part", F.spark_partition_id())
-        within = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*self._by_order())))
-        sizes = within.groupBy("__part").agg(F.count("*").alias("__n"))
-        before = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-        return self._with(within.join(F.broadcast(before), "__part").withColumn(into, (F.col("__off") + F.col("__in")).cast("double")).drop("__part", "__in", "__off"))
+        """1, 2, ... in case order."""
+        rows = ordering.numbered(ordering.placed(self.df, self._by_order()), into)
+        return self._with(rows.withColumn(into, F.col(into).cast("double")).drop("__id"))
 
     def sort_cases(self, *keys: str) -> Frame:
         """Stable: ties keep the present order. A leading '-' sorts down; missing is lowest."""
@@ -329,12 +345,13 @@ class Frame:
 
     def split_runs(self, into: str = "split_group") -> Frame:
         """Number the contiguous runs of equal split values in case order."""
-        w = Window.orderBy(*self._by_order())
-        changed = F.coalesce(F.lit(False), F.lit(False))
-        for c in self.split_by:
-            changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-        start = F.when(changed | (F.row_number().over(w) == 1), 1).otherwise(0)
-        return self._with(self.df.withColumn("__start", start).withColumn(into, F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__start"))
+        rows = ordering.numbered(ordering.placed(self.df, self._by_order()))
+        old = {f"__old_{k}": F.col(c) for k, c in enumerate(self.split_by)}
+        rows = ordering.lagged(rows, old)
+        changed = F.col("__case") == 1
+        for name, c in old.items():
+            changed = changed | ~c.eqNullSafe(F.col(name))
+        return self._with(ordering.cumulated(rows, changed.cast("int"), into).drop("__case", "__id", *old))
 
     # -- what procedures see ----------------------------------------------------
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstat import ordering
 from quillstat.frame import Frame
 from quillstat.functions import special as S
 from quillstat.operators.aggregate import moments
@@ -208,9 +209,9 @@ def ks_normal(frame: Frame, x: str) -> DataFrame:
 def runs(frame: Frame, x: str, cut: float) -> DataFrame:
     """Runs at or above the cut in case order; z with a correction below 50 cases."""
     v = frame.valid(x)
-    w = Window.orderBy(*frame._by_order())
-    c = frame.cases().where(v.isNotNull()).withColumn("up", v >= cut)
-    c = c.withColumn("new", F.coalesce(F.col("up") != F.lag("up").over(w), F.lit(True)).cast("double"))
+    c = frame.cases().where(v.isNotNull()).select(*frame.order, (v >= cut).alias("up"))
+    c = ordering.lagged(ordering.numbered(ordering.placed(c, frame._by_order())), {"old": F.col("up")})
+    c = c.withColumn("new", F.coalesce(F.col("up") != F.col("old"), F.lit(True)).cast("double"))
     out = c.agg(F.sum("new").alias("runs"), F.sum(F.col("up").cast("double")).alias("np"), F.sum((~F.col("up")).cast("double")).alias("nn"))
     n, a, b = F.col("np") + F.col("nn"), F.col("np"), F.col("nn")
     mu, sd = 2 * a * b / n + 1, F.sqrt(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)))

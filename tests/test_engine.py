@@ -1,6 +1,7 @@
 """Small cases with results worked out by hand or by an independent formula."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -138,3 +139,36 @@ def test_empty_tables(spark):
     assert rows(A.aggregate(f, ["g"], [("s", "SUM", "x")])) == []
     assert rows(univariate.frequencies(f, "g")) == []
     assert rows(rank.rank(f.df, "x", {"r": "rank"})) == []
+
+
+def test_case_numbers_of_shuffled_rows(spark):
+    """Every case is numbered once whatever the ranges of the order are."""
+    for parts in ("4", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = spark.range(0, 2_000_000, 1, 16).select(F.xxhash64("id").alias("k"))
+        got = Frame(rows, order=("k",)).casenum("n").df
+        assert got.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n")).first()[:] == (2_000_000, 2_000_000, 1.0, 2_000_000.0)
+        assert got.orderBy("k").limit(3).select("n").collect() == got.orderBy("n").limit(3).select("n").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_order_over_all_cases(spark):
+    """LAG, running sums and split runs without split groups agree with a loop over the sorted cases."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.choice([None, 1.0, 2.5])) for i in range(500)]
+    frame = Frame(spark.createDataFrame(rows, "i int, g string, x double").repartition(7), order=("i",))
+    got = {r["i"]: r for r in frame.with_lag("p", "x", 2).with_running("s", "x").split_file("g").split_runs().df.collect()}
+    run, total = 0, None
+    for k, (i, g, x) in enumerate(rows):
+        run += k == 0 or rows[k - 1][1] != g
+        total = total if x is None else (total or 0) + x
+        assert (got[i]["p"], got[i]["s"], got[i]["split_group"]) == (rows[k - 2][2] if k > 1 else None, total, run)
+    with pytest.raises(ValueError):
+        frame.lag("x")
+    assert frame.with_lag("p", "x").select_if(F.lit(0.0)).df.count() == 0 and Frame(frame.df.limit(0), order=("i",)).casenum("n").df.count() == 0
+
+
+def test_select_if_takes_numbers(spark):
+    frame = Frame(spark.createDataFrame([(1.0,), (2.0,), (None,)], "x double"))
+    assert [r[0] for r in frame.select_if(F.col("x")).df.collect()] == [1.0]
+    assert [r[0] for r in frame.select_if(F.col("x") > 1).df.collect()] == [2.0]
