@@ -12,24 +12,35 @@ from quillstat.operators.quantiles import quantile
 Spec = tuple
 
 
-def moments(x: Column, w: Column) -> dict[str, Column]:
-    """Weighted n, sum, mean, variance, skewness, kurtosis and their standard errors as aggregate expressions; one pass."""
-    ok = x.isNotNull()
-    w = F.when(ok, w).otherwise(0.0)
-    x0 = F.coalesce(x, F.lit(0.0))
-    x2 = x0 * x0
-    n, s1, s2, s3, s4 = F.sum(w), F.sum(w * x0), F.sum(w * x2), F.sum(w * x2 * x0), F.sum(w * x2 * x2)
-    mean = F.try_divide(s1, n)
-    d2 = F.greatest(s2 - n * mean**2, F.lit(0.0))
-    d3 = s3 - 3 * mean * s2 + 2 * n * mean**3
-    d4 = s4 - 4 * mean * s3 + 6 * mean**2 * s2 - 3 * n * mean**4
-    var = F.when(n > 1, d2 / (n - 1))
-    steady = F.abs(var) >= 1e-20
-    skew = F.when((n > 2) & steady, n * d3 / ((n - 1) * (n - 2) * var * F.sqrt(var)))
-    kurt = F.when((n > 3) & steady, n * (n + 1) * d4 / ((n - 1) * (n - 2) * (n - 3) * var**2) - 3 * d2**2 / ((n - 2) * (n - 3) * var**2))
-    se_skew = F.when(n > 2, F.sqrt(6 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3))))
-    se_kurt = F.when(n > 3, F.sqrt(4 * (n * n - 1) * se_skew**2 / ((n - 3) * (n + 5))))
-    return {"n": n, "sum": F.when(n > 0, s1), "mean": mean, "variance": var, "sd": F.sqrt(var), "se_mean": F.sqrt(F.try_divide(var, n)), "skewness": skew, "kurtosis": kurt, "se_skewness": se_skew, "se_kurtosis": se_kurt}
+def moments(frame: Frame, x: Column) -> dict[str, Column]:
+    """n, sum, mean, variance, skewness, kurtosis and their standard errors of x as aggregate expressions over ``frame.cases()``; one pass.
+
+    Without weights they come from Spark's own updates of deviations. With weights they come from power sums of
+    x less its mean over all cases, which is aggregated first, so that large means don't swallow the deviations.
+    """
+    if frame.weight_by is None:
+        n, mean, total = F.count(x).cast("double"), F.avg(x), F.sum(x)
+        var, s, k = F.var_samp(x), F.skewness(x), F.kurtosis(x)
+        steady = F.abs(var) >= 1e-20
+        skew = F.when((n > 2) & steady, s * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
+        kurt = F.when((n > 3) & steady, F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * k + 6))
+    else:
+        w = F.when(x.isNotNull(), F.col("__w")).otherwise(0.0)
+        about = frame.cases().agg(F.try_divide(F.sum(w * x), F.sum(w))).first()[0] or 0.0
+        d = F.coalesce(x - F.lit(float(about)), F.lit(0.0))
+        n, s1, s2, s3, s4 = F.sum(w), F.sum(w * d), F.sum(w * d * d), F.sum(w * d * d * d), F.sum(w * d * d * d * d)
+        off = F.try_divide(s1, n)
+        mean, total = off + float(about), F.when(n > 0, F.sum(w * F.coalesce(x, F.lit(0.0))))
+        d2 = F.greatest(s2 - n * off**2, F.lit(0.0))
+        d3 = s3 - 3 * off * s2 + 2 * n * off**3
+        d4 = s4 - 4 * off * s3 + 6 * off**2 * s2 - 3 * n * off**4
+        var = F.when(n > 1, F.try_divide(d2, n - 1))
+        steady = F.abs(var) >= 1e-20
+        skew = F.when((n > 2) & steady, F.try_divide(n * d3, (n - 1) * (n - 2) * var * F.sqrt(var)))
+        kurt = F.when((n > 3) & steady, F.try_divide(n * (n + 1) * d4, (n - 1) * (n - 2) * (n - 3) * var**2) - F.try_divide(3 * d2**2, (n - 2) * (n - 3) * var**2))
+    se_skew = F.when(n > 2, F.sqrt(F.try_divide(6 * n * (n - 1), (n - 2) * (n + 1) * (n + 3))))
+    se_kurt = F.when(n > 3, F.sqrt(F.try_divide(4 * (n * n - 1) * se_skew**2, (n - 3) * (n + 5))))
+    return {"n": n, "sum": total, "mean": mean, "variance": var, "sd": F.sqrt(var), "se_mean": F.sqrt(F.try_divide(var, n)), "skewness": skew, "kurtosis": kurt, "se_skewness": se_skew, "se_kurtosis": se_kurt}
 
 
 def _one(frame: Frame, spec: Spec) -> Column:
@@ -51,7 +62,7 @@ def _one(frame: Frame, spec: Spec) -> Column:
     out = {
         "N": lambda: F.coalesce(weight, F.lit(0.0)), "NU": lambda: F.count(x).cast("double"),
         "NMISS": lambda: F.sum(F.when(x.isNull(), w).otherwise(0.0)), "NUMISS": lambda: F.sum(F.when(x.isNull(), 1.0).otherwise(0.0)),
-        "SUM": lambda: F.sum(w * x), "MEAN": lambda: F.try_divide(F.sum(w * x), weight), "SD": lambda: moments(x.cast("double"), w)["sd"],
+        "SUM": lambda: F.sum(w * x), "MEAN": lambda: F.try_divide(F.sum(w * x), weight), "SD": lambda: moments(frame, x.cast("double"))["sd"],
         "MAX": lambda: F.max(x), "MIN": lambda: F.min(x),
         "FIRST": lambda: F.min_by(x, F.when(x.isNotNull(), F.struct(*frame._by_order()))), "LAST": lambda: F.max_by(x, F.when(x.isNotNull(), F.struct(*frame._by_order()))),
         "FGT": lambda: share(x > args[0]), "FLT": lambda: share(x < args[0]), "FIN": lambda: share(inside), "FOUT": lambda: share(~inside),

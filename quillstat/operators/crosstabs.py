@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.frame import Frame
-from quillstat.functions.special import chisq_cdf
+from quillstat.functions.special import chisq_cdf, distribution
 
 #: Most cells of a table that statistics are computed of; a table is bounded by its variables' values, not by cases.
 CELLS = 250_000
@@ -18,34 +18,34 @@ CELLS = 250_000
 def cells(frame: Frame, row: str, column: str, layers: list[str] = ()) -> DataFrame:
     """Every row-column combination of each layer, with count, row, column and total percent, expected, residual and standardised residuals."""
     by = list(layers)
-    seen = frame.cases().where(frame.valid(row).isNotNull() & frame.valid(column).isNotNull()).groupBy(*by, F.col(row).alias("r"), F.col(column).alias("c")).agg(F.sum("__w").alias("count"))
-    rows, cols = seen.select(*by, "r").distinct(), seen.select(*by, "c").distinct()
+    seen = frame.cases().where(frame.valid(row).isNotNull() & frame.valid(column).isNotNull()).groupBy(*by, F.col(row).alias("__r"), F.col(column).alias("__c")).agg(F.sum("__w").alias("count"))
+    rows, cols = seen.select(*by, "__r").distinct(), seen.select(*by, "__c").distinct()
     grid = rows.join(cols, by) if by else rows.crossJoin(cols)  # the values of two variables, which every table prints
-    full = grid.join(seen, [*by, "r", "c"], "left").fillna(0.0, ["count"])
-    total, rt, ct = (F.sum("count").over(Window.partitionBy(*by, *k)) for k in ((), ("r",), ("c",)))
+    full = grid.join(seen, [*by, "__r", "__c"], "left").fillna(0.0, ["count"])
+    total, rt, ct = (F.sum("count").over(Window.partitionBy(*by, *k)) for k in ((), ("__r",), ("__c",)))
     full = full.withColumns({"row_total": rt, "column_total": ct, "total": total})
-    full = full.withColumn("expected", F.col("row_total") * F.col("column_total") / F.col("total")).withColumn("residual", F.col("count") - F.col("expected"))
+    full = full.withColumn("expected", F.try_divide(F.col("row_total") * F.col("column_total"), F.col("total"))).withColumn("residual", F.col("count") - F.col("expected"))
     full = full.withColumns({
-        "row_percent": 100 * F.col("count") / F.col("row_total"), "column_percent": 100 * F.col("count") / F.col("column_total"), "total_percent": 100 * F.col("count") / F.col("total"),
-        "std_residual": F.col("residual") / F.sqrt("expected"),
-        "adj_residual": F.col("residual") / F.sqrt(F.col("expected") * (1 - F.col("row_total") / F.col("total")) * (1 - F.col("column_total") / F.col("total"))),
+        "row_percent": F.try_divide(100 * F.col("count"), F.col("row_total")), "column_percent": F.try_divide(100 * F.col("count"), F.col("column_total")), "total_percent": F.try_divide(100 * F.col("count"), F.col("total")),
+        "std_residual": F.try_divide(F.col("residual"), F.sqrt("expected")),
+        "adj_residual": F.try_divide(F.col("residual"), F.sqrt(F.col("expected") * (1 - F.try_divide("row_total", "total")) * (1 - F.try_divide("column_total", "total")))),
     })
-    return full.withColumnsRenamed({"r": row, "c": column})
+    return full.withColumnsRenamed({"__r": row, "__c": column})
 
 
 def chi_square(frame: Frame, row: str, column: str, layers: list[str] = ()) -> DataFrame:
     """Pearson and likelihood-ratio chi-square, degrees of freedom, phi, V and contingency coefficient of each layer, from its cells."""
     c = cells(frame, row, column, layers)
     out = c.groupBy(*layers).agg(
-        F.sum(F.col("residual") ** 2 / F.col("expected")).alias("pearson"),
-        (2 * F.sum(F.when(F.col("count") > 0, F.col("count") * F.log(F.col("count") / F.col("expected"))).otherwise(0.0))).alias("likelihood_ratio"),
+        F.sum(F.try_divide(F.col("residual") ** 2, F.col("expected"))).alias("pearson"),
+        (2 * F.sum(F.when(F.col("count") > 0, F.col("count") * F.log(F.try_divide("count", "expected"))).otherwise(0.0))).alias("likelihood_ratio"),
         F.countDistinct(row).alias("r"), F.countDistinct(column).alias("k"), F.sum("count").alias("n"),
     )
     q = F.least("r", "k")
     return out.withColumns({
-        "df": ((F.col("r") - 1) * (F.col("k") - 1)).cast("double"), "phi": F.sqrt(F.col("pearson") / F.col("n")),
-        "cramers_v": F.sqrt(F.col("pearson") / (F.col("n") * (q - 1))), "contingency": F.sqrt(F.col("pearson") / (F.col("pearson") + F.col("n"))),
-    }).drop("r", "k")
+        "df": ((F.col("r") - 1) * (F.col("k") - 1)).cast("double"), "phi": F.sqrt(F.try_divide("pearson", "n")),
+        "cramers_v": F.sqrt(F.try_divide(F.col("pearson"), F.col("n") * (q - 1))), "contingency": F.sqrt(F.try_divide(F.col("pearson"), F.col("pearson") + F.col("n"))),
+    }).drop("r", "k").withColumns({f"{k}_p": distribution("sig.chisq", F.col(k), F.col("df")) for k in ("pearson", "likelihood_ratio")})
 
 
 def table(frame: Frame, row: str, column: str) -> np.ndarray:

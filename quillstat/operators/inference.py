@@ -15,31 +15,48 @@ from quillstat.operators.aggregate import moments
 
 
 def _groups(frame: Frame, x: str, by: str) -> DataFrame:
-    m = moments(frame.valid(x).cast("double"), F.col("__w"))
+    m = moments(frame, frame.valid(x).cast("double"))
     return frame.cases().where(frame.valid(x).isNotNull() & frame.valid(by).isNotNull()).groupBy(F.col(by).alias("g")).agg(*[m[k].alias(k) for k in ("n", "mean", "variance", "sum")])
 
 
-def t_one_sample(frame: Frame, x: str, value: float) -> DataFrame:
-    m = moments(frame.valid(x).cast("double"), F.col("__w"))
-    out = frame.cases().agg(*[m[k].alias(k) for k in ("n", "mean", "sd", "se_mean")])
-    return out.withColumn("t", (F.col("mean") - value) / F.col("se_mean")).withColumn("df", F.col("n") - 1)
+def _two_sided(t: Column, df: Column) -> Column:
+    """Two-sided probability of Student's t."""
+    return 2 * (1 - S.distribution("cdf.t", F.abs(t), df))
 
 
-def t_paired(frame: Frame, a: str, b: str) -> DataFrame:
-    m = moments((frame.valid(a) - frame.valid(b)).cast("double"), F.col("__w"))
-    out = frame.cases().agg(*[m[k].alias(k) for k in ("n", "mean", "sd", "se_mean")])
-    return out.withColumn("t", F.col("mean") / F.col("se_mean")).withColumn("df", F.col("n") - 1)
+def _t_test(m: DataFrame, difference: Column, confidence: float) -> DataFrame:
+    """t, df, two-sided p and the interval of a mean difference, from n, mean, sd and se_mean."""
+    out = m.withColumn("difference", difference).withColumn("t", F.try_divide("difference", "se_mean")).withColumn("df", F.col("n") - 1)
+    half = S.distribution("idf.t", F.lit(0.5 + confidence / 2), F.col("df")) * F.col("se_mean")
+    return out.withColumn("p", _two_sided(F.col("t"), F.col("df"))).withColumn("ci_low", F.col("difference") - half).withColumn("ci_high", F.col("difference") + half)
 
 
-def t_independent(frame: Frame, x: str, by: str, one, two) -> DataFrame:
-    """Pooled and unequal-variance t of two groups, from conditional moments in one pass."""
+def t_one_sample(frame: Frame, x: str, value: float, confidence: float = 0.95) -> DataFrame:
+    m = moments(frame, frame.valid(x).cast("double"))
+    return _t_test(frame.cases().agg(*[m[k].alias(k) for k in ("n", "mean", "sd", "se_mean")]), F.col("mean") - value, confidence)
+
+
+def t_paired(frame: Frame, a: str, b: str, confidence: float = 0.95) -> DataFrame:
+    m = moments(frame, (frame.valid(a) - frame.valid(b)).cast("double"))
+    return _t_test(frame.cases().agg(*[m[k].alias(k) for k in ("n", "mean", "sd", "se_mean")]), F.col("mean"), confidence)
+
+
+def t_independent(frame: Frame, x: str, by: str, one, two, confidence: float = 0.95) -> DataFrame:
+    """Pooled and unequal-variance t of two groups with p and intervals of the difference, from conditional moments in one pass."""
     v = frame.valid(x).cast("double")
-    a, b = (moments(F.when(frame.valid(by) == g, v), F.col("__w")) for g in (one, two))
+    a, b = (moments(frame, F.when(frame.valid(by) == g, v)) for g in (one, two))
     s = frame.cases().agg(*[m[k].alias(f"{p}{k}") for p, m in (("a_", a), ("b_", b)) for k in ("n", "mean", "variance")])
     n1, n2, m1, m2, v1, v2 = (F.col(c) for c in ("a_n", "b_n", "a_mean", "b_mean", "a_variance", "b_variance"))
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    e1, e2 = v1 / n1, v2 / n2
-    return s.select("*", ((m1 - m2) / F.sqrt(pooled * (1 / n1 + 1 / n2))).alias("t_pooled"), (n1 + n2 - 2).alias("df_pooled"), ((m1 - m2) / F.sqrt(e1 + e2)).alias("t_unequal"), ((e1 + e2) ** 2 / (e1**2 / (n1 - 1) + e2**2 / (n2 - 1))).alias("df_unequal"))
+    div = F.try_divide
+    pooled = div((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    e1, e2 = div(v1, n1), div(v2, n2)
+    s = s.withColumns({"difference": m1 - m2, "se_pooled": F.sqrt(pooled * (div(F.lit(1.0), n1) + div(F.lit(1.0), n2))), "se_unequal": F.sqrt(e1 + e2)})
+    s = s.withColumns({"df_pooled": n1 + n2 - 2, "df_unequal": div((e1 + e2) ** 2, div(e1**2, n1 - 1) + div(e2**2, n2 - 1))})
+    for kind in ("pooled", "unequal"):
+        t, df, se = F.col(f"t_{kind}"), F.col(f"df_{kind}"), F.col(f"se_{kind}")
+        half = S.distribution("idf.t", F.lit(0.5 + confidence / 2), df) * se
+        s = s.withColumn(f"t_{kind}", div(F.col("difference"), se)).withColumns({f"p_{kind}": _two_sided(t, df), f"ci_low_{kind}": F.col("difference") - half, f"ci_high_{kind}": F.col("difference") + half})
+    return s
 
 
 def levene(frame: Frame, x: str, by: str) -> DataFrame:
@@ -50,11 +67,13 @@ def levene(frame: Frame, x: str, by: str) -> DataFrame:
 
 
 def anova(frame: Frame, x: str, by: str) -> DataFrame:
-    """Between and within sums of squares, degrees of freedom and F."""
-    g = _groups(frame, x, by)
-    out = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("sum").alias("s"), F.sum(F.col("n") * F.col("mean") ** 2).alias("q"), F.sum((F.col("n") - 1) * F.col("variance")).alias("ss_within"))
-    out = out.withColumn("ss_between", F.col("q") - F.col("s") ** 2 / F.col("n")).withColumn("df_between", (F.col("k") - 1).cast("double")).withColumn("df_within", F.col("n") - F.col("k"))
-    return out.withColumn("f", (F.col("ss_between") / F.col("df_between")) / (F.col("ss_within") / F.col("df_within"))).drop("s", "q", "k")
+    """Between and within sums of squares, degrees of freedom, F and its significance. The grand mean is taken over the groups, of which there is a row each."""
+    g, every = _groups(frame, x, by), Window.partitionBy()
+    g = g.withColumn("grand", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(every), F.sum("n").over(every)))
+    out = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ss_between"), F.sum(F.when(F.col("n") > 1, (F.col("n") - 1) * F.col("variance")).otherwise(0.0)).alias("ss_within"))
+    out = out.withColumn("df_between", (F.col("k") - 1).cast("double")).withColumn("df_within", F.col("n") - F.col("k"))
+    out = out.withColumn("f", F.try_divide(F.try_divide("ss_between", "df_between"), F.try_divide("ss_within", "df_within")))
+    return out.withColumn("p", S.distribution("sig.f", F.col("f"), F.col("df_between"), F.col("df_within"))).drop("k")
 
 
 def contrast(frame: Frame, x: str, by: str, coefficients: dict) -> dict[str, float]:
@@ -62,10 +81,13 @@ def contrast(frame: Frame, x: str, by: str, coefficients: dict) -> dict[str, flo
     g = {r["g"]: r for r in _groups(frame, x, by).where(F.col("g").isin(*coefficients)).collect()}
     w = anova(frame, x, by).first()
     value = sum(c * g[k]["mean"] for k, c in coefficients.items())
-    se = math.sqrt(w["ss_within"] / w["df_within"] * sum(c * c / g[k]["n"] for k, c in coefficients.items()))
-    parts = [c * c * g[k]["variance"] / g[k]["n"] for k, c in coefficients.items()]
-    free = sum(parts) ** 2 / sum(p * p / (g[k]["n"] - 1) for p, k in zip(parts, coefficients, strict=True) if p)
-    return {"value": value, "t": value / se, "df": w["df_within"], "p": S.t_two_sided(value / se, w["df_within"]), "t_unequal": value / math.sqrt(sum(parts)), "df_unequal": free}
+    se = math.sqrt(w["ss_within"] / w["df_within"] * sum(c * c / g[k]["n"] for k, c in coefficients.items())) if w["df_within"] else 0.0
+    parts = [c * c * (g[k]["variance"] or 0.0) / g[k]["n"] for k, c in coefficients.items()]
+    spread = sum(p * p / (g[k]["n"] - 1) for p, k in zip(parts, coefficients, strict=True) if p)
+    free = sum(parts) ** 2 / spread if spread else 0.0
+    t = value / se if se else math.nan
+    unequal = value / math.sqrt(sum(parts)) if sum(parts) else math.nan
+    return {"value": value, "t": t, "df": w["df_within"], "p": S.t_two_sided(t, w["df_within"]) if se else math.nan, "t_unequal": unequal, "df_unequal": free, "p_unequal": S.t_two_sided(unequal, free) if free else math.nan}
 
 
 def post_hoc(frame: Frame, x: str, by: str) -> DataFrame:
@@ -75,35 +97,52 @@ def post_hoc(frame: Frame, x: str, by: str) -> DataFrame:
     a, b = (g.toDF(*[f"{p}_{c}" for c in g.columns]) for p in "ab")
     k = g.agg(F.count("*").cast("double").alias("groups"))
     pairs = a.join(b, F.col("a_g") < F.col("b_g")).crossJoin(F.broadcast(w.select("ss_within", "df_within"))).crossJoin(F.broadcast(k))
-    se = F.sqrt(F.col("ss_within") / F.col("df_within") * (1 / F.col("a_n") + 1 / F.col("b_n")))
-    pairs = pairs.withColumn("difference", F.col("a_mean") - F.col("b_mean")).withColumn("se", se).withColumn("t", F.col("difference") / F.col("se"))
+    se = F.sqrt(F.try_divide("ss_within", "df_within") * (F.try_divide(F.lit(1.0), "a_n") + F.try_divide(F.lit(1.0), "b_n")))
+    pairs = pairs.withColumn("difference", F.col("a_mean") - F.col("b_mean")).withColumn("se", se).withColumn("t", F.try_divide("difference", "se"))
     m = F.col("groups") * (F.col("groups") - 1) / 2
     pairs = pairs.withColumn("lsd", 2 * (1 - S.distribution("cdf.t", F.abs("t"), F.col("df_within")))).withColumn("bonferroni", F.least(F.lit(1.0), F.col("lsd") * m)).withColumn("sidak", 1 - F.pow(1 - F.col("lsd"), m))
-    return pairs.withColumn("scheffe", S.distribution("sig.f", F.col("t") ** 2 / (F.col("groups") - 1), F.col("groups") - 1, F.col("df_within"))).select(F.col("a_g").alias("g1"), F.col("b_g").alias("g2"), "difference", "se", "t", "lsd", "bonferroni", "sidak", "scheffe")
+    return pairs.withColumn("scheffe", S.distribution("sig.f", F.try_divide(F.col("t") ** 2, F.col("groups") - 1), F.col("groups") - 1, F.col("df_within"))).select(F.col("a_g").alias("g1"), F.col("b_g").alias("g2"), "difference", "se", "t", "lsd", "bonferroni", "sidak", "scheffe")
 
 
 def correlations(frame: Frame, names: list[str], listwise: bool = False) -> DataFrame:
-    """Pearson r, n and t of each pair; all pairs in one pass."""
+    """Pearson r, n, t, two-sided p, covariance and cross-product deviations of each pair; all pairs in one pass.
+
+    Weighted sums are taken of deviations from the means over all cases, which are aggregated first.
+    """
     cases, w = frame.cases(), F.col("__w")
     if listwise:
         cases = cases.where(reduce(lambda a, b: a & b, [frame.valid(n).isNotNull() for n in names]))
+    about = {n: 0.0 for n in names}
+    if frame.weight_by is not None:
+        first = cases.agg(*[F.try_divide(F.sum(w * frame.valid(n)), F.sum(F.when(frame.valid(n).isNotNull(), w))).cast("double").alias(f"m{i}") for i, n in enumerate(names)]).first()
+        about = {n: first[f"m{i}"] or 0.0 for i, n in enumerate(names)}
     aggs, pairs = [], [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     for i, (a, b) in enumerate(pairs):
         both = frame.valid(a).isNotNull() & frame.valid(b).isNotNull()
-        x, y = (F.when(both, frame.valid(v).cast("double")) for v in (a, b))
-        aggs += [F.sum(F.when(both, w)).alias(f"n{i}"), F.sum(w * x).alias(f"x{i}"), F.sum(w * y).alias(f"y{i}"), F.sum(w * x * y).alias(f"xy{i}"), F.sum(w * x * x).alias(f"xx{i}"), F.sum(w * y * y).alias(f"yy{i}")]
+        x, y = (F.when(both, frame.valid(v).cast("double") - F.lit(about[v])) for v in (a, b))
+        aggs.append(F.sum(F.when(both, w)).alias(f"n{i}"))
+        if frame.weight_by is None:
+            aggs += [F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{i}"), (F.covar_pop(x, y) * F.count(x)).alias(f"d{i}")]
+        else:
+            n, sx, sy = F.sum(F.when(both, w)), F.sum(w * x), F.sum(w * y)
+            sxy, sxx, syy = F.sum(w * x * y) - F.try_divide(sx * sy, n), F.sum(w * x * x) - F.try_divide(sx * sx, n), F.sum(w * y * y) - F.try_divide(sy * sy, n)
+            aggs += [F.try_divide(sxy, F.sqrt(sxx * syy)).alias(f"r{i}"), sxy.alias(f"d{i}")]
     one = cases.agg(*aggs)
     rows = []
     for i, (a, b) in enumerate(pairs):
-        n, x, y, xy, xx, yy = (F.col(f"{k}{i}") for k in ("n", "x", "y", "xy", "xx", "yy"))
-        r = (xy - x * y / n) / F.sqrt((xx - x * x / n) * (yy - y * y / n))
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), r.alias("r"), (r * F.sqrt((n - 2) / (1 - r * r))).alias("t")))
-    return one.select(F.inline(F.array(*rows)))
+        n, r, d = (F.col(f"{k}{i}") for k in ("n", "r", "d"))
+        t = r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
+        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), r.alias("r"), t.alias("t"), d.alias("cross_product"), F.try_divide(d, n - 1).alias("covariance")))
+    return one.select(F.inline(F.array(*rows))).withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(_two_sided(F.col("t"), F.col("n") - 2)))
 
 
 # -- nonparametric tests -----------------------------------------------------------------
 
 
+def _normal_two_sided(z: Column) -> Column:
+    return 2 * S.distribution("cdfnorm", -F.abs(z))
+
+
 def mean_ranks(df: DataFrame, x: Column, w: Column, keep: list[str] = ()) -> DataFrame:
     """Distinct x with weight, mean rank and the keep columns' cells; ranks are windowed over distinct values."""
     cells = df.where(x.isNotNull() & (w > 0)).groupBy(x.alias("x"), *keep).agg(F.sum(w).alias("c"))
@@ -120,16 +159,16 @@ def mann_whitney(frame: Frame, x: str, by: str, one, two) -> DataFrame:
     n = n1 + n2
     u1 = n1 * n2 + n1 * (n1 + 1) / 2 - F.col("rank_sum_1")
     u = F.least(u1, n1 * n2 - u1)
-    return out.withColumn("u", u).withColumn("z", (F.col("u") - n1 * n2 / 2) / F.sqrt(n1 * n2 / (n * (n - 1)) * ((n**3 - n - F.col("ties")) / 12))).drop("ties")
+    return out.withColumn("u", u).withColumn("z", F.try_divide(F.col("u") - n1 * n2 / 2, F.sqrt(F.try_divide(n1 * n2, n * (n - 1)) * ((n**3 - n - F.col("ties")) / 12)))).withColumn("p", _normal_two_sided(F.col("z"))).drop("ties")
 
 
 def kruskal_wallis(frame: Frame, x: str, by: str) -> DataFrame:
     r = mean_ranks(frame.cases().where(frame.valid(by).isNotNull()), frame.valid(x), F.col("__w"), [by])
     ties = r.agg(F.sum(F.col("c") * (F.col("tw") ** 2 - 1)).alias("ties"))
     g = r.groupBy(by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("s"))
-    out = g.agg(F.sum("n").alias("n"), F.sum(F.col("s") ** 2 / F.col("n")).alias("q"), (F.count("*") - 1).cast("double").alias("df")).crossJoin(F.broadcast(ties))
+    out = g.agg(F.sum("n").alias("n"), F.sum(F.try_divide(F.col("s") ** 2, F.col("n"))).alias("q"), (F.count("*") - 1).cast("double").alias("df")).crossJoin(F.broadcast(ties))
     n = F.col("n")
-    return out.withColumn("h", (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n**3 - n))).select("n", "df", "h")
+    return out.withColumn("h", F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.try_divide("ties", n**3 - n))).withColumn("p", S.distribution("sig.chisq", F.col("h"), F.col("df"))).select("n", "df", "h", "p")
 
 
 def _by_case(frame: Frame, names: list[str], keep: list[str] = ()) -> DataFrame:
@@ -144,8 +183,8 @@ def friedman(frame: Frame, names: list[str]) -> DataFrame:
     out = c.agg(F.sum("__w").alias("n"), *[F.sum(F.col("__w") * r).alias(f"r_{v}") for v, r in ranks.items()], F.sum(F.col("__w") * tied).alias("ties"))
     n = F.col("n")
     q = sum((F.col(f"r_{v}") ** 2 for v in names), F.lit(0.0))
-    chi = (12 / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * k * (k * k - 1)))
-    return out.select("n", chi.alias("chi_square"), F.lit(float(k - 1)).alias("df"), (chi / (n * (k - 1))).alias("kendall_w"))
+    chi = F.try_divide(F.try_divide(F.lit(12.0), n * k * (k + 1)) * q - 3 * n * (k + 1), 1 - F.try_divide(F.col("ties"), n * k * (k * k - 1)))
+    return out.select("n", chi.alias("chi_square"), F.lit(float(k - 1)).alias("df"), F.try_divide(chi, n * (k - 1)).alias("kendall_w")).withColumn("p", S.distribution("sig.chisq", F.col("chi_square"), F.col("df")))
 
 
 def cochran(frame: Frame, names: list[str], success: float) -> DataFrame:
@@ -154,7 +193,7 @@ def cochran(frame: Frame, names: list[str], success: float) -> DataFrame:
     row = sum(hit.values(), F.lit(0.0))
     out = c.agg(F.sum(w).alias("n"), *[F.sum(w * h).alias(f"c_{v}") for v, h in hit.items()], F.sum(w * row).alias("total"), F.sum(w * row**2).alias("rows"))
     squares = sum((F.col(f"c_{v}") ** 2 for v in names), F.lit(0.0))
-    return out.select("n", ((k - 1) * (k * squares - F.col("total") ** 2) / (k * F.col("total") - F.col("rows"))).alias("q"), F.lit(float(k - 1)).alias("df"))
+    return out.select("n", F.try_divide((k - 1) * (k * squares - F.col("total") ** 2), k * F.col("total") - F.col("rows")).alias("q"), F.lit(float(k - 1)).alias("df")).withColumn("p", S.distribution("sig.chisq", F.col("q"), F.col("df")))
 
 
 def wilcoxon(frame: Frame, a: str, b: str) -> DataFrame:
@@ -162,7 +201,7 @@ def wilcoxon(frame: Frame, a: str, b: str) -> DataFrame:
     r = mean_ranks(c, F.col("m"), F.col("__w"), ["sign"])
     out = r.agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("sign") > 0, F.col("c") * F.col("rank"))), F.lit(0.0)).alias("positive"), F.coalesce(F.sum(F.when(F.col("sign") < 0, F.col("c") * F.col("rank"))), F.lit(0.0)).alias("negative"), F.sum(F.col("c") * (F.col("tw") ** 2 - 1)).alias("ties"))
     n = F.col("n")
-    return out.withColumn("z", (F.least("positive", "negative") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)).drop("ties")
+    return out.withColumn("z", F.try_divide(F.least("positive", "negative") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))).withColumn("p", _normal_two_sided(F.col("z"))).drop("ties")
 
 
 def sign_test(frame: Frame, a: str, b: str) -> DataFrame:
@@ -183,8 +222,8 @@ def chi_square_one(frame: Frame, x: str, expected: dict | None = None) -> DataFr
     share = F.lit(1.0)
     for v, e in (expected or {}).items():
         share = F.when(F.col("v") == v, float(e)).otherwise(share)
-    c = c.withColumn("e", share).withColumn("e", F.col("e") / F.sum("e").over(whole) * F.sum("o").over(whole))
-    return c.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("chi_square"), (F.count("*") - 1).cast("double").alias("df"), F.sum("o").alias("n"))
+    c = c.withColumn("e", share).withColumn("e", F.try_divide(F.col("e"), F.sum("e").over(whole)) * F.sum("o").over(whole))
+    return c.agg(F.sum(F.try_divide((F.col("o") - F.col("e")) ** 2, F.col("e"))).alias("chi_square"), (F.count("*") - 1).cast("double").alias("df"), F.sum("o").alias("n")).withColumn("p", S.distribution("sig.chisq", F.col("chi_square"), F.col("df")))
 
 
 def binomial(frame: Frame, x: str, cut: float, p: float = 0.5) -> DataFrame:
@@ -192,18 +231,18 @@ def binomial(frame: Frame, x: str, cut: float, p: float = 0.5) -> DataFrame:
     low = frame.valid(x) <= cut
     out = frame.cases().where(frame.valid(x).isNotNull()).agg(F.sum(F.when(low, F.col("__w")).otherwise(0.0)).alias("n1"), F.sum(F.when(low, 0.0).otherwise(F.col("__w"))).alias("n2"))
     n = F.col("n1") + F.col("n2")
-    tail = S.distribution("cdf.binom", F.least("n1", "n2"), n, F.lit(0.5)) * 2 if p == 0.5 else F.when(F.col("n1") / n < p, S.distribution("cdf.binom", F.col("n1"), n, F.lit(p))).otherwise(1 - S.distribution("cdf.binom", F.col("n1") - 1, n, F.lit(p)))
+    tail = S.distribution("cdf.binom", F.least("n1", "n2"), n, F.lit(0.5)) * 2 if p == 0.5 else F.when(F.try_divide(F.col("n1"), n) < p, S.distribution("cdf.binom", F.col("n1"), n, F.lit(p))).otherwise(1 - S.distribution("cdf.binom", F.col("n1") - 1, n, F.lit(p)))
     return out.withColumn("p", F.least(F.lit(1.0), tail))
 
 
 def ks_normal(frame: Frame, x: str) -> DataFrame:
     """Largest deviations from the normal distribution with the sample's moments."""
     v = frame.valid(x).cast("double")
-    m = moments(v, F.col("__w"))
+    m = moments(frame, v)
     stats = frame.cases().agg(m["n"].alias("n"), m["mean"].alias("mean"), m["sd"].alias("sd"))
     cells = frame.cases().where(v.isNotNull()).groupBy(v.alias("v")).agg(F.sum("__w").alias("c")).withColumn("cc", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     f = cells.crossJoin(F.broadcast(stats)).withColumn("f", S.distribution("cdf.normal", F.col("v"), F.col("mean"), F.col("sd")))
-    return f.agg(F.max("n").alias("n"), F.max(F.col("cc") / F.col("n") - F.col("f")).alias("positive"), F.min((F.col("cc") - F.col("c")) / F.col("n") - F.col("f")).alias("negative")).withColumn("d", F.greatest("positive", -F.col("negative"))).withColumn("z", F.sqrt("n") * F.col("d"))
+    return f.agg(F.max("n").alias("n"), F.max(F.try_divide("cc", "n") - F.col("f")).alias("positive"), F.min(F.try_divide(F.col("cc") - F.col("c"), F.col("n")) - F.col("f")).alias("negative")).withColumn("d", F.greatest("positive", -F.col("negative"))).withColumn("z", F.sqrt("n") * F.col("d"))
 
 
 def runs(frame: Frame, x: str, cut: float) -> DataFrame:
@@ -214,21 +253,21 @@ def runs(frame: Frame, x: str, cut: float) -> DataFrame:
     c = c.withColumn("new", F.coalesce(F.col("up") != F.col("old"), F.lit(True)).cast("double"))
     out = c.agg(F.sum("new").alias("runs"), F.sum(F.col("up").cast("double")).alias("np"), F.sum((~F.col("up")).cast("double")).alias("nn"))
     n, a, b = F.col("np") + F.col("nn"), F.col("np"), F.col("nn")
-    mu, sd = 2 * a * b / n + 1, F.sqrt(2 * a * b * (2 * a * b - n) / (n * n * (n - 1)))
+    mu, sd = F.try_divide(2 * a * b, n) + 1, F.sqrt(F.try_divide(2 * a * b * (2 * a * b - n), n * n * (n - 1)))
     gap = F.col("runs") - mu
-    z = F.when(n >= 50, gap).when(gap < -0.5, gap + 0.5).when(gap > 0.5, gap - 0.5).otherwise(0.0) / sd
-    return out.withColumn("z", z)
+    z = F.try_divide(F.when(n >= 50, gap).when(gap < -0.5, gap + 0.5).when(gap > 0.5, gap - 0.5).otherwise(0.0), sd)
+    return out.withColumn("z", z).withColumn("p", _normal_two_sided(F.col("z")))
 
 
 def median_test(frame: Frame, x: str, by: str, median: float) -> DataFrame:
     from quillstat.operators.crosstabs import chi_square
 
     f = Frame(frame.df.withColumn("__above", F.when(frame.valid(x).isNotNull(), (frame.valid(x) > median).cast("int"))), frame.meta, frame.order, frame.weight_by, frame.filter_by)
-    return chi_square(f, "__above", by).select("n", "df", F.col("pearson").alias("chi_square"))
+    return chi_square(f, "__above", by).select("n", "df", F.col("pearson").alias("chi_square"), F.col("pearson_p").alias("p"))
 
 
 def jonckheere(frame: Frame, x: str, by: str) -> DataFrame:
-    """Sum of the Mann-Whitney counts of all ordered pairs of groups, and its z. Cells of value and group are cumulated, cases never paired."""
+    """Sum of the Mann-Whitney counts of all ordered pairs of groups, its z with the variance corrected for ties, and p. Cells of value and group are cumulated, cases never paired."""
     c = frame.cases().where(frame.valid(x).isNotNull() & frame.valid(by).isNotNull()).groupBy(frame.valid(x).alias("x"), F.col(by).alias("g")).agg(F.sum("__w").alias("c"))
     groups = c.groupBy("g").agg(F.sum("c").alias("ng"))
     lower = c.toDF("lx", "lg", "lc").groupBy("lg", "lx").agg(F.sum("lc").alias("lc"))
@@ -238,6 +277,11 @@ def jonckheere(frame: Frame, x: str, by: str) -> DataFrame:
     w = Window.partitionBy("lg").orderBy("x")
     marks = marks.withColumn("le", F.sum("add").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("eq", F.sum("add").over(Window.partitionBy("lg", "x")))
     j = marks.where("g is not null").agg(F.sum(F.col("c") * (F.col("le") - F.col("eq") / 2)).alias("j"))
-    n = groups.agg(F.sum("ng").alias("n"), F.sum(F.col("ng") ** 2).alias("q"), F.sum(F.col("ng") ** 2 * (2 * F.col("ng") + 3)).alias("v"))
-    out = j.crossJoin(F.broadcast(n))
-    return out.withColumn("mean", (F.col("n") ** 2 - F.col("q")) / 4).withColumn("z", (F.col("j") - F.col("mean")) / F.sqrt((F.col("n") ** 2 * (2 * F.col("n") + 3) - F.col("v")) / 72)).select("n", "j", "mean", "z")
+    sums = lambda df, c: df.agg(F.sum(c).alias("n"), F.sum(c * c).alias("q"), *[F.sum(e).alias(k) for k, e in (("a", c * (c - 1) * (2 * c + 5)), ("b", c * (c - 1) * (c - 2)), ("d", c * (c - 1)))])
+    g = sums(groups, F.col("ng"))
+    t = sums(c.groupBy("x").agg(F.sum("c").alias("tx")), F.col("tx")).select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("d").alias("td"))
+    out = j.crossJoin(F.broadcast(g)).crossJoin(F.broadcast(t))  # one row each
+    n = F.col("n")
+    variance = (n * (n - 1) * (2 * n + 5) - F.col("a") - F.col("ta")) / 72 + F.try_divide(F.col("b") * F.col("tb"), 36 * n * (n - 1) * (n - 2)) + F.try_divide(F.col("d") * F.col("td"), 8 * n * (n - 1))
+    out = out.withColumn("mean", (n**2 - F.col("q")) / 4).withColumn("z", F.try_divide(F.col("j") - F.col("mean"), F.sqrt(variance)))
+    return out.withColumn("p", _normal_two_sided(F.col("z"))).select("n", "j", "mean", "z", "p")

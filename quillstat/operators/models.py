@@ -28,8 +28,23 @@ def _complete(frame: Frame, names: list[str]) -> DataFrame:
     return frame.cases().where(reduce(lambda a, b: a & b, [frame.valid(n).isNotNull() for n in names]))
 
 
+def swept(a: np.ndarray, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """(inverse, used) of a symmetric matrix over its pivots in order; a term that is a combination of those before it is not used, its rows are 0."""
+    used, k = np.zeros(len(a), bool), len(a)
+    for j in range(k):
+        at = np.flatnonzero(used)
+        left = a[j, j] - a[j, at] @ np.linalg.solve(a[np.ix_(at, at)], a[at, j]) if len(at) else a[j, j]
+        used[j] = left > tolerance * a[j, j] > 0
+    out, at = np.zeros((k, k)), np.flatnonzero(used)
+    out[np.ix_(at, at)] = np.linalg.inv(a[np.ix_(at, at)])
+    return out, used
+
+
 def regression(frame: Frame, y: str, xs: list[str]) -> dict:
-    """Ordinary least squares with a constant: coefficients, standard errors, t, p, R2 and the ANOVA sums. Terms are centred first, for accuracy."""
+    """Ordinary least squares with a constant: coefficients, standard errors, t, p, R2 and the ANOVA sums.
+
+    Terms are centred first, for accuracy. A term that the ones before it determine gets the coefficient 0 and no t.
+    """
     names = [*xs, y]
     cases = _complete(frame, names)
     w = F.col("__w")
@@ -37,19 +52,20 @@ def regression(frame: Frame, y: str, xs: list[str]) -> dict:
     centred = [frame.valid(v).cast("double") - F.lit(float(means[v])) for v in names]
     s = cross_products(cases, centred, w)
     k, n = len(xs), float(means["n"])
-    b = np.linalg.solve(s[:k, :k], s[:k, k])
+    inverse, used = swept(s[:k, :k])
+    b = inverse @ s[:k, k]
     total = s[k, k]
     model = float(b @ s[:k, k])
     resid = total - model
-    df = n - k - 1
-    mse = resid / df
-    inverse = np.linalg.inv(s[:k, :k])
+    df = n - used.sum() - 1
+    ratio = lambda a, c: a / c if c else math.nan
+    mse = ratio(resid, df)
     m = np.array([means[v] for v in xs])
     constant = means[y] - b @ m
     se = np.sqrt(mse * np.r_[1 / n + m @ inverse @ m, np.diag(inverse)])
     coef = np.r_[constant, b]
-    t = coef / se
-    return {"terms": ["(Constant)", *xs], "b": coef, "se": se, "t": t, "p": np.array([S.t_two_sided(v, df) for v in t]), "r2": model / total, "ss_model": model, "ss_residual": resid, "df_residual": df, "f": model / k / mse, "n": n, "cov": mse * inverse}
+    t = np.array([ratio(c, e) for c, e in zip(coef, se, strict=True)])
+    return {"terms": ["(Constant)", *xs], "b": coef, "se": se, "t": t, "p": np.array([S.t_two_sided(v, df) for v in t]), "r2": ratio(model, total), "ss_model": model, "ss_residual": resid, "df_residual": df, "f": ratio(ratio(model, used.sum()), mse), "n": n, "cov": mse * inverse}
 
 
 def predict(frame: Frame, fit: dict, into: str = "pred", residual: tuple[str, str] | None = None) -> DataFrame:
@@ -72,13 +88,15 @@ def logistic(frame: Frame, y: str, xs: list[str], rounds: int = 20, tolerance: f
         row = cases.agg(*[F.sum(w * (target - p) * t).alias(f"g{i}") for i, t in enumerate(terms)], *[F.sum(spread * terms[i] * terms[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)], F.sum(w * F.log(F.when(target == 1, p).otherwise(1 - p))).alias("ll")).first()
         g = np.array([row[f"g{i}"] for i in range(k)])
         h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        step = np.linalg.solve(h, g)
+        inverse, _ = swept(h)
+        step = inverse @ g
         b = b + step
         if np.abs(step).max() < tolerance:
             break
     cases.unpersist()
-    se = np.sqrt(np.diag(np.linalg.inv(h)))
-    return {"terms": ["Constant", *xs], "b": b, "se": se, "wald": (b / se) ** 2, "p": np.array([1 - S.chisq_cdf(v, 1) for v in (b / se) ** 2]), "exp_b": np.exp(b), "minus_2ll": -2 * row["ll"]}
+    se = np.sqrt(np.diag(inverse))
+    wald = np.array([(v / e) ** 2 if e else math.nan for v, e in zip(b, se, strict=True)])
+    return {"terms": ["Constant", *xs], "b": b, "se": se, "wald": wald, "p": np.array([1 - S.chisq_cdf(v, 1) if v == v else v for v in wald]), "exp_b": np.exp(b), "minus_2ll": -2 * row["ll"]}
 
 
 def glm(frame: Frame, y: str, factors: list[str], interactions: list[tuple[str, ...]] = (), kind: int = 3) -> dict[str, tuple[float, float, float]]:
@@ -139,7 +157,7 @@ def factor(frame: Frame, names: list[str], extraction: str = "pc", min_eigen: fl
     k = max(1, int((values >= min_eigen).sum()))
     reduced, communal = r.copy(), np.ones(len(r))
     if extraction == "paf":
-        communal = 1 - 1 / np.diag(np.linalg.inv(r))
+        communal = 1 - 1 / np.maximum(np.diag(np.linalg.pinv(r)), 1.0)
     for _ in range(1 if extraction == "pc" else rounds):
         np.fill_diagonal(reduced, communal)
         e, v = np.linalg.eigh(reduced)
@@ -150,7 +168,7 @@ def factor(frame: Frame, names: list[str], extraction: str = "pc", min_eigen: fl
         if done and extraction != "pc":
             break
     loadings = loadings * np.where(loadings.sum(0) < 0, -1, 1)
-    inverse = np.linalg.inv(r)
+    inverse = np.linalg.pinv(r)
     partial = -inverse / np.sqrt(np.outer(np.diag(inverse), np.diag(inverse)))
     off = ~np.eye(len(r), dtype=bool)
     kmo = (r[off] ** 2).sum() / ((r[off] ** 2).sum() + (partial[off] ** 2).sum())
@@ -181,23 +199,23 @@ def reliability(frame: Frame, names: list[str]) -> DataFrame:
     total = reduce(lambda a, b: a + b, [frame.valid(v).cast("double") for v in names])
     from quillstat.operators.aggregate import moments
 
-    var = lambda c: moments(c, F.col("__w"))["variance"]
+    var = lambda c: moments(frame, c)["variance"]
     k = len(names)
     out = cases.agg(F.sum("__w").alias("n"), *[var(frame.valid(v).cast("double")).alias(f"v{i}") for i, v in enumerate(names)], var(total).alias("vt"))
     parts = reduce(lambda a, b: a + b, [F.col(f"v{i}") for i in range(k)])
-    return out.select("n", (k / (k - 1) * (1 - parts / F.col("vt"))).alias("alpha"))
+    return out.select("n", (k / (k - 1) * (1 - F.try_divide(parts, F.col("vt")))).alias("alpha"))
 
 
 def split_half(frame: Frame, first: list[str], second: list[str]) -> DataFrame:
     from quillstat.operators.aggregate import moments
 
     a, b = (reduce(lambda x, y: x + y, [frame.valid(v).cast("double") for v in names]) for names in (first, second))
-    var = lambda c: moments(c, F.col("__w"))["variance"]
+    var = lambda c: moments(frame, c)["variance"]
     out = _complete(frame, [*first, *second]).agg(var(a).alias("va"), var(b).alias("vb"), var(a + b).alias("vt"))
-    r = (F.col("vt") - F.col("va") - F.col("vb")) / (2 * F.sqrt(F.col("va") * F.col("vb")))
+    r = F.try_divide(F.col("vt") - F.col("va") - F.col("vb"), 2 * F.sqrt(F.col("va") * F.col("vb")))
     na, nb = len(first), len(second)
     k = (1 - r * r) * (na * nb / (na + nb) ** 2)
-    return out.select(r.alias("r"), (2 * r / (1 + r)).alias("spearman_brown"), ((F.sqrt(r**4 + 4 * r * r * k) - r * r) / (2 * k)).alias("spearman_brown_unequal"), (2 * (F.col("vt") - F.col("va") - F.col("vb")) / F.col("vt")).alias("guttman"))
+    return out.select(r.alias("r"), F.try_divide(2 * r, 1 + r).alias("spearman_brown"), F.try_divide(F.sqrt(r**4 + 4 * r * r * k) - r * r, 2 * k).alias("spearman_brown_unequal"), F.try_divide(2 * (F.col("vt") - F.col("va") - F.col("vb")), F.col("vt")).alias("guttman"))
 
 
 def roc_cells(frame: Frame, x: str, state: str, positive) -> DataFrame:
@@ -217,15 +235,15 @@ def roc(frame: Frame, x: str, state: str, positive) -> DataFrame:
     neg_below = F.col("__n") - na - q
     s = c.agg(F.sum(q * (pa + p / 2)).alias("s"), F.sum(q * (pa**2 + pa * p + p**2 / 3)).alias("s1"), F.sum(p * (neg_below**2 + neg_below * q + q**2 / 3)).alias("s2"), F.max("__p").alias("n_positive"), F.max("__n").alias("n_negative"))
     n1, n2 = F.col("n_positive"), F.col("n_negative")
-    s = s.withColumn("auc", F.col("s") / (n1 * n2)).withColumn("q1", F.col("s1") / (n2 * n1**2)).withColumn("q2", F.col("s2") / (n1 * n2**2))
+    s = s.withColumn("auc", F.try_divide(F.col("s"), n1 * n2)).withColumn("q1", F.try_divide(F.col("s1"), n2 * n1**2)).withColumn("q2", F.try_divide(F.col("s2"), n1 * n2**2))
     a = F.col("auc")
-    return s.withColumn("se", F.sqrt((a * (1 - a) + (n1 - 1) * (F.col("q1") - a * a) + (n2 - 1) * (F.col("q2") - a * a)) / (n1 * n2))).select("n_positive", "n_negative", "auc", "se")
+    return s.withColumn("se", F.sqrt(F.try_divide(a * (1 - a) + (n1 - 1) * (F.col("q1") - a * a) + (n2 - 1) * (F.col("q2") - a * a), n1 * n2))).select("n_positive", "n_negative", "auc", "se")
 
 
 def roc_coordinates(frame: Frame, x: str, state: str, positive) -> DataFrame:
     c = roc_cells(frame, x, state, positive)
     n = c.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    return c.crossJoin(F.broadcast(n)).select(F.col("x").alias("cutoff"), ((F.col("pos_above") + F.col("pos")) / F.col("__p")).alias("sensitivity"), ((F.col("neg_above") + F.col("neg")) / F.col("__n")).alias("one_minus_specificity"))
+    return c.crossJoin(F.broadcast(n)).select(F.col("x").alias("cutoff"), F.try_divide(F.col("pos_above") + F.col("pos"), F.col("__p")).alias("sensitivity"), F.try_divide(F.col("neg_above") + F.col("neg"), F.col("__n")).alias("one_minus_specificity"))
 
 
 def quick_cluster(frame: Frame, names: list[str], k: int, rounds: int = 10) -> tuple[np.ndarray, DataFrame]:

@@ -14,9 +14,10 @@ from quillstat.operators.quantiles import quantile
 _STATS = ("n", "mean", "se_mean", "sd", "variance", "skewness", "se_skewness", "kurtosis", "se_kurtosis", "min", "max", "range", "sum")
 
 
-def _stats(x, w) -> dict:
+def _stats(frame: Frame, x) -> dict:
+    w = F.col("__w")
     lo, hi = F.min(F.when(w > 0, x)), F.max(F.when(w > 0, x))
-    return moments(x, w) | {"min": lo, "max": hi, "range": hi - lo}
+    return moments(frame, x) | {"min": lo, "max": hi, "range": hi - lo}
 
 
 def _melted(one: DataFrame, keys: list[str], names: list[str], stats: list[str], label: str = "variable") -> DataFrame:
@@ -29,7 +30,8 @@ def descriptives(frame: Frame, names: list[str], stats: list[str] = _STATS, list
     cases = frame.cases()
     if listwise:
         cases = cases.where(reduce(lambda a, b: a & b, [frame.valid(n).isNotNull() for n in names]))
-    aggs = [_stats(frame.valid(n).cast("double"), F.col("__w"))[s].cast("double").alias(f"{n}__{s}") for n in names for s in stats]
+    every = {n: _stats(frame, frame.valid(n).cast("double")) for n in names}
+    aggs = [every[n][s].cast("double").alias(f"{n}__{s}") for n in names for s in stats]
     by = list(frame.split_by)
     return _melted(cases.groupBy(*by).agg(*aggs), by, names, list(stats))
 
@@ -40,7 +42,7 @@ def z_scores(frame: Frame, names: list[str], prefix: str = "Z") -> DataFrame:
     out = frame.df
     aggs = []
     for n in names:
-        m = moments(frame.valid(n).cast("double"), F.col("__w"))
+        m = moments(frame, frame.valid(n).cast("double"))
         aggs += [m["mean"].alias(f"__m_{n}"), m["sd"].alias(f"__s_{n}")]
     stats = frame.cases().groupBy(*by).agg(*aggs).toDF(*[f"__k_{k}" for k in by], *[f"__{s}_{n}" for n in names for s in "ms"])
     test = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by], F.lit(True))
@@ -54,7 +56,7 @@ def frequencies(frame: Frame, name: str, descending: bool = False) -> DataFrame:
     whole = Window.partitionBy()
     order = F.col("value").desc() if descending else F.col("value").asc()
     good = F.when(~F.col("missing"), F.col("frequency"))
-    c = c.withColumns({"percent": 100 * F.col("frequency") / F.sum("frequency").over(whole), "valid_percent": 100 * good / F.sum(good).over(whole)})
+    c = c.withColumns({"percent": F.try_divide(100 * F.col("frequency"), F.sum("frequency").over(whole)), "valid_percent": F.try_divide(100 * good, F.sum(good).over(whole))})
     run = Window.partitionBy("missing").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return c.withColumn("cum_percent", F.when(~F.col("missing"), F.sum("valid_percent").over(run)))
 
@@ -74,9 +76,9 @@ def percentiles(frame: Frame, name: str, probs: list[float], method: str = "enha
 def means(frame: Frame, dependent: str, layers: list[str], stats: list[str] = ("mean", "n", "sd")) -> DataFrame:
     """A row for each cell of the layer variables, and a total with null keys."""
     x, w = frame.valid(dependent).cast("double"), F.col("__w")
-    every = _stats(x, w) | {
+    every = _stats(frame, x) | {
         "harmonic": F.try_divide(F.sum(F.when(x.isNotNull(), w)), F.sum(F.try_divide(w, x))),
-        "geometric": F.exp(F.sum(w * F.when(x > 0, F.log(x))) / F.sum(F.when(x.isNotNull(), w))),
+        "geometric": F.exp(F.try_divide(F.sum(w * F.when(x > 0, F.log(x))), F.sum(F.when(x.isNotNull(), w)))),
     }
     cases = frame.cases().where(x.isNotNull() & reduce(lambda a, b: a & b, [frame.valid(v).isNotNull() for v in layers]))
     aggs = [every[s].alias(s) for s in stats]
@@ -89,15 +91,16 @@ def examine(frame: Frame, name: str, factor: list[str] = (), confidence: float =
     from quillstat.functions.special import distribution
 
     by = list(factor)
-    cases = frame.cases().select(*by, frame.valid(name).cast("double").alias("__x"), "__w").where("__x is not null")
-    s = _stats(F.col("__x"), F.col("__w"))
+    x = frame.valid(name).cast("double")
+    cases = frame.cases().withColumn("__x", x).where("__x is not null")
+    s = _stats(frame, x)
     out = cases.groupBy(*by).agg(*[s[k].alias(k) for k in _STATS])
     t = distribution("idf.t", F.lit(0.5 + confidence / 2), F.col("n") - 1)
     out = out.withColumn("ci_low", F.col("mean") - t * F.col("se_mean")).withColumn("ci_high", F.col("mean") + t * F.col("se_mean"))
     cells = cases.groupBy(*by, "__x").agg(F.sum("__w").alias("c"))
     cells = cells.withColumn("W", F.sum("c").over(Window.partitionBy(*by))).withColumn("hi", F.sum("c").over(Window.partitionBy(*by).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)))
     inside = F.greatest(F.lit(0.0), F.least(F.col("hi"), 0.95 * F.col("W")) - F.greatest(F.col("hi") - F.col("c"), 0.05 * F.col("W")))
-    trimmed = cells.groupBy(*by).agg((F.sum(inside * F.col("__x")) / (0.9 * F.max("W"))).alias("trimmed_mean"))
+    trimmed = cells.groupBy(*by).agg(F.try_divide(F.sum(inside * F.col("__x")), 0.9 * F.max("W")).alias("trimmed_mean"))
     q = quantile(cases, by, "__x", "__w", [0.25, 0.5, 0.75])
     for extra in (trimmed, q):
         extra = extra.toDF(*[f"__k_{c}" if c in by else c for c in extra.columns])

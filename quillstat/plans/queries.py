@@ -287,7 +287,7 @@ def mann_whitney(spark, d):
 @query("""with k as (select event_type as g, count(*) over (order by value range unbounded preceding) - (count(*) over (partition by value) - 1) / 2.0 as rk, count(*) over (partition by value) as tw, count(*) over () as n from events), s as (select g, count(*) as ng, sum(rk) as rs from k group by g), t as (select sum(tw * tw - 1) as ties, max(n) as n from k)
 select n::double as n, (select count(*) - 1 from s)::double as df, round((12.0 / (n * (n + 1.0)) * (select sum(rs * rs / ng) from s) - 3 * (n + 1)) / (1 - ties / (n::double ** 3 - n)), 6) as h from t""")
 def kruskal_wallis(spark, d):
-    return r(inference.kruskal_wallis(frame(spark, d, "events"), "value", "event_type"))
+    return r(inference.kruskal_wallis(frame(spark, d, "events"), "value", "event_type").select("n", "df", "h"))
 
 
 @query("""with c as (select l_quantity / 50 as a, l_discount * 10 as b, l_tax * 12 as c from lineitem), k as (select 1 + (b < a)::int + (c < a)::int + ((b = a)::int + (c = a)::int) / 2.0 as ra, 1 + (a < b)::int + (c < b)::int + ((a = b)::int + (c = b)::int) / 2.0 as rb, 1 + (a < c)::int + (b < c)::int + ((a = c)::int + (b = c)::int) / 2.0 as rc, ((1 + (a = b)::int + (a = c)::int) ** 2 + (1 + (a = b)::int + (b = c)::int) ** 2 + (1 + (a = c)::int + (b = c)::int) ** 2 - 3) as t from c),
@@ -307,7 +307,7 @@ def wilcoxon(spark, d):
 
 @query("""with c as (select event_type, count(*)::double as o from events group by 1) select round(sum((o - t / k) ** 2 / (t / k)), 6) as chi_square, (max(k) - 1)::double as df, max(t) as n from c, (select sum(o) as t, count(*) as k from c)""")
 def chi_square_one(spark, d):
-    return r(inference.chi_square_one(frame(spark, d, "events"), "event_type"))
+    return r(inference.chi_square_one(frame(spark, d, "events"), "event_type").select("chi_square", "df", "n"))
 
 
 @query("""with c as (select l_quantity as a, l_discount * 100 as b, l_tax * 100 as c from lineitem) select count(*)::double as n, round(1.5 * (1 - (var_samp(a) + var_samp(b) + var_samp(c)) / var_samp(a + b + c)), 8) as alpha from c""")

@@ -172,3 +172,53 @@ def test_select_if_takes_numbers(spark):
     frame = Frame(spark.createDataFrame([(1.0,), (2.0,), (None,)], "x double"))
     assert [r[0] for r in frame.select_if(F.col("x")).df.collect()] == [1.0]
     assert [r[0] for r in frame.select_if(F.col("x") > 1).df.collect()] == [2.0]
+
+
+def test_moments_of_large_means(spark):
+    """Deviations survive a mean that is a billion times larger, with and without weights."""
+    rows = [(1e9 + i, 2.0, i % 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "x double, w double, g int")
+    plain = univariate.descriptives(Frame(df), ["x"]).first()
+    assert plain["sd"] == pytest.approx(1.0) and plain["skewness"] == pytest.approx(0.0, abs=1e-9)
+    heavy = univariate.descriptives(Frame(df, weight_by="w"), ["x"]).first()
+    assert heavy["variance"] == pytest.approx(4 / 5) and heavy["n"] == 6
+    minutes = spark.range(100_000).select((F.col("id") * 60 + 1.38e10).alias("x"), F.lit(1.0).alias("w"))
+    for frame in (Frame(minutes), Frame(minutes, weight_by="w")):
+        assert univariate.descriptives(frame, ["x"], ["kurtosis"]).first()["kurtosis"] == pytest.approx(-1.2, abs=1e-3)
+    r = inference.correlations(Frame(minutes.withColumn("y", -F.col("x")), weight_by="w"), ["x", "y"]).first()
+    assert r["r"] == pytest.approx(-1.0)
+
+
+def test_constant_columns_give_missing_statistics(spark):
+    rows = [(5.0, float(i), i % 2, i % 3, 2.0 * i, 5.0) for i in range(12)]
+    frame = Frame(spark.createDataFrame(rows, "c double, x double, g int, h int, x2 double, c2 double"), order=("x",))
+    assert inference.t_one_sample(frame, "c", 4.0).first()["t"] is None
+    d = univariate.descriptives(frame, ["c"]).first()
+    assert (d["sd"], d["skewness"], d["kurtosis"]) == (0.0, None, None)
+    assert inference.t_paired(frame, "c", "c").first()["t"] is None
+    assert inference.t_independent(frame, "c", "g", 0, 1).first()["t_pooled"] is None
+    assert inference.correlations(frame, ["c", "x"]).first()["r"] is None
+    assert inference.anova(frame, "c", "h").first()["f"] is None
+    assert inference.kruskal_wallis(frame, "c", "h").first()["h"] is None
+    assert inference.mann_whitney(frame, "c", "g", 0, 1).first()["z"] is None
+    assert inference.friedman(frame, ["c", "c2"]).first()["chi_square"] is None
+    assert inference.runs(frame, "c", 9.0).first()["z"] is None
+    assert models.reliability(frame, ["c", "c2"]).first()["alpha"] is None
+    assert crosstabs.chi_square(frame, "c", "g").first()["cramers_v"] is None
+    fit = models.regression(frame, "x", ["x2", "c", "x2"])
+    assert fit["b"].tolist() == pytest.approx([0.0, 0.5, 0.0, 0.0]) and math.isnan(fit["t"][2]) and fit["r2"] == pytest.approx(1.0)
+
+
+def test_significance_and_intervals(spark):
+    """Tails against the closed forms of small degrees of freedom."""
+    frame = Frame(spark.createDataFrame([(1.0, 0), (2.0, 0), (4.0, 1), (7.0, 1)], "x double, g int"))
+    t = inference.t_independent(frame, "x", "g", 0, 1).first()
+    # With two degrees of freedom P(|T| > t) is 1 - t / sqrt(t * t + 2).
+    assert t["p_pooled"] == pytest.approx(1 - abs(t["t_pooled"]) / math.sqrt(t["t_pooled"] ** 2 + 2))
+    assert inference.anova(frame, "x", "g").first()["p"] == pytest.approx(t["p_pooled"])
+    half = 4.302652729749464 * t["se_pooled"]
+    assert (t["ci_low_pooled"], t["ci_high_pooled"]) == pytest.approx((t["difference"] - half, t["difference"] + half))
+    r = inference.correlations(frame, ["x", "g"]).first()
+    assert r["p"] == pytest.approx(t["p_pooled"])
+    k = inference.kruskal_wallis(frame, "x", "g").first()
+    assert k["p"] == pytest.approx(math.erfc(math.sqrt(k["h"] / 2)))
