@@ -1,15 +1,23 @@
-"""Toxicity by compression distance: windows are compressed with a dictionary of toxic and one of ordinary text.
-
-The windows are single words between blanks, lower-cased, with each byte written
-as WIDTH bytes; zstandard then spends a few bytes on a window that its dictionary holds
-and many on one that it doesn't, so the difference of the two lengths is far from the
-granularity of a byte. A document is summed up by a smooth maximum of its
-windows' differences, which isotonic regression turns into a probability.
+"""Toxicity by compression distance: windows are compressed with a zstandard dictionary of toxic and one of ordinary text.
+
+Windows are runs of WORDS words. Both dictionaries begin as the windows of their
+class's labelled texts, half against half. The stretches of toxic texts that the
+toxic dictionary shortens more than the ordinary one does are then what the next
+toxic dictionary is trained on, so that over a few rounds it narrows down to what
+is toxic in toxic texts. Both end in the same trained base of ordinary text, which
+keeps their lengths equal on everything else.
+
+Lengths in whole bytes are coarse for short windows, so each byte is first written as
+WIDTH bytes. A document is described by the differences of its windows' two
+lengths: the greatest ones and how many reach each of THRESHOLDS; a logistic fit and
+isotonic regression on differences from the other half's dictionaries calibrate
+them to a probability.
 """
 
 from __future__ import annotations
 
 import random
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,166 +29,278 @@ from pyspark.sql import types as T
 
 from quillstat.llm import _words as W
 from quillstat.llm._fitting import SAMPLE_ROWS, calibrated, isotonic, labelled_sample
-from quillstat.llm._tables import store
 
-TOXIC_WORDS = 1000
-ORDINARY_WORDS = 4000
+#: Words of a window, and bytes that each byte of a window becomes.
+WORDS, WIDTH = 4, 2
 LEVEL = 13
-#: A stem is toxic if its share of toxic documents is so many times that of ordinary ones.
-RATIO = 15
-#: Windows whose lengths a task remembers.
-REMEMBERED = 300_000
-SHARPNESS = 0.5
-#: Bytes that each byte of a window becomes.
-WIDTH = 10
+#: Rounds in which the toxic dictionary is narrowed.
+ROUNDS = 2
+#: Bytes of the base of ordinary text and of what each class adds to it.
+BASE, OWN = 400_000, 6_000
+#: Bytes of the raw dictionaries of the first round.
+FIRST = 6_000_000
+#: A window, and then a word of it, is kept for the next dictionary if its difference is greater.
+WINDOW_OVER, WORD_OVER = 2, 1
+#: Windows are compared if the ordinary dictionary shortens them no better than all but this share of the telling ones.
+OPEN = 0.05
+#: Most windows of each class and half that the dictionaries are trained on, chosen by a hash.
+TRAIN_WINDOWS = 100_000
+#: Differences in bytes whose windows are counted.
+THRESHOLDS = (1, 2, 3, 4, 5, 7, 9, 12)
+#: Windows compressed at once.
+BATCH = 50_000
 
 _rng = random.Random(7)
-_WIDE = [bytes(_rng.randrange(256) for _ in range(WIDTH)) for _ in range(256)]
+_WIDE = np.array([[_rng.randrange(256) for _ in range(WIDTH)] for _ in range(256)], np.uint8)
+_WIDE[65:91] = _WIDE[97:123]
+_WIDE[9:14] = _WIDE[32]
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end byte) of the windows of a block, each with the blanks around it; a row's last window may be shorter."""
+    starts, ends = W._spans(data, offsets)
+    first = np.searchsorted(starts, offsets)
+    n = -(-np.diff(first) // words)
+    row = np.repeat(np.arange(len(n)), n)
+    head = first[row] + words * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+    tail = np.minimum(head + words, first[row + 1]) - 1
+    return row, np.maximum(starts[head] - 1, offsets[row]), np.minimum(ends[tail] + 1, offsets[row + 1])
 
 
-def widened(window: bytes) -> bytes:
-    return b"".join([_WIDE[x] for x in window])
+def widened(text: bytes | np.ndarray) -> bytes:
+    return _WIDE[np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text].tobytes()
 
 
-def stems(word: str) -> set[str]:
-    return {" " + word[:k] for k in (4, 5, 6, 7)} | {f" {word} "}
+def _lengths(compressor: zstandard.ZstdCompressor, wide: bytes, segments: np.ndarray) -> np.ndarray:
+    """Compressed length of each (offset, length) of ``wide``."""
+    if not len(segments):
+        return np.zeros(0, np.int64)
+    out = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(wide, segments.astype(np.uint64).tobytes()))
+    return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
 
 
 @dataclass
 class Dictionaries:
-    """Words of the two dictionaries, most frequent last; compressors are made where they are used."""
+    """Contents of the two dictionaries; compressors are made where they are used."""
 
-    toxic: list[str]
-    ordinary: list[str]
+    toxic: bytes
+    ordinary: bytes
+    open: float = 0.0  # windows that the ordinary dictionary brings below this share of their length differ by 0
 
     def __post_init__(self):
         self._made = None
 
     def __getstate__(self):
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "_made": None}
+        return {"toxic": self.toxic, "ordinary": self.ordinary, "open": self.open, "_made": None}
 
-    def difference(self, window: bytes) -> int:
-        """Bytes that the ordinary dictionary needs beyond the toxic one."""
+    def differences(self, wide: bytes, segments: np.ndarray) -> np.ndarray:
+        """Bytes that the ordinary dictionary needs beyond the toxic one for each (offset, length) of ``wide``."""
         if self._made is None:
-            made = []
-            for words in (self.toxic, self.ordinary):
-                d = zstandard.ZstdCompressionDict(widened(b"".join(f" {w} ".encode() for w in words)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self._made = []
+            for content in (self.ordinary, self.toxic):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
-                made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
-            self._made, self._known = made, {}
-        found = self._known.get(window)
-        if found is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            wide = widened(window)
-            found = self._known[window] = len(self._made[1].compress(wide)) - len(self._made[0].compress(wide))
-        return found
-
-    def raw_scores(self, column: pa.Array) -> np.ndarray:
-        """Smooth maximum of the differences of each whole text's windows; very low without words."""
-        out = np.full(len(column), -50.0)
-        for row, data in W.documents(column):
-            words = data.tobytes().decode("utf-8", "replace").lower().split()
-            if words:
-                d = np.fromiter((self.difference(f" {w} ".encode()) for w in words), float, len(words))
-                top = d.max()
-                out[row] = top + SHARPNESS * np.log(np.exp((d[d > top - 20] - top) / SHARPNESS).sum())
+                self._made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
+        plain, toxic = self._made
+        lengths = _lengths(plain, wide, segments)
+        at = np.flatnonzero(lengths >= self.open * segments[:, 1])
+        out = np.zeros(len(segments), np.int64)
+        out[at] = lengths[at] - _lengths(toxic, wide, segments[at])
         return out
 
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        """Differences of windows given as bytes."""
+        return np.concatenate([np.zeros(0, np.int64), *(self.differences(*_packed(texts[lo : lo + BATCH])) for lo in range(0, len(texts), BATCH))])
+
+    def shares(self, texts: list[bytes]) -> np.ndarray:
+        """Share of their length to which the ordinary dictionary brings windows given as bytes."""
+        self.of(texts[:1])
+        wide, segments = _packed(texts)
+        return _lengths(self._made[0], wide, segments) / np.maximum(segments[:, 1], 1)
+
+    def features(self, column: pa.Array) -> np.ndarray:
+        """What describes each whole text: its greatest difference, the sum of the greatest three, and windows reaching each threshold, by number and by share. All 0 without words."""
+        out = np.zeros((len(column), 3 + 2 * len(THRESHOLDS)))
+        for lo, data, offsets in W.blocks(column):
+            row, start, end = windows(data, offsets)
+            if not len(row):
+                continue
+            d = [np.zeros(0, np.int64)]
+            for at in range(0, len(row), BATCH):
+                s, e = start[at : at + BATCH], end[at : at + BATCH]
+                d.append(self.differences(widened(data[s[0] : e[-1]]), np.stack([s - s[0], e - s], axis=1) * WIDTH))
+            d = np.concatenate(d)
+            rows = len(offsets) - 1
+            n = np.bincount(row, minlength=rows)
+            order = np.lexsort((-d, row))
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            mine = out[lo : lo + rows]
+            mine[:, 0] = np.bincount(row, np.where(nth == 0, d[order], 0), rows)
+            mine[:, 1] = np.bincount(row, np.where(nth < 3, d[order], 0), rows)
+            mine[:, 2] = np.log1p(n)
+            for k, t in enumerate(THRESHOLDS):
+                count = np.bincount(row, d >= t, rows)
+                mine[:, 3 + 2 * k], mine[:, 4 + 2 * k] = np.log1p(count), count / np.maximum(n, 1)
+        return out
 
-def train(counts: DataFrame, n_toxic: int, n_ordinary: int, t: str, o: str) -> Dictionaries | None:
-    """Dictionaries from (gram, is_word, document counts): words with a stem that is far more common in toxic documents, and the commonest ordinary words."""
-    if n_toxic < 3 or n_ordinary < 3:
-        return None
-    telling = (F.col(t) >= max(3, n_toxic // 40)) & (F.col(t) / n_toxic >= RATIO * (F.col(o) + 1) / (n_ordinary + 1))
-    good = counts.where(telling).orderBy(F.col(t).desc(), "gram").limit(10 * TOXIC_WORDS).select("gram")
-    words = counts.where("is_word")
-    word = F.trim("gram")
-    stemmed = words.where(F.col(t) > 0).select("gram", t, F.explode(F.array(F.col("gram"), *[F.concat(F.lit(" "), F.substring(word, 1, k)) for k in (4, 5, 6, 7)])).alias("stem"))
-    toxic = stemmed.join(F.broadcast(good.withColumnRenamed("gram", "stem")), "stem", "left_semi").groupBy("gram").agg(F.max(t).alias("n"))
-    toxic = [r["gram"].strip() for r in toxic.orderBy(F.desc("n"), "gram").limit(TOXIC_WORDS).collect()]
-    ordinary = [r["gram"].strip() for r in words.where(F.col(o) > 0).orderBy(F.col(o).desc(), "gram").limit(ORDINARY_WORDS).collect()]
-    return Dictionaries(toxic[::-1], ordinary[::-1]) if toxic else None
 
+def _packed(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    ends = np.cumsum([0, *map(len, texts)]) * WIDTH
+    return widened(b"".join(texts)), np.stack([ends[:-1], np.diff(ends)], axis=1)
+
+
+def _trained(texts: list[bytes], size: int) -> bytes:
+    """A dictionary trained on widened texts; where they are too few to train on, their end."""
+    wide = [widened(t) for t in texts]
+    try:
+        return zstandard.train_dictionary(size, wide).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(wide)[-size:]
+
+
+def _shuffled(texts: list[bytes]) -> list[bytes]:
+    """The same order whatever order they come in."""
+    texts = sorted(texts)
+    random.Random(len(texts)).shuffle(texts)
+    return texts
+
+
+def narrowed(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[Dictionaries, list[Dictionaries]]:
+    """Dictionaries of all windows, and of each half, from the windows of the two halves of each class."""
+    first = lambda texts: widened(b" ".join(texts))[:FIRST]
+    halves = [Dictionaries(first(toxic[h]), first(ordinary[h])) for h in (0, 1)]
+    bases = [_trained(ordinary[h], BASE) for h in (0, 1)]
+    others = [_trained(ordinary[h][::3], OWN) for h in (0, 1)]
+    telling: list[list[bytes]] = [[], []]
+    for round_ in range(ROUNDS + 1):
+        for h in (0, 1):  # each half is judged by the other half's dictionaries
+            d = halves[1 - h].of(toxic[h])
+            words = [b" " + w + b" " for i in np.flatnonzero(d > WINDOW_OVER) for w in toxic[h][i].lower().split()]
+            telling[h] = [words[i] for i in np.flatnonzero(halves[1 - h].of(words) > WORD_OVER)]
+        if round_ < ROUNDS:
+            halves = [Dictionaries(_trained(telling[h], OWN) + bases[h], others[h] + bases[h]) for h in (0, 1)]
+    base = _trained(ordinary[0] + ordinary[1], BASE)
+    whole = Dictionaries(_trained(telling[0] + telling[1], OWN) + base, _trained((ordinary[0] + ordinary[1])[::5], OWN) + base)
+    found = [halves[1 - h].shares([toxic[h][i] for i in np.flatnonzero(halves[1 - h].of(toxic[h]) > WINDOW_OVER)]) for h in (0, 1)]
+    found = np.concatenate(found)
+    for d in (whole, *halves):
+        d.open = float(np.quantile(found, OPEN)) if len(found) else 0.0
+    return whole, halves
 
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """Documents of the sample that hold each stem and word: (gram, is_word, t0, o0, t1, o1), toxic and ordinary by half, and their sums t, o."""
 
-    def run(batches):
-        for b in batches:
-            counts: dict[str, list[int]] = {}
-            label, fold = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for row, data in W.documents(b.column(0)):
-                at = 2 * (fold[row] % 2) + (0 if label[row] else 1)
-                grams: set[str] = set()
-                for w in set(data.tobytes().decode("utf-8", "replace").lower().split()):
-                    grams |= stems(w)
-                for g in grams:
-                    counts.setdefault(g, [0, 0, 0, 0])[at] += 1
-            if counts:
-                values = np.array(list(counts.values()), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), *[pa.array(values[:, k]) for k in range(4)]], ["gram", "t0", "o0", "t1", "o1"])
-
-    names = ["t0", "o0", "t1", "o1"]
-    sums = sample.mapInArrow(run, "gram string, t0 long, o0 long, t1 long, o1 long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
-    sums = sums.where("t0 + o0 + t1 + o1 > 1").withColumn("is_word", F.col("gram").endswith(" "))
-    return store(sums.withColumns({"t": F.expr("t0 + t1"), "o": F.expr("o0 + o1")}), "gram-counts")
+@dataclass
+class Logistic:
+    """A ridge logistic fit over standardised features."""
+
+    centre: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> Logistic:
+        out = cls(x.mean(0), x.std(0) + 1e-9, np.zeros(x.shape[1] + 1))
+        a = out._design(x)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ out.weights, -30, 30)))
+            out.weights += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(a.shape[1]), a.T @ (y - p) - ridge * out.weights)
+        return out
+
+    def _design(self, x: np.ndarray) -> np.ndarray:
+        return np.c_[np.ones(len(x)), (x - self.centre) / self.scale]
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self._design(x) @ self.weights
 
 
 @dataclass
 class ToxicityModel:
     dictionaries: Dictionaries | None
+    logistic: Logistic | None
     knots: tuple[np.ndarray, np.ndarray] | None
     prior: float
 
     def score(self, column: pa.Array) -> np.ndarray:
-        if self.dictionaries is None or self.knots is None:
+        if self.dictionaries is None:
             return np.full(len(column), self.prior)
-        return calibrated(self.dictionaries.raw_scores(column), self.knots)
+        return calibrated(self.logistic.raw(self.dictionaries.features(column)), self.knots)
+
+
+def _sampled_windows(sample: DataFrame) -> list[list[list[bytes]]]:
+    """Windows by class (0 ordinary, 1 toxic) and half, about TRAIN_WINDOWS of each at most."""
+
+    def run(share):
+        def rows(batches):
+            for b in batches:
+                label, half = b.column(1).to_numpy(), b.column(2).to_numpy() % 2
+                for lo, data, offsets in W.blocks(b.column(0)):
+                    row, start, end = windows(data, offsets)
+                    raw = data.tobytes()
+                    kind = (label[lo + row] * 2 + half[lo + row]).astype(np.int64)
+                    if share is None:
+                        n = np.bincount(kind, minlength=4)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4)), pa.array(n), pa.array([b""] * 4)], ["kind", "n", "window"])
+                        continue
+                    chance = np.array([zlib.crc32(raw[s:e], int(i) & 0xFFFF) for i, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True))]) / 2**32
+                    at = np.flatnonzero(chance < np.array(share)[kind])
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(kind[at]), pa.array(np.ones(len(at), np.int64)), pa.array([raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.binary())], ["kind", "n", "window"])
+
+        return rows
+
+    schema = "kind long, n long, window binary"
+    counts = {r["kind"]: r["n"] for r in sample.mapInArrow(run(None), schema).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    share = [min(1.0, TRAIN_WINDOWS / max(1, counts.get(k, 0))) for k in range(4)]
+    found: list[list[bytes]] = [[], [], [], []]
+    for r in sample.mapInArrow(run(share), schema).select("kind", "window").toLocalIterator():
+        found[r["kind"]].append(bytes(r["window"]))
+    found = [_shuffled(x) for x in found]
+    return [found[:2], found[2:]]
 
 
 def fit(sample: DataFrame) -> ToxicityModel:
-    """Dictionaries from the whole sample; thresholds from scoring each half with the other half's dictionaries.
+    """Dictionaries from the windows of the sample; calibration from scoring each half with the other half's dictionaries.
 
-    With too few labels of either kind the score is the share of label 1 (0.5 without any).
+    Without words of either class in either half the score is the share of label 1 (0.5 without any labels).
     """
-    n = {(r["half"], r["label"]): r["n"] for r in sample.groupBy((F.col("fold") % 2).alias("half"), "label").agg(F.count("*").alias("n")).collect()}
-    rows = sum(n.values())
-    t, o = [[n.get((h, k), 0) for h in (0, 1)] for k in (1, 0)]
-    prior = sum(t) / rows if rows else 0.5
-    counts = gram_counts(sample)
-    whole = train(counts, sum(t), sum(o), "t", "o")
-    halves = [train(counts, t[h], o[h], f"t{h}", f"o{h}") or whole for h in (0, 1)]
-    if whole is None:
-        return ToxicityModel(None, None, prior)
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    prior = n.get(1, 0) / sum(n.values()) if n else 0.5
+    ordinary, toxic = _sampled_windows(sample)
+    if not all(map(len, (*ordinary, *toxic))):
+        return ToxicityModel(None, None, None, prior)
+    whole, halves = narrowed(toxic, ordinary)
+    size = 3 + 2 * len(THRESHOLDS)
 
     def held(batches):
         for b in batches:
             half = b.column(2).to_numpy() % 2
-            raw = np.zeros(b.num_rows)
+            x = np.zeros((b.num_rows, size))
             for h in (0, 1):
                 at = np.flatnonzero(half == h)
-                raw[at] = halves[1 - h].raw_scores(b.column(0).take(pa.array(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(raw), b.column(1)], ["raw", "label"])
+                x[at] = halves[1 - h].features(b.column(0).take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), pa.array(x.ravel())), b.column(1)], ["x", "label"])
 
-    scored = sample.mapInArrow(held, "raw double, label int").collect()
-    return ToxicityModel(whole, isotonic(np.array([r["raw"] for r in scored]), np.array([r["label"] for r in scored])), prior)
+    scored = sample.mapInArrow(held, "x array<double>, label int").collect()
+    x, y = np.array([r["x"] for r in scored]), np.array([r["label"] for r in scored])
+    logistic = Logistic.fit(x, y)
+    return ToxicityModel(whole, logistic, isotonic(logistic.raw(x), y), prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
     """All columns of docs and ``toxicity_score`` (0 to 1, higher: label 1 likelier), every whole text scored.
 
     ``usable`` says which rows of labels may be learned from, at most ``rows`` of
-    them. Only the text is an input of a score; null and empty texts get the
-    lowest score. A column named toxicity_score is replaced. An empty table
-    gives an empty table.
+    them. Only the text is an input of a score; null and empty texts have no windows
+    and get the score of such texts. A column named toxicity_score is replaced. An
+    empty table gives an empty table; without labels of both classes all score the
+    share of label 1.
     """
     model = fit(labelled_sample(docs, labels, label_col, id_col, text_col, usable, rows))
     docs = docs.drop("toxicity_score")
     at = docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(at)))], [*b.schema.names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(b.column(at)))], [*b.schema.names, "toxicity_score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())]))
