@@ -173,6 +173,28 @@ def time_hms(h: Column, m: Column, s: Column) -> Column:
     return h * 3600 + m * 60 + s
 
 
+def time_days(days: Column) -> Column:
+    return days * DAY
+
+
+def ctime(unit: str, x: Column) -> Column:
+    """A length of time in days, hours, minutes or seconds."""
+    return x / {"days": DAY, "hours": 3600.0, "minutes": 60.0, "seconds": 1.0}[unit]
+
+
+def date_mdy(m: Column, d: Column, y: Column) -> Column:
+    return date_dmy(d, m, y)
+
+
+def date_moyr(m: Column, y: Column) -> Column:
+    return date_dmy(F.lit(1), m, y)
+
+
+def yrmoda(y: Column, m: Column, d: Column) -> Column:
+    """Days since 14 October 1582; years 0 to 99 are of the twentieth century."""
+    return date_dmy(d, m, F.when(y.between(0, 99), y + 1900).otherwise(y)) / DAY
+
+
 def xdate(part: str, x: Column) -> Column:
     d = to_date(x)
     out = {
@@ -212,10 +234,13 @@ def same(a: Column, b: Column) -> Column:
 
 
 def index(s: Column, needle: str) -> Column:
-    return F.when(s.isNotNull(), F.instr(s, needle)).cast("double")
+    """Place of the first ``needle``, 0 if there is none; an empty needle is missing."""
+    return F.when(s.isNotNull(), F.instr(s, needle)).cast("double") if needle else F.lit(None).cast("double")
 
 
 def rindex(s: Column, needle: str) -> Column:
+    if not needle:
+        return F.lit(None).cast("double")
     at = F.instr(F.reverse(s), needle[::-1])
     return F.when(at == 0, 0).otherwise(F.length(s) - at - len(needle) + 2).cast("double")
 
@@ -285,11 +310,37 @@ def closed(name: str, x: Column, *a) -> Column:
     return finite(table[family]()[kind])
 
 
+def _stable(alpha: Column, beta: Column, seed: int) -> Column:
+    """A standard stable variate from a uniform angle and an exponential."""
+    v, w = math.pi * (F.rand(seed) - 0.5), -F.log1p(-F.rand(seed + 1))
+    half = math.pi / 2
+    one = 2 / math.pi * ((half + beta * v) * F.tan(v) - beta * F.log(half * w * F.cos(v) / (half + beta * v)))
+    t = beta * F.tan(half * alpha)
+    b, s = F.atan(t) / alpha, F.pow(1 + t * t, 1 / (2 * alpha))
+    other = s * F.sin(alpha * (v + b)) / F.pow(F.cos(v), 1 / alpha) * F.pow(F.cos(v - alpha * (v + b)) / w, (1 - alpha) / alpha)
+    return F.when(alpha == 1, one).otherwise(other)
+
+
 def random_variate(family: str, seed: int, *a) -> Column:
-    """A random variate by the inverse of its distribution."""
-    u = F.rand(seed)
-    if family == "normal":
-        return lit(a[0]) + lit(a[1]) * F.randn(seed)
-    if family == "bernoulli":
-        return (u < lit(a[0])).cast("double")
+    """A random variate, by the inverse of its distribution unless there is a shorter way."""
+    from quillstat.functions.special import distribution
+
+    u, a = F.rand(seed), [lit(v).cast("double") for v in a]
+    ways = {
+        "normal": lambda: a[0] + a[1] * F.randn(seed),
+        "bernoulli": lambda: (u < a[0]).cast("double"),
+        "lnormal": lambda: a[0] * F.exp(a[1] * F.randn(seed)),
+        "geom": lambda: F.ceil(F.log1p(-u) / F.log1p(-a[0])).cast("double"),
+        "levy": lambda: a[0] * _stable(a[1], F.lit(0.0), seed),
+        "lvskew": lambda: a[0] * _stable(a[1], a[2], seed),
+        "landau": lambda: math.pi / 2 * _stable(F.lit(1.0), F.lit(1.0), seed) + math.log(math.pi / 2),
+        "xpower": lambda: F.when(F.rand(seed + 1) < 0.5, -1.0).otherwise(1.0) * a[0] * F.pow(distribution("idf.gamma", u, 1 / a[1], F.lit(1.0)), 1 / a[1]),
+        "ntail": lambda: -a[1] * distribution("probit", (1 - u) * distribution("cdfnorm", -a[0] / a[1])),
+        "rtail": lambda: F.sqrt(a[0] * a[0] - 2 * a[1] * a[1] * F.log1p(-u)),
+        "log": lambda: F.floor(1 + F.log1p(-F.rand(seed + 1)) / F.log(1 - F.pow(1 - a[0], u))).cast("double"),
+    }
+    if family in ways:
+        return finite(ways[family]())
+    if family in ("beta", "chisq", "f", "gamma", "t", "binom", "hyper", "negbin", "poisson"):
+        return distribution(f"idf.{family}", u, *a)
     return closed(f"idf.{family}", u, *a)

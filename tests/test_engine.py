@@ -222,3 +222,35 @@ def test_significance_and_intervals(spark):
     assert r["p"] == pytest.approx(t["p_pooled"])
     k = inference.kruskal_wallis(frame, "x", "g").first()
     assert k["p"] == pytest.approx(math.erfc(math.sqrt(k["h"] / 2)))
+
+
+def test_date_and_time_parts(spark):
+    n = lambda v: F.lit(float(v))
+    got = spark.range(1).select(
+        E.time_days(n(2)), E.ctime("hours", n(7200)), E.ctime("days", n(43200)), E.ctime("minutes", n(90)), E.ctime("seconds", n(5)),
+        E.date_mdy(n(10), n(15), n(1582)), E.date_moyr(n(11), n(1582)), E.yrmoda(n(1582), n(10), n(15)), E.yrmoda(n(70), n(1), n(1)), E.index(F.lit("ab"), ""), E.index(F.lit("ab"), "b"),
+    ).first()
+    assert got[:] == (172800.0, 2.0, 0.5, 1.5, 5.0, 86400.0, 18 * 86400.0, 1.0, 141428.0, None, 2.0)
+
+
+def test_more_distributions(spark):
+    value = lambda name, *a: spark.range(1).select(S.distribution(name, *map(F.lit, map(float, a)))).first()[0]
+    assert value("pdf.binom", 1000, 2000, 0.5) == pytest.approx(0.0178390, abs=1e-6) and value("pdf.binom", 2, 3, 0.5) == pytest.approx(0.375)
+    assert value("pdf.hyper", 1, 10, 4, 3) == pytest.approx(0.5) and value("cdf.hyper", 1, 10, 4, 3) == pytest.approx(2 / 3)
+    assert value("pdf.negbin", 2, 3, 0.5) == pytest.approx(0.1875) and value("pdf.log", 2, 0.5) == pytest.approx(0.125 / math.log(2))
+    assert value("cdf.bvnor", 0, 0, 0.5) == pytest.approx(1 / 4 + math.asin(0.5) / (2 * math.pi), abs=1e-10) and value("cdf.bvnor", 1, 2, 0) == pytest.approx(S.normal_cdf(1) * S.normal_cdf(2), abs=1e-10)
+    assert value("ncdf.beta", 0.4, 2, 3, 1e-12) == pytest.approx(S.beta_p(0.4, 2, 3)) and value("pdf.landau", 0) == pytest.approx(0.178854, abs=1e-5)
+    assert value("idf.poisson", 0.5, 3) == 3 and value("idf.binom", 0.5, 10, 0.3) == 3 and value("idf.chisq", 0.5, 1e8) == pytest.approx(1e8, rel=1e-6)
+    # Densities are the slopes of their distribution functions.
+    for name, x, a in (("f", 1.3, (4, 7)), ("lnormal", 2.0, (1.5, 0.7)), ("gamma", 2.0, (3, 1.5))):
+        assert value(f"pdf.{name}", x, *a) == pytest.approx((value(f"cdf.{name}", x + 1e-5, *a) - value(f"cdf.{name}", x - 1e-5, *a)) / 2e-5, rel=1e-5)
+
+
+def test_random_variates_have_their_medians(spark):
+    n = 4000
+    cases = (("beta", (2, 3), 0.38573), ("chisq", (5,), 4.35146), ("f", (4, 7), 0.92619), ("gamma", (3, 2), 1.33703), ("t", (4,), 0.0), ("lnormal", (2, 0.5), 2.0), ("landau", (), 1.35578), ("levy", (1, 1.5), 0.0), ("lvskew", (1, 2, 0), 0.0), ("xpower", (1, 2), 0.0), ("ntail", (1, 1), 1.41), ("rtail", (1, 1), 1.5448))
+    got = spark.range(n).select(*[E.random_variate(f, 11 + i, *a).alias(f) for i, (f, a, _) in enumerate(cases)]).agg(*[F.median(f) for f, _, _ in cases]).first()
+    for (family, _, median), x in zip(cases, got, strict=True):
+        assert x == pytest.approx(median, abs=0.12), family
+    means = spark.range(n).select(*[E.random_variate(f, 31 + i, *a).alias(f) for i, (f, a) in enumerate((("binom", (10, 0.3)), ("geom", (0.25,)), ("hyper", (10, 4, 3)), ("log", (0.5,)), ("negbin", (3, 0.5)), ("poisson", (4,))))]).agg(*[F.avg(f) for f in ("binom", "geom", "hyper", "log", "negbin", "poisson")]).first()
+    assert list(means) == pytest.approx([3.0, 4.0, 1.2, 1 / (2 * math.log(2)) * 2, 3.0, 4.0], abs=0.2)
