@@ -1,29 +1,32 @@
 """Main text of web pages, with wrappers inferred for each host as union-free regular expressions.
 
-A page is a stream of tags and texts. A host's wrapper starts as one page's
-stream and is aligned with one page after the other: texts that differ become
-slots, runs that repeat become repeated groups and tokens that only one side has
-become optional groups. What stays a literal text is part of the template.
-
-The main text is what stands in the page's article (or main element; without
-one, the body) outside of menus, headers, footers, sidebars, notices, adverts,
-forms, scripts and comments; outside of an article, literal texts of the host's
-wrapper are left out too.
+A page is a stream of tokens, tags and texts. The streams of a host are aligned
+tag by tag: a text of one page meets the texts of the other pages inside the same tags. Each
+mismatch is resolved as it comes: texts that differ become a slot, a place that some
+pages lack becomes an optional group, and one that a page has several times a
+repeated group. A text that every page with its place has there stays a literal. What
+is kept of an alignment are counts and greatest values, so aligning one page after
+the other gives the same wrapper in any order, and the parts of a large host are merged
+without gathering its pages.
+
+The wrapper says where a host's main text is: its slots in the innermost container that
+holds most of the host's text. Menus, headers, footers, sidebars, notices, adverts,
+forms, scripts and comments in it are left out, and so are the wrapper's literals. A
+page without a wrapper, or without the container, gives its article (or main element;
+without one, the body) instead.
 """
 
 from __future__ import annotations
 
-import difflib
 import html
-import json
 import re
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.llm._tables import store
+from quillstat.llm._tables import small, store
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
@@ -31,6 +34,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_CLASS = re.compile(r"\bclass\s*=\s*[\"']?\s*([^\s\"'>]+)", re.I)
+_DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 _BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|sidebar|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager"
@@ -41,8 +46,13 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _OUT = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "object", "canvas", "video", "audio", "head"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
-#: Longest wrapper and stream that are aligned; longer ones are cut to their repeated groups first.
-WRAPPER_TOKENS = 400
+#: Pages that a literal must be on at least; on fewer, texts may agree by chance.
+TEMPLATE_PAGES = 5
+#: Share of a host's characters that its container holds at least.
+CONTAINER = 0.7
+_CONTAINERS = {"article", "main", "section", "div", "td", "center", "body"}
+#: Hosts whose literals are broadcast; beyond, pages are joined with them by a shuffle.
+BROADCAST_HOSTS = 20_000
 
 
 def decoded(text: str) -> str:
@@ -77,10 +87,16 @@ def _is_out(name: str, rest: str) -> bool:
     return False
 
 
+def _tag(name: str, rest: str) -> str:
+    """A tag token: the name with the first class, whose digits may differ from page to page."""
+    m = _CLASS.search(rest) if rest else None
+    return f"{name}.{_DIGITS.sub('#', m[1])}" if m else name
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
-    """(path, whether in an article, whether boilerplate, text) of each non-empty block in page order."""
+    """(path of tags, whether in an article, whether boilerplate, text) of each non-empty block in page order."""
     out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, str]] = []
     held: list[str] = []
     boiler, article = 0, 0
 
@@ -89,7 +105,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             text = _SPACE.sub(" ", decoded("".join(held))).strip(" ")
             held.clear()
             if text:
-                out.append(("/".join(s[0] for s in stack), article > 0, boiler > 0, text))
+                out.append(("/".join(s[3] for s in stack), article > 0, boiler > 0, text))
 
     for kind, name, rest in tokens(page):
         if kind == "text":
@@ -121,7 +137,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                 boiler, article = boiler - gone[1], article - gone[2]
             main = name in ("article", "main") or 'role="main"' in rest
             if not rest.rstrip().endswith("/") or main:
-                stack.append((name, out_here, main and not out_here))
+                stack.append((name, out_here, main and not out_here, _tag(name, rest)))
                 boiler, article = boiler + out_here, article + (main and not out_here)
         else:
             for k in range(len(stack) - 1, -1, -1):
@@ -135,68 +151,38 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
     return out
 
 
-# A wrapper is a list of items: "path|text" literals, "path|#" slots, ["+", items] repeated and ["?", items] optional groups.
-
-
-def _slot(item):
-    return item.partition("|")[0] + "|#" if isinstance(item, str) else [item[0], [_slot(x) for x in item[1]]]
-
-
-def folded(items: list) -> list:
-    """Adjacent repeats of up to six items that hold slots only become repeated groups."""
-    for width in (1, 2, 3, 4, 6):
-        out, i = [], 0
-        while i < len(items):
-            unit = [_slot(x) for x in items[i : i + width]]
-            n = 1
-            while len(unit) == width and unit == items[i : i + width] and [_slot(x) for x in items[i + n * width : i + (n + 1) * width]] == unit == items[i + n * width : i + (n + 1) * width]:
-                n += 1
-            body = items[i][1] if width == 1 and isinstance(items[i], list) and items[i][0] == "+" else None
-            if n > 1:
-                out.append(["+", [_slot(x) for x in body]] if body else ["+", unit])
-                i += n * width
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
-    return items
-
-
-def _shape(item) -> str:
-    if isinstance(item, str):
-        return _slot(item)
-    return _shape(item[1][0]) if item[0] == "+" and len(item[1]) == 1 else json.dumps(_slot(item) if item[0] == "+" else [_shape(x) for x in item[1]])
-
-
-def aligned(a: list, b: list) -> list:
-    """The wrapper that covers both: equal shapes meet (texts that differ turn into slots), others become optional slots."""
-    x = [i[1] if isinstance(i, list) and i[0] == "?" else [i] for i in a]
-    y = [i[1] if isinstance(i, list) and i[0] == "?" else [i] for i in b]
-    shape_x, shape_y = (["\0".join(map(_shape, g)) for g in s] for s in (x, y))
-    out: list = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, shape_x, shape_y, autojunk=False).get_opcodes():
-        if op == "equal":
-            for p, q in zip(range(i, j), range(k, m), strict=True):
-                body = [u if u == v else u if isinstance(u, list) else v if isinstance(v, list) else _slot(u) for u, v in zip(x[p], y[q], strict=True)]
-                optional = isinstance(a[p], list) and a[p][0] == "?" or isinstance(b[q], list) and b[q][0] == "?"
-                out += [["?", body]] if optional else body
-        else:
-            out += [["?", [_slot(u) for u in g]] for g in (*x[i:j], *y[k:m])]
-    return folded(out)
+def _key(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-def stream(found: list[tuple[str, bool, bool, str]]) -> list:
-    return folded([f"{path}|{text}" for path, _, _, text in found if len(text) < 500] + [f"{path}|#" for path, _, _, text in found if len(text) >= 500])[:WRAPPER_TOKENS]
+def main_text(found: list[tuple[str, bool, bool, str]], literals: set[int] = frozenset(), container: str | None = None) -> str:
+    """The page's blocks that are its own; ``container`` and ``literals`` (keys) are of the host's wrapper."""
+    inside = [(path, t) for path, _, o, t in found if not o and f"{path}/".startswith(f"{container}/")] if container is not None else []
+    if not inside:
+        has_article = any(a and not o for _, a, o, _ in found)
+        inside = [(path, t) for path, a, o, t in found if not o and (a or not has_article)]
+    own = [t for path, t in inside if _key(path, t) not in literals] if literals else [t for _, t in inside]
+    return "\n".join(own or [t for _, t in inside])  # pages that are all alike are no template
 
 
-def literals(wrapper: list) -> set[str]:
-    return {x for item in wrapper for x in (literals(item[1]) if isinstance(item, list) else [item]) if not x.endswith("|#")}
+def _prefixes(batches):
+    """(host, container, depth, chars) of each container around each place."""
+    for b in batches:
+        rows = []
+        for name, place, chars in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            tags = place.split("/")
+            rows += [(name, "/".join(tags[: k + 1]), k, chars) for k, t in enumerate(tags) if t.partition(".")[0] in _CONTAINERS]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "container", "depth", "chars"])
 
 
-def main_text(found: list[tuple[str, bool, bool, str]], template: set[str] = frozenset()) -> str:
-    has_article = any(a and not o for _, a, o, _ in found)
-    own = [t for path, a, o, t in found if not o and (a if has_article else f"{path}|{t}" not in template)]
-    return "\n".join(own or [t for _, _, o, t in found if not o])  # pages that are all alike are no template
+def _containers(items: DataFrame) -> DataFrame:
+    """(host, container) of a wrapper's items, for hosts that have one."""
+    places = items.where("literal is null").select("host", "place", "chars")
+    held = places.mapInArrow(_prefixes, "host string, container string, depth long, chars long").groupBy("host", "container", "depth").agg(F.sum("chars").alias("chars"))
+    whole = places.groupBy(F.col("host").alias("_h")).agg(F.sum("chars").alias("_chars"))
+    held = held.join(whole, F.col("host") == F.col("_h")).where(F.col("chars") >= CONTAINER * F.col("_chars"))
+    return held.groupBy("host").agg(F.max(F.struct("depth", "container")).alias("c")).select("host", F.col("c.container").alias("container"))
 
 
 def host(url):
@@ -208,67 +194,75 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, pages, wrapper as JSON): each task aligns its pages of a host, then the tasks' wrappers of the host are aligned."""
+def _stream_rows(batches):
+    """(host, place, literal, times, at, chars) of each page: its places (literal null) with how often it has them and the characters outside of boilerplate there, and the distinct texts of each place."""
+    for b in batches:
+        rows: list[tuple] = []
+        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            name, times, texts = _host(url), {}, {}
+            for at, (path, _, out, text) in enumerate(blocks(page or "")):
+                first, n, chars = times.get(path, (at, 0, 0))
+                times[path] = (first, n + 1, chars + (0 if out else len(text)))
+                texts.setdefault((path, text), at)
+            rows += [(name, path, None, n, at, chars) for path, (at, n, chars) in times.items()]
+            rows += [(name, path, _key(path, text), 1, at, 0) for (path, text), at in texts.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _STREAM)
 
-    def run(batches):
-        for b in batches:
-            have: dict[str, list] = {}
-            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = blocks(page or "")
-                if any(a and not o for _, a, o, _ in found):
-                    found = [x for x in found if not x[1] or x[2]]  # literals matter outside of articles only
-                s, key = stream(found), _host(url)
-                if key not in have:
-                    have[key] = [1, s]
-                else:
-                    old = have[key]
-                    old[0] += 1
-                    if s != old[1]:
-                        old[1] = aligned(old[1], s)[:WRAPPER_TOKENS]
-            yield pa.RecordBatch.from_arrays([pa.array(list(have)), pa.array([v[0] for v in have.values()], pa.int64()), pa.array([json.dumps(v[1]) for v in have.values()])], ["host", "pages", "wrapper"])
-
-    def join(key, rows):
-        rows = rows.sort_values(["pages", "wrapper"])
-        wrapper = json.loads(rows["wrapper"].iloc[0])
-        for w in rows["wrapper"].iloc[1:]:
-            wrapper = aligned(wrapper, json.loads(w))[:WRAPPER_TOKENS]
-        return pd.DataFrame({"host": [key[0]], "pages": [int(rows["pages"].sum())], "wrapper": [json.dumps(wrapper)]})
-
-    schema = "host string, pages long, wrapper string"
-    parts = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, schema)
-    distinct = parts.groupBy("host", "wrapper").agg(F.sum("pages").alias("pages")).select("host", "pages", "wrapper")
-    return distinct.groupBy("host").applyInPandas(join, schema)
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template_pages: int = 5) -> DataFrame:
+
+_STREAM = ["host", "place", "literal", "times", "at", "chars"]
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
+    """The hosts' wrappers, stored, a row an item: host, place (path of tags), literal (the key of its text; null for a slot), pages, position, chars (outside of boilerplate, over all pages), host_pages, optional, repeated.
+
+    An item is optional if some pages of the host lack its place, repeated if a page
+    has the place more than once. A place is a slot unless all its pages, and at
+    least ``template_pages``, share a text there; a place with literals is also a
+    slot if its pages have other texts besides. Null pages count as empty.
+    """
+    base = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = base.mapInArrow(_stream_rows, "host string, place string, literal long, times long, at long, chars long")
+    items = store(rows.groupBy("host", "place", "literal").agg(F.count("*").alias("pages"), F.max("times").alias("times"), F.avg("at").alias("position"), F.sum("chars").alias("chars")).where(F.col("literal").isNull() | (F.col("pages") >= template_pages)), "wrapper-items")
+    hosts = base.groupBy(host(F.col("url")).alias("_host")).agg(F.count("*").alias("_all"))
+    places = items.where("literal is null").select(F.col("host").alias("_h"), F.col("place").alias("_p"), F.col("pages").alias("_pages"), F.col("times").alias("_times"))
+    both = items.join(places, (F.col("host") == F.col("_h")) & (F.col("place") == F.col("_p"))).join(hosts, F.col("host") == F.col("_host"))
+    both = both.where(F.col("literal").isNull() | (F.col("pages") == F.col("_pages")))
+    fixed = F.sum(F.col("literal").isNotNull().cast("long")).over(Window.partitionBy("host", "place"))
+    both = both.withColumn("_fixed", fixed).where(F.col("literal").isNotNull() | (F.col("_fixed") < F.col("_times")))
+    return store(both.select("host", "place", "literal", "pages", "position", "chars", F.col("_all").alias("host_pages"), (F.col("_pages") < F.col("_all")).alias("optional"), (F.col("_times") > 1).alias("repeated")), "wrappers")
+
+
+def expression(items: list[tuple[str, str | None, bool, bool]]) -> str:
+    """A wrapper's items (place, literal text or None, optional, repeated), in order, as a regular expression over tags and texts."""
+    out = []
+    for place, text, optional, repeated in items:
+        tags = [x.partition(".")[0] for x in place.split("/") if x]
+        one = "".join(f"<{x}>" for x in tags) + ("#text" if text is None else text) + "".join(f"</{x}>" for x in reversed(tags))
+        out.append(f"({one}){'*' if optional and repeated else '?' if optional else '+'}" if optional or repeated else one)
+    return "".join(out)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
     """One row for each page: id, url, text, n_chars (code points).
 
-    A null page gives empty text. Pages without a host share a wrapper. Literals
-    of a wrapper count as template when it covers ``template_pages`` pages or
-    more. Repeated rows each give a row; other columns are ignored; an empty
+    A null page gives empty text. Pages without a host share a wrapper. Hosts of fewer
+    than ``template_pages`` pages have none. Literals of the wrapper are left out,
+    in articles too, unless nothing else would be left.
+    Repeated rows each give a row; other columns are ignored; an empty
     table gives an empty table.
     """
-    wrappers = store(infer_wrappers(pages, url_col, html_col).where(F.col("pages") >= template_pages), "wrappers")
-
-    def plain(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([json.dumps(sorted(literals(json.loads(w)))) for w in b.column(1).to_pylist()])], ["host", "wrapper", "template"])
-
-    template = wrappers.select("host", "wrapper").mapInArrow(plain, "host string, wrapper string, template string").where("template <> '[]'").select(F.col("host").alias("_host"), "template")
-    template = store(template, "templates")
+    wrappers = infer_wrappers(pages, url_col, html_col, template_pages).where(F.col("host_pages") >= template_pages)
+    literals = wrappers.where("literal is not null").groupBy("host").agg(F.sort_array(F.collect_set("literal")).alias("template"))
+    template = store(_containers(wrappers).join(literals, "host", "full").withColumnRenamed("host", "_host"), "templates")
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    base = base.join(template, host(F.col("url")) == F.col("_host"), "left").select("id", "url", "html", "template")
+    base = base.join(small(template, BROADCAST_HOSTS), host(F.col("url")) == F.col("_host"), "left").select("id", "url", "html", "template", "container")
     kinds = [base.schema[c].dataType.simpleString() for c in ("id", "url")]
 
     def run(batches):
         for b in batches:
-            known: dict[str, set[str]] = {}
-            texts = []
-            for page, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if t is not None and t not in known:
-                    known[t] = set(json.loads(t))
-                texts.append(main_text(blocks(page or ""), known[t] if t is not None else frozenset()))
+            texts = [main_text(blocks(page or ""), frozenset(t or ()), c) for page, t, c in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     out = base.mapInArrow(run, f"id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -16,7 +16,7 @@ from quillstat.llm import substring_dedup as sub
 from quillstat.llm.components import connected_components
 from quillstat.llm.decontaminate import Items, contaminated, edit_passage, folded_words
 from quillstat.llm.exact_dedup import drop_copies, exact_groups
-from quillstat.llm.html_text import aligned, extract, folded, literals
+from quillstat.llm.html_text import _key, blocks, expression, extract, infer_wrappers
 from quillstat.llm.licenses import _MIT, TEMPLATES, scan_licenses, template_table
 from quillstat.llm.ngram_jaccard import drop_near_copies, jaccard_components
 from quillstat.llm.quality import score_quality
@@ -293,11 +293,53 @@ def test_extract(spark):
     assert got[12] == ("story 2", 7)
 
 
-def test_wrapper_alignment():
-    a, b = ["h|T", "p|x", "f|c"], ["h|T", "p|y", "n|s", "f|c"]
-    assert aligned(a, b) == ["h|T", "p|#", ["?", ["n|#"]], "f|c"]
-    assert folded(["l|#", "l|#", "l|#", "f|c"]) == [["+", ["l|#"]], "f|c"]
-    assert literals(aligned(a, b)) == {"h|T", "f|c"}
+def site(k):
+    """A page of a site whose articles hold unmarked template text, a line that some lack and a list that some have longer."""
+    listed = "".join(f"<li>point {k} {i}</li>" for i in range(1 + k % 3))
+    extra = f"<p class='by{k}'>By writer {k}</p>" if k % 2 else ""
+    return f"<body><nav><a href=/>Home</a></nav><article><h1>Story {k}</h1><p>Read also our other stories.</p>{extra}<div><p>Body of {k}.</p></div><ul>{listed}</ul><p>Share this</p></article><footer>c</footer></body>"
+
+
+def test_wrappers_decide_inside_articles(spark):
+    rows = [(k, "https://Site.example/" + str(k), site(k)) for k in range(12)] + [(100 + k, "https://few.example/", site(k)) for k in range(3)] + [(200 + k, "https://same.example/", site(1)) for k in range(8)] + [(300, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    for k in range(12):
+        by = [f"By writer {k}"] if k % 2 else []
+        assert got[k].split("\n") == [f"Story {k}", *by, f"Body of {k}.", *(f"point {k} {i}" for i in range(1 + k % 3))]
+    off = {r["page_id"]: r["text"] for r in extract(pages, template_pages=100).collect()}
+    assert "Read also our other stories." in off[3] and "Share this" in off[3] and got[100] == off[100] and got[200] == off[200] and got[300] == ""
+    spread = extract(pages.repartition(7, "html"))
+    assert {r["page_id"]: r["text"] for r in spread.collect()} == got
+
+
+def test_wrappers_find_the_container(spark):
+    """Without an article element the host's pages together tell where the text is; one page alone does not."""
+    page = lambda k: f"<body><div class=top><span>No {k}</span></div><div id=x{k} class=col><h2>Head {k}</h2><p>{'Long text of its own. ' * 9}{k}</p></div><div class=side><p>Aside {k} words</p></div></body>"
+    pages = spark.createDataFrame([(k, "http://a.example/", page(k)) for k in range(6)] + [(9, "http://b.example/", page(9))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in extract(pages).collect()}
+    assert got[2] == ["Head 2", "Long text of its own. " * 9 + "2"] and len(got[9]) == 4
+
+
+def test_wrappers_agree_with_aligning_page_by_page(spark):
+    """A wrapper grown page by page: texts of a place that all pages so far share stay, places that a page lacks turn optional."""
+    pages = [site(k) for k in range(12)]
+    fixed, seen, often = {}, {}, {}
+    for page in pages:
+        here = {}
+        for path, _, _, text in blocks(page):
+            here.setdefault(path, []).append(text)
+        for path, texts in here.items():
+            fixed[path] = set(texts) & fixed[path] if path in fixed else set(texts)
+            seen[path] = seen.get(path, 0) + 1
+            often[path] = max(often.get(path, 0), len(texts))
+    df = spark.createDataFrame([(k, "http://s/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    rows = infer_wrappers(df).collect()
+    literal = {(r["place"], r["literal"]) for r in rows if r["literal"] is not None}
+    assert literal == {(path, _key(path, t)) for path, texts in fixed.items() for t in texts if seen[path] >= 5}
+    assert {(r["place"], r["optional"], r["repeated"]) for r in rows} == {(path, seen[path] < 12, often[path] > 1) for path in seen}
+    assert {r["place"] for r in rows if r["literal"] is None} == {path for path in seen if len(fixed[path]) < often[path] or seen[path] < 5}
+    assert expression([("body/h#", "T", False, False), ("p", None, True, False), ("ul/li", None, False, True)]) == "<body><h#>T</h#></body>(<p>#text</p>)?(<ul><li>#text</li></ul>)+"
 
 
 def test_components(spark):
