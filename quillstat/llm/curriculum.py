@@ -136,7 +136,19 @@ s1 as (select *, row_number() over (order by source nulls last) - 1 as nth from
 s2 as (select *, [3, 1, 2][(nth % 3 + 1)::int] as weight, source_size * 2 as cap from s1),
 s3 as (select *, (sum(source_size) over ())::double * 1.5 as total, coalesce(sum(cap) over (order by cap::double / weight, nth rows between unbounded preceding and 1 preceding), 0)::double as capped, (sum(weight) over () - coalesce(sum(weight) over (order by cap::double / weight, nth rows between unbounded preceding and 1 preceding), 0))::double as rest from s2),
 s4 as (select *, (total - capped) / rest as level from s3),
-s5 as (select source, source_size, least(cap::double, weight * (select arg_min(level, (cap::double / weight, nth)) from s4 where level <= cap::double / weight)) as target from s4),
-r as (select d.*, s5.source_size, s5.target, coalesce(sum(size) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as start from d join s5 on d.source is not distinct from s5.source)
-select doc_id, size, source_size, target, (greatest(0, least(size, round(target)::bigint - start)) + greatest(0, least(size, round(target)::bigint - source_size - start)))::bigint as taken from r
+s5 as (select source, source_size, nth, least(cap::double, weight * (select arg_min(level, (cap::double / weight, nth)) from s4 where level <= cap::double / weight)) as target from s4),
+r as (select d.*, s5.source_size, s5.target, s5.nth, coalesce(sum(size) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from d join s5 on d.source is not distinct from s5.source),
+k as (select *, greatest(0, least(size, round(target)::bigint - start))::bigint as t0, greatest(0, least(size, round(target)::bigint - source_size - start))::bigint as t1, start::double / nullif(target, 0) as x0, (source_size + start)::double / nullif(target, 0) as x1 from r)
+select doc_id, size, source_size, target, (t0 + t1)::bigint as taken, case when t0 > 0 then {p0} end as position, case when t1 > 0 then {p1} end as repeat_position from k
 """
+
+
+def _inverse_sql(x: str) -> str:
+    """The inverse of each schedule's integral, written out for SCHEDULES."""
+    return (
+        f"(case nth % 3 when 0 then case when {x} <= 0.625 then 2 * {x} / (1.5 + sqrt(greatest(0, 2.25 - 2 * {x}))) when {x} <= 1 then 0.5 + 2 * ({x} - 0.625) / (1 + sqrt(greatest(0, 1 - 2 * ({x} - 0.625)))) else 1 end "
+        f"when 1 then least({x}, 1) else case when {x} <= 0.375 then 2 * {x} / (0.5 + sqrt(0.25 + 2 * {x})) when {x} <= 1 then 0.5 + 2 * ({x} - 0.375) / (1 + sqrt(1 + 2 * ({x} - 0.375))) else 1 end end)::double"
+    )
+
+
+MIX_SQL = MIX_SQL.replace("{p0}", _inverse_sql("x0")).replace("{p1}", _inverse_sql("x1"))
