@@ -219,7 +219,7 @@ def _sizes(key: np.ndarray, ref: np.ndarray):
 
 
 def _sized(key, ref, size) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ref), pa.array(size.astype(np.int32))], ["key", "ref", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ref), pa.array(np.minimum(size, HELD).astype(np.int32))], ["key", "ref", "size"])
 
 
 def _near(a: str, b: str, longs: int, num: int, den: int) -> str:
