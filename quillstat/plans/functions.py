@@ -98,7 +98,7 @@ SPECIAL = [
 ]
 
 
-@query("with c as (select p_partkey, p_size::double as x, p_size::double as k, p_size / 51.0::double as u from part) select p_partkey, " + ", ".join(f"X) + " from c")
+@query("with c as (select p_partkey, p_size::double as x, p_size::double as k, p_size / 51.0::double as u from part) select p_partkey, " + ", ".join(f"round(({sql})::double, 6) as {name.replace('.', '_')}" for name, _, _, sql in SPECIAL) + " from c")
 def special_distributions(spark, d):
     of = {"x": F.col("p_size").cast("double"), "k": F.col("p_size").cast("double"), "u": F.col("p_size") / 51.0}
     return frame(spark, d, "part").df.select("p_partkey", *[F.round(distribution(name, of[arg], *map(F.lit, a)), 6).alias(name.replace(".", "_")) for name, arg, a, _ in SPECIAL])
