@@ -3,18 +3,17 @@
 A CGK walk reads a word sequence: at step j it emits the word under its pointer
 and moves on by one random bit of (j, word), so sequences at a small edit
 distance fall back into step and their outputs are at a small Hamming distance.
-A few sampled coordinates of the output, hashed, are a bucket key; several walks
-with several samples each bring the recall up. Windows are half the lower size bound of an item's size
-class, embedded at each word of an item and each few words of a document, so a
-passage of an item holds several windows that both sides embed. Candidates are
-verified by the exact edit distance, in words, of the whole item to the best
-matching passage.
-
-The embedding alone misses some passages, so its candidates are joined by those of
-a search that misses none: an item cut into one piece more than its allowed edits
-has a piece that no edit touches, and pieces are looked up exactly at each word of
-a document. Thus the recall aimed at is 1 at every item size. Items under MIN_WORDS
-words allow no edits and are one piece.
+A few sampled coordinates of the output, hashed, are a bucket key; WALKS walks
+with SAMPLES samples each bring the recall to 0.9 or more at the most edits allowed,
+at every item size (a test measures it against full edit distance). Windows are as long as an
+item's size class, embedded at each word of an item that has room for one and at every few words of
+a document, so each side's windows meet. Candidates are verified by the exact edit
+distance, in words, of the whole item to the best matching passage.
+
+What the buckets miss is joined by a search that misses none: an item cut into one
+piece more than its allowed edits has a piece that no edit touches, and pieces are
+looked up exactly at each word of a document. Items under MIN_WORDS words allow no
+edits and are one piece.
 
 Items are small next to documents: they are taken in blocks of bounded size, each
 of which is sent to all tasks, and documents never shuffle.
@@ -37,7 +36,7 @@ MIN_WORDS = 8
 #: Edit distance of a match: at most this share of the item's words.
 MAX_EDITS = 0.25
 #: Walks, samples of each walk, and coordinates of a sample.
-WALKS, SAMPLES, COORDINATES = 2, 3, 5
+WALKS, SAMPLES, COORDINATES = 3, 8, 5
 STRIDE = 4
 #: Items sent to the tasks at once.
 BLOCK_ITEMS = 2000
@@ -54,7 +53,8 @@ def folded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def window_size(words: int) -> int:
-    return 1 << (max(words, 2).bit_length() - 2)
+    """The item's size class: the greatest power of two that leaves room for a window at each of STRIDE words."""
+    return 1 << (max(words - STRIDE + 1, 2).bit_length() - 1)
 
 
 def allowed(words: int, max_edits: float) -> int:
@@ -70,7 +70,8 @@ def piece_keys(hashes: np.ndarray, length: int) -> np.ndarray:
 def keys(hashes: np.ndarray, at: np.ndarray, end: np.ndarray, size: int):
     """Bucket keys (one array for each walk and sample) of the windows that start at ``at``; words from ``end`` on read as nothing."""
     padded = np.r_[hashes, np.zeros(1, W.U64)]
-    steps = min(64, 2 * size)
+    steps = 2 * size
+    end = np.minimum(end, len(hashes))
     for walk in range(WALKS):
         bits = W.mix(padded ^ W.U64(0xA24BAED4963EE407 * (walk + 1) & 0xFFFFFFFFFFFFFFFF))
         rng = np.random.default_rng([size, walk, 11])
@@ -78,11 +79,15 @@ def keys(hashes: np.ndarray, at: np.ndarray, end: np.ndarray, size: int):
         out = [np.full(len(at), W.U64(size * 64 + walk * 8 + s + 1)) for s in range(SAMPLES)]
         place = at.copy()
         for j in range(max(map(max, samples)) + 1):
+            if j and j % 64 == 0:  # all bits of the words are used up
+                bits = W.mix(bits)
             here = np.where(place < end, place, len(hashes))
-            for s, chosen in enumerate(samples):
-                if j in chosen:
-                    out[s] = out[s] * W.U64(W.WORD_BASE) + padded[here]
-            place += ((bits[here] >> W.U64(j)) & W.U64(1)).astype(np.int64)
+            chosen = [s for s in range(SAMPLES) if j in samples[s]]
+            if chosen:
+                words = padded[here]
+                for s in chosen:
+                    out[s] = out[s] * W.U64(W.WORD_BASE) + words
+            place += ((bits[here] >> W.U64(j % 64)) & W.U64(1)).astype(np.int64)
         yield from (W.mix(x) for x in out)
 
 
