@@ -144,10 +144,10 @@ def _normal_two_sided(z: Column) -> Column:
 
 
 def mean_ranks(df: DataFrame, x: Column, w: Column, keep: list[str] = ()) -> DataFrame:
-    """Distinct x with weight, mean rank and the keep columns' cells; ranks are windowed over distinct values."""
+    """Distinct x with weight, mean rank and the keep columns' cells; ranks are cumulated over distinct values."""
     cells = df.where(x.isNotNull() & (w > 0)).groupBy(x.alias("x"), *keep).agg(F.sum(w).alias("c"))
-    values = cells.groupBy("x").agg(F.sum("c").alias("tw")).withColumn("cc", F.sum("tw").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    return cells.join(values.withColumn("rank", F.col("cc") - (F.col("tw") - 1) / 2), "x")
+    values = ordering.ranked(cells.groupBy("x").agg(F.sum("c").alias("tw")), [], "x", "tw")
+    return cells.join(values.select("x", "tw", (F.col("__cc") - (F.col("tw") - 1) / 2).alias("rank")), "x")
 
 
 def mann_whitney(frame: Frame, x: str, by: str, one, two) -> DataFrame:
@@ -240,7 +240,7 @@ def ks_normal(frame: Frame, x: str) -> DataFrame:
     v = frame.valid(x).cast("double")
     m = moments(frame, v)
     stats = frame.cases().agg(m["n"].alias("n"), m["mean"].alias("mean"), m["sd"].alias("sd"))
-    cells = frame.cases().where(v.isNotNull()).groupBy(v.alias("v")).agg(F.sum("__w").alias("c")).withColumn("cc", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    cells = ordering.ranked(frame.cases().where(v.isNotNull()).groupBy(v.alias("v")).agg(F.sum("__w").alias("c")), [], "v", "c").withColumnRenamed("__cc", "cc")
     f = cells.crossJoin(F.broadcast(stats)).withColumn("f", S.distribution("cdf.normal", F.col("v"), F.col("mean"), F.col("sd")))
     return f.agg(F.max("n").alias("n"), F.max(F.try_divide("cc", "n") - F.col("f")).alias("positive"), F.min(F.try_divide(F.col("cc") - F.col("c"), F.col("n")) - F.col("f")).alias("negative")).withColumn("d", F.greatest("positive", -F.col("negative"))).withColumn("z", F.sqrt("n") * F.col("d"))
 

@@ -6,13 +6,18 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat import ordering
 from quillstat.frame import Frame
 from quillstat.functions import special as S
 
 
+#: Most cells of a design, which are coded on the driver.
+CELLS = 100_000
+
+
 def cross_products(df: DataFrame, terms: list[Column], w: Column) -> np.ndarray:
     """Sum of w * t * t' in one pass; its size depends on the terms only."""
     k = len(terms)
@@ -102,8 +107,12 @@ def logistic(frame: Frame, y: str, xs: list[str], rounds: int = 20, tolerance: f
 def glm(frame: Frame, y: str, factors: list[str], interactions: list[tuple[str, ...]] = (), kind: int = 3) -> dict[str, tuple[float, float, float]]:
     """Univariate ANOVA: (sum of squares, df, F) of each term of type 1, 2 or 3. Cases are reduced to cells first; effects are coded on cells."""
     cases = _complete(frame, [y, *factors])
-    x, w = frame.valid(y).cast("double"), F.col("__w")
-    cells = cases.groupBy(*factors).agg(F.sum(w).alias("__n"), F.sum(w * x).alias("__s"), F.sum(w * x * x).alias("__q")).collect()
+    w = F.col("__w")
+    mean = cases.agg(F.try_divide(F.sum(w * frame.valid(y)), F.sum(w)).cast("double")).first()[0] or 0.0
+    x = frame.valid(y).cast("double") - F.lit(mean)  # sums of squares of a large mean would swallow those of the effects
+    cells = cases.groupBy(*factors).agg(F.sum(w).alias("__n"), F.sum(w * x).alias("__s"), F.sum(w * x * x).alias("__q")).limit(CELLS + 1).collect()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} cells")
     n, s, q = (np.array([c[k] for c in cells], float) for k in ("__n", "__s", "__q"))
     effects = {}
     for f in factors:
@@ -222,8 +231,9 @@ def roc_cells(frame: Frame, x: str, state: str, positive) -> DataFrame:
     """Distinct x with weights of positive and negative cases, and those of greater x."""
     hit = frame.valid(state) == positive
     c = frame.cases().where(frame.valid(x).isNotNull() & frame.valid(state).isNotNull()).groupBy(frame.valid(x).alias("x")).agg(F.sum(F.when(hit, F.col("__w")).otherwise(0.0)).alias("pos"), F.sum(F.when(hit, 0.0).otherwise(F.col("__w"))).alias("neg"))
-    above = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumns({"pos_above": F.coalesce(F.sum("pos").over(above), F.lit(0.0)), "neg_above": F.coalesce(F.sum("neg").over(above), F.lit(0.0))})
+    # The weight of positive cases and that of all are cumulated from the greatest value down; both runs agree on the order.
+    c = ordering.ranked(c.withColumn("both", F.col("pos") + F.col("neg")), [], "x", "both", descending=True).select("x", "pos", "neg", "both", (F.col("__cc") - F.col("both")).alias("above"))
+    return ordering.ranked(c, [], "x", "pos", descending=True).select("x", "pos", "neg", (F.col("__cc") - F.col("pos")).alias("pos_above"), (F.col("above") - F.col("__cc") + F.col("pos")).alias("neg_above"))
 
 
 def roc(frame: Frame, x: str, state: str, positive) -> DataFrame:

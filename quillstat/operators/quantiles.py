@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstat import ordering
+
 METHODS = ("haverage", "waverage", "round", "empirical", "aempirical", "enhanced")
 
 
 def quantile(df: DataFrame, by: list[str], x: str, w: str, probs: list[float], method: str = "haverage") -> DataFrame:
     """by and p<100p> columns, over non-missing x with positive weight.
 
-    Values are aggregated to distinct ones before cumulating, so a window holds
-    distinct values only. Below the first value the interpolating definitions
+    Values are aggregated to distinct ones before cumulating, by ``ordering.ranked``. Below the first value the interpolating definitions
     start from 0, except ``enhanced`` (the (W-1)p rule).
     """
     cells = df.where(F.col(x).isNotNull() & (F.col(w) > 0)).groupBy(*by, F.col(x).cast("double").alias("__y")).agg(F.sum(w).alias("__c"))
-    group = Window.partitionBy(*by)
-    run = group.orderBy("__y")
-    cells = cells.withColumns({"__cc": F.sum("__c").over(run.rowsBetween(Window.unboundedPreceding, 0)), "__W": F.sum("__c").over(group), "__before": F.lag("__y").over(run)})
+    cells = ordering.ranked(cells, by, "__y", "__c")
     cells = cells.withColumn("__below", F.col("__cc") - F.col("__c"))
     W, cc, below, y, before, c = (F.col(k) for k in ("__W", "__cc", "__below", "__y", "__before", "__c"))
     from_zero = F.coalesce(before, F.lit(0.0))

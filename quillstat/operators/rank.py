@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat import ordering
 from quillstat.functions.special import probit
 
 
@@ -19,14 +20,12 @@ def rank(df: DataFrame, x: str, functions: dict[str, str], by: list[str] = (), w
     """df with rank variables: functions maps a new name to rank, normal, percent, rfraction, proportion, n, ntiles or savage.
 
     Missing x and weights not above 0 give missing ranks. Ranks are made once for each
-    distinct value and joined back, so a window holds distinct values only.
+    distinct value, by ``ordering.ranked``, and joined back.
     """
     by = list(by)
     weight = F.lit(1.0) if w is None else F.col(w).cast("double")
     cells = df.where(F.col(x).isNotNull() & (weight > 0)).groupBy(*by, F.col(x).alias("__x")).agg(F.sum(weight).alias("__tw"))
-    group = Window.partitionBy(*by)
-    run = group.orderBy(F.col("__x").desc() if descending else F.col("__x").asc())
-    cells = cells.withColumns({"__cc": F.sum("__tw").over(run.rowsBetween(Window.unboundedPreceding, 0)), "__W": F.sum("__tw").over(group), "__i": F.row_number().over(run)})
+    cells = ordering.ranked(cells, by, "__x", "__tw", descending)
     W, cc, tw, i = F.col("__W"), F.col("__cc"), F.col("__tw"), F.col("__i").cast("double")
     before = cc - tw
     r = {
@@ -69,8 +68,7 @@ def autorecode(df: DataFrame, x: str, into: str, descending: bool = False, blank
     values = df.select(F.col(x).alias("__x")).distinct()
     if not blank_valid:
         values = values.where(F.trim(F.col("__x").cast("string")) != "")
-    order = F.col("__x").desc_nulls_last() if descending else F.col("__x").asc_nulls_first()
-    codes = values.withColumn(into, F.row_number().over(Window.orderBy(order)).cast("double"))
+    codes = ordering.ranked(values.withColumn("__n", F.lit(1)), [], "__x", "__n", descending).select("__x", F.col("__i").cast("double").alias(into))
     return df.join(codes, F.col(x).eqNullSafe(F.col("__x")), "left").drop("__x")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstat import ordering
 from quillstat.frame import Frame
 from quillstat.operators.aggregate import moments
 from quillstat.operators.quantiles import quantile
@@ -51,14 +52,15 @@ def z_scores(frame: Frame, names: list[str], prefix: str = "Z") -> DataFrame:
 
 
 def frequencies(frame: Frame, name: str, descending: bool = False) -> DataFrame:
-    """value, frequency, percent, valid_percent, cum_percent; missing values have no valid percent. Cumulates over distinct values only."""
+    """value, missing, frequency, percent, valid_percent, cum_percent; missing values have no valid percent. Cumulates over distinct values only."""
     c = frame.cases().groupBy(F.col(name).alias("value"), frame.is_missing(name).alias("missing")).agg(F.sum("__w").alias("frequency"))
-    whole = Window.partitionBy()
-    order = F.col("value").desc() if descending else F.col("value").asc()
-    good = F.when(~F.col("missing"), F.col("frequency"))
-    c = c.withColumns({"percent": F.try_divide(100 * F.col("frequency"), F.sum("frequency").over(whole)), "valid_percent": F.try_divide(100 * good, F.sum(good).over(whole))})
-    run = Window.partitionBy("missing").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("cum_percent", F.when(~F.col("missing"), F.sum("valid_percent").over(run)))
+    c = c.withColumn("good", F.when(~F.col("missing"), F.col("frequency")))
+    c = ordering.ranked(c.withColumn("place", F.struct("missing", "value") if not descending else F.struct(~F.col("missing"), "value")), [], "place", "frequency", descending)
+    # Valid values come before missing ones, so what is cumulated up to a valid value is valid.
+    valid = c.agg(F.sum("good").alias("__valid"))
+    c = c.crossJoin(F.broadcast(valid))  # one row
+    share = lambda x, whole: F.try_divide(100 * F.col(x), F.col(whole))
+    return c.select("value", "missing", "frequency", share("frequency", "__W").alias("percent"), share("good", "__valid").alias("valid_percent"), F.when(~F.col("missing"), share("__cc", "__valid")).alias("cum_percent"))
 
 
 def mode(frame: Frame, name: str) -> DataFrame:
@@ -98,7 +100,7 @@ def examine(frame: Frame, name: str, factor: list[str] = (), confidence: float =
     t = distribution("idf.t", F.lit(0.5 + confidence / 2), F.col("n") - 1)
     out = out.withColumn("ci_low", F.col("mean") - t * F.col("se_mean")).withColumn("ci_high", F.col("mean") + t * F.col("se_mean"))
     cells = cases.groupBy(*by, "__x").agg(F.sum("__w").alias("c"))
-    cells = cells.withColumn("W", F.sum("c").over(Window.partitionBy(*by))).withColumn("hi", F.sum("c").over(Window.partitionBy(*by).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)))
+    cells = ordering.ranked(cells, by, "__x", "c").withColumnsRenamed({"__W": "W", "__cc": "hi"})
     inside = F.greatest(F.lit(0.0), F.least(F.col("hi"), 0.95 * F.col("W")) - F.greatest(F.col("hi") - F.col("c"), 0.05 * F.col("W")))
     trimmed = cells.groupBy(*by).agg(F.try_divide(F.sum(inside * F.col("__x")), 0.9 * F.max("W")).alias("trimmed_mean"))
     q = quantile(cases, by, "__x", "__w", [0.25, 0.5, 0.75])

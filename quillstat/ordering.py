@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _PLACE = (1 << 33) - 1
+#: Bytes of input, by the optimiser's estimate, up to which distinct values are cumulated by one window without groups.
+SMALL = 1 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,17 +46,13 @@ def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     return store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered")
 
 
-def _offsets(parts: DataFrame, value: str) -> DataFrame:
-    """(__part, __before): the sum of ``value`` over the parts before; parts has a row for each part."""
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("__part", F.coalesce(F.sum(value).over(before), F.lit(0)).alias("__before"))
-
-
 def numbered(rows: DataFrame, into: str = "__case") -> DataFrame:
     """Placed rows with 1, 2, ... in case order."""
     sizes = rows.groupBy(part().alias("__part")).agg((F.max(F.col("__id").bitwiseAND(_PLACE)) + 1).alias("__n"))
-    both = rows.withColumn("__part", part()).join(F.broadcast(_offsets(sizes, "__n")), "__part")
-    return both.withColumn(into, F.col("__before") + F.col("__id").bitwiseAND(_PLACE) + 1).drop("__part", "__before")
+    above = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each part
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__off"))
+    both = rows.withColumn("__part", part()).join(F.broadcast(offsets), "__part")
+    return both.withColumn(into, F.col("__off") + F.col("__id").bitwiseAND(_PLACE) + 1).drop("__part", "__off")
 
 
 def lagged(rows: DataFrame, values: dict[str, Column], n: int = 1) -> DataFrame:
@@ -68,8 +66,30 @@ def cumulated(rows: DataFrame, value: Column, into: str) -> DataFrame:
     rows = rows.withColumn("__part", part()).withColumn("__value", value)
     sums = rows.groupBy("__part").agg(F.sum("__value").alias("__sum"))
     within = F.sum("__value").over(Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__part", F.sum("__sum").over(before).alias("__before"))
+    above = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each part
+    offsets = sums.select("__part", F.sum("__sum").over(above).alias("__off"))
     both = rows.withColumn("__within", within).join(F.broadcast(offsets), "__part")
-    total = F.when(F.col("__within").isNull() & F.col("__before").isNull(), F.lit(None)).otherwise(F.coalesce("__within", F.lit(0)) + F.coalesce("__before", F.lit(0)))
-    return both.withColumn(into, total).drop("__part", "__value", "__within", "__before")
+    total = F.when(F.col("__within").isNull() & F.col("__off").isNull(), F.lit(None)).otherwise(F.coalesce("__within", F.lit(0)) + F.coalesce("__off", F.lit(0)))
+    return both.withColumn(into, total).drop("__part", "__value", "__within", "__off")
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether what df reads is at most SMALL bytes by the optimiser's estimates."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= SMALL
+
+
+def ranked(cells: DataFrame, by: list[str], x: str, weight: str, descending: bool = False) -> DataFrame:
+    """Cells, one row for each value ``x`` of a group, with ``__cc`` (weight up to and with it), ``__W`` (weight of the group), ``__i`` (its number) and ``__before`` (the value before).
+
+    Groups are windows of their own. Without groups the cells are one window only while
+    they are small; beyond, they are range-partitioned and the parts' sums carried over.
+    """
+    order = F.col(x).desc() if descending else F.col(x).asc()
+    if by or is_small(cells):
+        group = Window.partitionBy(*by)
+        run = group.orderBy(order)
+        return cells.withColumns({"__cc": F.sum(weight).over(run.rowsBetween(Window.unboundedPreceding, 0)), "__W": F.sum(weight).over(group), "__i": F.row_number().over(run), "__before": F.lag(x).over(run)})
+    rows = lagged(numbered(placed(cells, [order])), {"__before": F.col(x)})
+    whole = rows.agg(F.sum(weight).alias("__W"))  # one row
+    return cumulated(rows, F.col(weight), "__cc").crossJoin(F.broadcast(whole)).withColumnRenamed("__case", "__i").drop("__id")

@@ -254,3 +254,42 @@ def test_random_variates_have_their_medians(spark):
         assert x == pytest.approx(median, abs=0.12), family
     means = spark.range(n).select(*[E.random_variate(f, 31 + i, *a).alias(f) for i, (f, a) in enumerate((("binom", (10, 0.3)), ("geom", (0.25,)), ("hyper", (10, 4, 3)), ("log", (0.5,)), ("negbin", (3, 0.5)), ("poisson", (4,))))]).agg(*[F.avg(f) for f in ("binom", "geom", "hyper", "log", "negbin", "poisson")]).first()
     assert list(means) == pytest.approx([3.0, 4.0, 1.2, 1 / (2 * math.log(2)) * 2, 3.0, 4.0], abs=0.2)
+
+
+def test_large_cells_are_cumulated_by_parts(spark, monkeypatch):
+    """The same ranks, percentiles and curves whether distinct values fit one window or not."""
+    from quillstat import ordering
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, rng.choice([None, *range(40)]), rng.random() + 0.1, i % 2) for i in range(400)], "i int, v int, w double, s int").withColumn("v", F.col("v").cast("double"))
+    frame = Frame(df, weight_by="w", order=("i",))
+
+    def results():
+        return [
+            sorted(map(tuple, rank.rank(df, "v", {"r": "rank", "p": "percent", "k": "ntiles"}, w="w").select("i", F.round("r", 8), F.round("p", 8), "k").collect())),
+            sorted(map(tuple, rank.autorecode(df, "v", "c", descending=True).select("i", "c").collect())),
+            [[round(x, 8) for x in univariate.percentiles(frame, "v", [0.1, 0.5, 0.9], m).first()] for m in ("haverage", "enhanced", "empirical", "waverage")],
+            sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in univariate.frequencies(frame, "v").where("value is not null").collect()),
+            sorted(tuple(round(x, 8) for x in r) for r in models.roc_coordinates(frame, "v", "s", 1).collect()),
+            [round(x, 8) for x in inference.mann_whitney(frame, "v", "s", 0, 1).first()],
+            [round(x, 8) for x in inference.ks_normal(frame, "v").first()],
+        ]
+
+    small = results()
+    monkeypatch.setattr(ordering, "SMALL", -1)
+    assert results() == small
+
+
+def test_files_meet_by_position(spark):
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(5)], "i int, x string").repartition(3)
+    b = spark.createDataFrame([(10 * i, f"b{i}") for i in range(7)], "j int, x string").repartition(2)
+    got = rows(combine.match_files([(a, ["i"]), (b, ["j"])], flags=["in_a", "in_b"]).select("i", "j", "x", "in_a", "in_b"), "j")
+    assert got == [(i if i < 5 else None, 10 * i, f"a{i}" if i < 5 else f"b{i}", float(i < 5), 1.0) for i in range(7)]
+    look = spark.createDataFrame([(1, 2, "late"), (1, 1, "early"), (2, 1, "only")], "k int, o int, t string")
+    main = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "k int, n int")
+    out = combine.match_files([(main, ["n"])], ["k"], tables=[(look.select("k", "t", "o"), ["o"])], first="f", last="l", rename={0: {"n": "m"}})
+    assert rows(out.select("m", "t", "f", "l"), "m") == [(1, "early", 1.0, 0.0), (2, "early", 0.0, 1.0), (3, "only", 1.0, 1.0)]
+    added = combine.add_files([main, main.withColumn("n", F.col("n") + 10)], ["k"], ["n"], flags=[None, "second"], first="f", number="at")
+    assert rows(added.select("at", "k", "n", "second", "f"), "at") == [(1, 1, 1, 0.0, 1.0), (2, 1, 2, 0.0, 0.0), (3, 1, 11, 1.0, 0.0), (4, 1, 12, 1.0, 0.0), (5, 2, 3, 0.0, 1.0), (6, 2, 13, 1.0, 0.0)]
+    with pytest.raises(ValueError):
+        combine.add_files([main, look.select(F.col("t").alias("n"))])
