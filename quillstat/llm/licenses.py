@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstat.llm._tables import lower_az, store
@@ -81,9 +81,14 @@ def words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
 
 
+def pairs(w: str) -> Column:
+    """Pairs of neighbouring words of the column ``w``, in order."""
+    return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(w: str) -> Column:
     """Distinct pairs of neighbouring words of the column ``w``."""
-    return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(pairs(w))
 
 
 def _anchors(template: str, dice: int) -> Column:
@@ -107,9 +112,12 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     """One row for each unit of a text and each template part nearest to it, if their Dice coefficient is ``dice`` per cent or more.
 
     Units are the lines of a text, its paragraphs of more than one line (blank
-    lines divide them) and, if it has more than one paragraph, the whole of it.
+    lines divide them), if it has more than one paragraph, the whole of it, and spans: runs of a
+    part's number of words anywhere in the text, laid so that one of the part's rare
+    bigrams stands where the part has it (unit_no is the span's first word, from 1). So a
+    notice amid other words of a line or paragraph is found too; spans that overlap are all returned.
     Template parts are a template's whole text (0) and, if it has more than one,
-    its paragraphs (from 1). Columns: id, unit_kind (line, paragraph or text),
+    its paragraphs (from 1). Columns: id, unit_kind (line, paragraph, text or span),
     unit_no (from 1), license_id, template_no (from 1, by license and text),
     template_part, n_shared, n_unit, n_template (distinct bigrams), dice.
 
@@ -132,7 +140,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     whole = F.array(F.struct(F.lit(0).alias("template_part"), F.col("x").alias("x")))
     parts = F.when(F.size(_paragraphs()) > 1, F.transform(_paragraphs(), lambda p, i: F.struct((i + 1).alias("template_part"), p.alias("x")))).otherwise(F.array().cast("array<struct<template_part:int,x:string>>"))
     source = source.select("template_no", "license_id", F.inline(F.concat(whole, parts)))
-    source = store(source.select("template_no", "license_id", "template_part", words(F.col("x")).alias("w")).select("template_no", "license_id", "template_part", bigrams("w").alias("template")).withColumn("n_template", F.size("template")).where("n_template > 0"), "license-templates")
+    source = source.select("template_no", "license_id", "template_part", words(F.col("x")).alias("w"))
+    source = store(source.select("*", bigrams("w").alias("template")).withColumn("n_template", F.size("template")).where("n_template > 0"), "license-templates")
     least = F.floor((dice * F.col("n_template") + (199 - dice)) / (200 - dice)).cast("int")
     most = F.floor((200 - dice) * F.col("n_template") / dice).cast("int")
     part = F.struct("license_id", "template_no", "template_part", "template", "n_template")
@@ -142,10 +151,12 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     lines = F.split("x", "\n", -1)
     several = F.filter(_units("paragraph", F.col("p")), lambda u: F.instr(u["x"], "\n") > 0)
     text = F.filter(_units("text", F.array("x")), lambda u: F.size("p") > 1)
-    units = docs.select(F.col(id_col).alias("_id"), cleaned(F.col(text_col)).alias("x")).select("_id", "x", _paragraphs().alias("p"))
+    texts = docs.select(F.col(id_col).alias("_id"), cleaned(F.col(text_col)).alias("x"))
+    units = texts.select("_id", "x", _paragraphs().alias("p"))
     units = units.select("_id", F.inline(F.concat(_units("line", lines), several, text)))
     # n distinct bigrams take n + 1 words, so 2n + 1 characters at least.
     units = units.where(F.length("x") >= 2 * held.least + 1).select("_id", "unit_kind", "unit_no", words(F.col("x")).alias("_words"))
+    anchors = None
     if held.chars <= BROADCAST_CHARS:
         anchors = source.select(F.explode(_anchors("template", dice)).alias("a")).agg(F.sort_array(F.collect_set("a"))).first()[0]
         units = units.where(F.arrays_overlap("_words", F.lit(anchors or [""])))
@@ -157,7 +168,37 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     value = lambda p: 2 * p["n_shared"] / (F.col("n_unit") + p["n_template"])
     met = met.withColumn("_top", F.array_max(F.transform("_close", value)))
     met = met.select(F.col("_id").alias(id_col), "unit_kind", "unit_no", "n_unit", "_top", F.inline(F.filter("_close", lambda p: value(p) == F.col("_top"))))
-    return met.select(id_col, "unit_kind", "unit_no", "license_id", "template_no", "template_part", "n_shared", "n_unit", "n_template", F.col("_top").alias("dice"))
+    met = met.select(id_col, "unit_kind", "unit_no", "license_id", "template_no", "template_part", "n_shared", "n_unit", "n_template", F.col("_top").alias("dice"))
+    return met.unionByName(_spans(texts, source, dice, anchors).withColumnRenamed("_id", id_col))
+
+
+def _span_anchors(source: DataFrame, dice: int) -> DataFrame:
+    """(g, o, m, template row): so many bigrams of each part that a match must share one, those with the longest words first, with the first place of each in the part's m words."""
+    first = source.select("template_no", "template_part", "n_template", F.posexplode(pairs("w")).alias("o", "g")).groupBy("template_no", "template_part", "n_template", "g").agg(F.min("o").alias("o"))
+    a, b = F.substring_index("g", " ", 1), F.substring_index("g", " ", -1)
+    longer = F.when(F.length(a) >= F.length(b), a).otherwise(b)
+    by_length = Window.partitionBy("template_no", "template_part").orderBy(F.desc(F.length(longer)), longer, "g")
+    need = F.floor((dice * F.col("n_template") + (199 - dice)) / (200 - dice))
+    first = first.withColumn("_nth", F.row_number().over(by_length)).where(F.col("_nth") <= F.col("n_template") - need + 1)
+    return first.select("template_no", "template_part", "g", "o").join(source.select("template_no", "template_part", "license_id", "template", "n_template", F.size("w").alias("m")), ["template_no", "template_part"])
+
+
+def _spans(texts: DataFrame, source: DataFrame, dice: int, words_list: list[str] | None) -> DataFrame:
+    """The spans of texts (_id, x) that match; ``words_list``: words of which a match has one, null where they are too many to send."""
+    anchors = store(_span_anchors(source, dice), "license-anchors")
+    rows = texts.select(F.monotonically_increasing_id().alias("_row"), "_id", words(F.col("x")).alias("_w"))
+    places = F.transform(pairs("_w"), lambda g, i: F.struct(i.alias("_i"), g.alias("g")))
+    if words_list is not None:
+        grams = anchors.agg(F.sort_array(F.collect_set("g"))).first()[0]
+        rows = rows.where(F.arrays_overlap("_w", F.lit(words_list or [""])))
+        places, anchors = F.filter(places, lambda s: F.array_contains(F.lit(grams or [""]), s["g"])), F.broadcast(anchors)
+    rows = rows.select("_row", "_id", "_w", F.inline(places)).join(anchors, "g")
+    rows = rows.withColumn("_from", F.greatest(F.col("_i") - F.col("o"), F.lit(0))).withColumn("_to", F.least(F.col("_i") - F.col("o") + F.col("m"), F.size("_w")))
+    rows = rows.withColumn("_span", F.slice("_w", F.col("_from") + 1, F.col("_to") - F.col("_from"))).withColumn("_unit", bigrams("_span"))
+    rows = rows.withColumn("n_unit", F.size("_unit")).withColumn("n_shared", F.size(F.array_intersect("_unit", "template"))).where(200 * F.col("n_shared") >= dice * (F.col("n_unit") + F.col("n_template")))
+    rows = rows.select("_row", "_id", F.lit("span").alias("unit_kind"), (F.col("_from") + 1).cast("long").alias("unit_no"), "license_id", "template_no", "template_part", "n_shared", "n_unit", "n_template", (2 * F.col("n_shared") / (F.col("n_unit") + F.col("n_template"))).alias("dice"))
+    rows = rows.dropDuplicates(["_row", "unit_no", "template_no", "template_part"])
+    return rows.withColumn("_top", F.max("dice").over(Window.partitionBy("_row", "unit_no"))).where("dice = _top").drop("_row", "_top")
 
 
 def _literal(text: str) -> str:
@@ -180,7 +221,17 @@ ub as (select r, doc_id, unit_kind, unit_no, list_distinct(list_transform(range(
 tw as (select license_id, template_no, template_part, string_split(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), ' ') as w from parts),
 tb as (select license_id, template_no, template_part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from tw),
 m as (select ub.* exclude b, tb.* exclude b, len(list_intersect(ub.b, tb.b)) as n_shared, len(ub.b) as n_unit, len(tb.b) as n_template from ub join tb
-  on 200 * least(len(ub.b), len(tb.b)) >= {DICE} * (len(ub.b) + len(tb.b)) and len(ub.b) > 0)
-select doc_id, unit_kind, unit_no::bigint as unit_no, license_id, template_no::int as template_no, template_part::int as template_part, n_shared::int as n_shared, n_unit::int as n_unit, n_template::int as n_template, 2.0::double * n_shared / (n_unit + n_template) as dice from m where 200 * n_shared >= {DICE} * (n_unit + n_template)
+  on 200 * least(len(ub.b), len(tb.b)) >= {DICE} * (len(ub.b) + len(tb.b)) and len(ub.b) > 0),
+tg as (select license_id, template_no, template_part, w, i, w[i] || ' ' || w[i + 1] as g from (select *, unnest(range(1, len(w))) as i from tw)),
+tf as (select license_id, template_no, template_part, g, min(i) as o, max(len(w)) as m, max(case when length(split_part(g, ' ', 1)) >= length(split_part(g, ' ', 2)) then split_part(g, ' ', 1) else split_part(g, ' ', 2) end) as longer from tg group by all),
+ta as (select *, count(*) over (partition by template_no, template_part) as n, row_number() over (partition by template_no, template_part order by length(longer) desc, longer, g) as nth from tf),
+an as (select * from ta where nth <= n - floor(({DICE} * n + {199 - DICE}) / {200 - DICE}) + 1),
+dw as (select r, doc_id, string_split(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), ' ') as w from d),
+dg as (select r, doc_id, w, i, w[i] || ' ' || w[i + 1] as g from (select *, unnest(range(1, len(w))) as i from dw)),
+sp as (select distinct dg.r, dg.doc_id, greatest(dg.i - an.o + 1, 1) as f, least(dg.i - an.o + an.m, len(dg.w)) as e, license_id, template_no, template_part from dg join an on dg.g = an.g),
+sb as (select sp.r, sp.doc_id, 'span' as unit_kind, f as unit_no, license_id, template_no, template_part, list_distinct(list_transform(range(f, e), lambda i: w[i] || ' ' || w[i + 1])) as u from sp join dw on sp.r = dw.r),
+sm as (select sb.* exclude u, len(list_intersect(u, tb.b)) as n_shared, len(u) as n_unit, len(tb.b) as n_template from sb join tb on sb.template_no = tb.template_no and sb.template_part = tb.template_part),
+every as (select r, doc_id, unit_kind, unit_no, license_id, template_no, template_part, n_shared, n_unit, n_template from m union all select r, doc_id, unit_kind, unit_no, license_id, template_no, template_part, n_shared, n_unit, n_template from sm)
+select doc_id, unit_kind, unit_no::bigint as unit_no, license_id, template_no::int as template_no, template_part::int as template_part, n_shared::int as n_shared, n_unit::int as n_unit, n_template::int as n_template, 2.0::double * n_shared / (n_unit + n_template) as dice from every where 200 * n_shared >= {DICE} * (n_unit + n_template)
 qualify dice = max(dice) over (partition by r, unit_kind, unit_no)
 """

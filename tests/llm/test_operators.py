@@ -224,7 +224,23 @@ def license_brute(text, parts, dice=90):
         a = pairs(u)
         found = [(kind, i, name, k, round(2 * len(a & b) / (len(a) + len(b)), 9)) for name, k, b in parts if a and b and 200 * len(a & b) >= dice * (len(a) + len(b))]
         out += [m for m in found if m[-1] == max(x[-1] for x in found)]
-    return out
+    whole = re.findall("[a-z0-9]+", x)
+    spans = {}
+    for name, t in sorted({(n, clean(t)) for n, t in TEMPLATES}):
+        for k, part in enumerate([t, *(paragraphs(t) if len(paragraphs(t)) > 1 else [])]):
+            w = re.findall("[a-z0-9]+", part)
+            own = list(zip(w, w[1:], strict=False))
+            long = lambda g: g[0] if len(g[0]) >= len(g[1]) else g[1]
+            ranked = sorted(set(own), key=lambda g: (-len(long(g)), long(g), g))
+            need = (dice * len(ranked) + 199 - dice) // (200 - dice)
+            for g in ranked[: len(ranked) - need + 1]:
+                for i, here in enumerate(zip(whole, whole[1:], strict=False)):
+                    if here == g:
+                        at = i - own.index(g)
+                        a = set(zip(whole[max(at, 0) : at + len(w)], whole[max(at, 0) + 1 : at + len(w)], strict=False))
+                        if a and 200 * len(a & set(own)) >= dice * (len(a) + len(set(own))):
+                            spans.setdefault(max(at, 0) + 1, set()).add((name, k, round(2 * len(a & set(own)) / (len(a) + len(set(own))), 9)))
+    return out + [("span", at, *m) for at, found in spans.items() for m in found if m[-1] == max(f[-1] for f in found)]
 
 
 def test_license_scan(spark):
@@ -240,7 +256,10 @@ def test_license_scan(spark):
     assert got == want
     names = {(r[0], r[3]) for r in got}
     assert {("0", "MIT"), ("1", "MIT"), ("2", "MIT"), ("3", "MIT"), ("4", "MIT"), ("6", "CC-BY-NC-4.0"), ("6", "CC-BY-4.0"), ("11", "Apache-2.0")} <= names
-    assert not {i for i, _ in names} & {"5", "7", "8", "9", "10"}
+    assert not {r[0] for r in got if r[1] != "span"} & {"5", "7", "8", "9", "10"}
+    amid = spark.createDataFrame([(1, "Some prose. Released under the MIT License. More prose."), (2, "x = 1 # " + " ".join(_MIT.split("\n\n")[0].split()[:70]) + " and then code"), (3, "the public may see that this is released under the sun")], "doc_id long, text string")
+    spans = {(r["doc_id"], r["license_id"], r["unit_no"]) for r in scan_licenses(amid, template_table(spark)).where("unit_kind = 'span'").collect()}
+    assert (1, "MIT", 3) in spans and (2, "MIT", 3) in spans and not {x for x in spans if x[0] == 3}
     assert scan_licenses(docs.limit(0), template_table(spark)).count() == scan_licenses(docs, template_table(spark).limit(0)).count() == 0
 
 
