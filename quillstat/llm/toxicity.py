@@ -9,7 +9,8 @@ keeps their lengths equal on everything else.
 
 Lengths in whole bytes are coarse for short windows, so each byte is first written as
 WIDTH bytes. A document is described by the differences of its windows' two
-lengths: the greatest ones and how many reach each of THRESHOLDS; a logistic fit and
+lengths: the greatest ones and how many reach each of THRESHOLDS, and the same of the
+single words of windows that stand out; a logistic fit and
 isotonic regression on differences from the other half's dictionaries calibrate
 them to a probability.
 """
@@ -47,6 +48,7 @@ OPEN = 0.05
 TRAIN_WINDOWS = 100_000
 #: Differences in bytes whose windows are counted.
 THRESHOLDS = (1, 2, 3, 4, 5, 7, 9, 12)
+FEATURES = 3 + 2 * len(THRESHOLDS) + 2 + len(THRESHOLDS)
 #: Windows compressed at once.
 BATCH = 50_000
 
@@ -56,8 +58,9 @@ _WIDE[65:91] = _WIDE[97:123]
 _WIDE[9:14] = _WIDE[32]
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(data: np.ndarray, offsets: np.ndarray, words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end byte) of the windows of a block, each with the blanks around it; a row's last window may be shorter."""
+    words = words or WORDS
     starts, ends = W._spans(data, offsets)
     first = np.searchsorted(starts, offsets)
     n = -(-np.diff(first) // words)
@@ -119,30 +122,50 @@ class Dictionaries:
         return _lengths(self._made[0], wide, segments) / np.maximum(segments[:, 1], 1)
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """What describes each whole text: its greatest difference, the sum of the greatest three, and windows reaching each threshold, by number and by share. All 0 without words."""
-        out = np.zeros((len(column), 3 + 2 * len(THRESHOLDS)))
+        """What describes each whole text: its greatest difference, the sum of the greatest three, the number of windows, and those reaching each threshold, by number and by share; the same of the single words of telling windows. All 0 without words."""
+        out = np.zeros((len(column), FEATURES))
         for lo, data, offsets in W.blocks(column):
             row, start, end = windows(data, offsets)
             if not len(row):
                 continue
-            d = [np.zeros(0, np.int64)]
-            for at in range(0, len(row), BATCH):
-                s, e = start[at : at + BATCH], end[at : at + BATCH]
-                d.append(self.differences(widened(data[s[0] : e[-1]]), np.stack([s - s[0], e - s], axis=1) * WIDTH))
-            d = np.concatenate(d)
             rows = len(offsets) - 1
+            d = self._block(data, start, end)
             n = np.bincount(row, minlength=rows)
-            order = np.lexsort((-d, row))
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             mine = out[lo : lo + rows]
-            mine[:, 0] = np.bincount(row, np.where(nth == 0, d[order], 0), rows)
-            mine[:, 1] = np.bincount(row, np.where(nth < 3, d[order], 0), rows)
+            mine[:, 0], mine[:, 1] = _top(row, d, rows)
             mine[:, 2] = np.log1p(n)
             for k, t in enumerate(THRESHOLDS):
                 count = np.bincount(row, d >= t, rows)
                 mine[:, 3 + 2 * k], mine[:, 4 + 2 * k] = np.log1p(count), count / np.maximum(n, 1)
+            telling = np.flatnonzero(d > WINDOW_OVER)
+            if len(telling):
+                w_row, w_start, w_end = windows(data, offsets, 1)
+                at = np.searchsorted(start, w_start, "right") - 1  # the window that a word is in
+                inside = np.isin(at, telling)
+                w_row, w_start, w_end = w_row[inside], w_start[inside], w_end[inside]
+                d = self._block(data, w_start, w_end)
+                at = 3 + 2 * len(THRESHOLDS)
+                mine[:, at], mine[:, at + 1] = _top(w_row, d, rows)
+                for k, t in enumerate(THRESHOLDS):
+                    mine[:, at + 2 + k] = np.log1p(np.bincount(w_row, d >= t, rows))
         return out
 
+    def _block(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Differences of the stretches from start to end, which ascend."""
+        out = [np.zeros(0, np.int64)]
+        for at in range(0, len(start), BATCH):
+            s, e = start[at : at + BATCH], end[at : at + BATCH]
+            out.append(self.differences(widened(data[s[0] : e[-1]]), np.stack([s - s[0], e - s], axis=1) * WIDTH))
+        return np.concatenate(out)
+
+
+def _top(row: np.ndarray, d: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest difference of each row and the sum of its greatest three."""
+    n = np.bincount(row, minlength=rows)
+    order = np.lexsort((-d, row))
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return np.bincount(row, np.where(nth == 0, d[order], 0), rows), np.bincount(row, np.where(nth < 3, d[order], 0), rows)
+
 
 def _packed(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     ends = np.cumsum([0, *map(len, texts)]) * WIDTH
@@ -268,16 +291,14 @@ def fit(sample: DataFrame) -> ToxicityModel:
     if not all(map(len, (*ordinary, *toxic))):
         return ToxicityModel(None, None, None, prior)
     whole, halves = narrowed(toxic, ordinary)
-    size = 3 + 2 * len(THRESHOLDS)
-
     def held(batches):
         for b in batches:
             half = b.column(2).to_numpy() % 2
-            x = np.zeros((b.num_rows, size))
+            x = np.zeros((b.num_rows, FEATURES))
             for h in (0, 1):
                 at = np.flatnonzero(half == h)
                 x[at] = halves[1 - h].features(b.column(0).take(pa.array(at)))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), pa.array(x.ravel())), b.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel())), b.column(1)], ["x", "label"])
 
     scored = sample.mapInArrow(held, "x array<double>, label int").collect()
     x, y = np.array([r["x"] for r in scored]), np.array([r["label"] for r in scored])
