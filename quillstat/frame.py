@@ -31,6 +31,20 @@ class Missing:
         return F.coalesce(test, F.lit(False))
 
 
+#: A value of RECODE that stands for the value recoded.
+COPY = object()
+
+
+@dataclass(frozen=True)
+class ResponseSet:
+    """A multiple response set: categories of several variables, or variables that count when they have one value."""
+
+    members: tuple[str, ...]
+    label: str = ""
+    counted: float | str | None = None  # None: a category set
+    labels_from: str = "categories"
+
+
 @dataclass(frozen=True)
 class Meta:
     """Dictionary entries that live beside the data."""
@@ -43,7 +57,8 @@ class Meta:
     level: Mapping[str, str] = field(default_factory=dict)
     role: Mapping[str, str] = field(default_factory=dict)
     vectors: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
-    sets: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    sets: Mapping[str, ResponseSet] = field(default_factory=dict)
+    write_formats: Mapping[str, str] = field(default_factory=dict)
     documents: tuple[str, ...] = ()
     title: str = ""
 
@@ -81,8 +96,15 @@ class Frame:
         return self._meta(value_labels={**self.meta.value_labels, name: {**old, **labels}})
 
     def formats(self, **by_name: str) -> Frame:
+        """FORMATS: the print and write formats."""
+        return self.print_formats(**by_name).write_formats(**by_name)
+
+    def print_formats(self, **by_name: str) -> Frame:
         return self._meta(formats={**self.meta.formats, **by_name})
 
+    def write_formats(self, **by_name: str) -> Frame:
+        return self._meta(write_formats={**self.meta.write_formats, **by_name})
+
     def variable_attribute(self, name: str, **entries: str) -> Frame:
         return self._meta(attributes={**self.meta.attributes, name: {**self.meta.attributes.get(name, {}), **entries}})
 
@@ -92,8 +114,23 @@ class Frame:
     def variable_role(self, **by_name: str) -> Frame:
         return self._meta(role={**self.meta.role, **by_name})
 
-    def mrset(self, name: str, members: Iterable[str]) -> Frame:
-        return self._meta(sets={**self.meta.sets, name: tuple(members)})
+    def mrset(self, name: str, members: Iterable[str], label: str = "", counted: float | str | None = None, labels_from: str = "categories") -> Frame:
+        """MRSETS: a set of categories, or with ``counted`` one of variables that have the value."""
+        members = tuple(members)
+        if len(members) < 2 or not set(members) <= set(self.df.columns):
+            raise ValueError("a response set has two variables of the data at least")
+        return self._meta(sets={**self.meta.sets, name: ResponseSet(members, label, counted, labels_from)})
+
+    def delete_mrset(self, *names: str) -> Frame:
+        return self._meta(sets={n: v for n, v in self.meta.sets.items() if n not in names})
+
+    def display_mrsets(self) -> DataFrame:
+        rows = [(n, v.label, "categories" if v.counted is None else "counted", ", ".join(v.members)) for n, v in sorted(self.meta.sets.items())]
+        return self.df.sparkSession.createDataFrame(rows, "name string, label string, kind string, variables string")
+
+    def document(self, *lines: str) -> Frame:
+        """DOCUMENT: replaces what was there."""
+        return self._meta(documents=tuple(lines))
 
     def add_document(self, *lines: str) -> Frame:
         return self._meta(documents=(*self.meta.documents, *lines))
@@ -185,6 +222,34 @@ class Frame:
         folded = F.aggregate(F.sequence(start.cast("long"), stop.cast("long"), F.lit(by).cast("long")), state, turn)["v"]
         return self.compute(name, F.when(start <= stop if by > 0 else start >= stop, folded).otherwise(initial))
 
+    def loop_many(self, initial: Mapping[str, Column], step: Callable[[Column, Column], Mapping[str, Column]], start: int | Column = 1, stop: int | Column | None = None, by: int | Column = 1, while_: Callable[[Column, Column], Column] | None = None, until: Callable[[Column, Column], Column] | None = None, most: int = 40) -> Frame:
+        """Several variables folded over an index: ``step(state, index)`` gives the new values of those it changes.
+
+        ``while_`` (LOOP IF) is tested before each turn and ends the loop unless it is true, ``until``
+        (END LOOP IF) after each turn and ends it if it is not false. Without ``stop`` there are at most ``most`` turns (MXLOOPS).
+        """
+        as_long = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+        first, by = as_long(start), as_long(by)
+        last = as_long(stop) if stop is not None else first + (most - 1) * by
+        names = list(initial)
+        kinds = {n: self.df.select(c.alias(n)).schema[0].dataType for n, c in initial.items()}
+        state = F.struct(*[initial[n].alias(n) for n in names], F.lit(False).alias("__done"))
+
+        def turn(s, i):
+            ends = s["__done"] if while_ is None else s["__done"] | ~F.coalesce(while_(s, i), F.lit(False))
+            new = step(s, i)
+            moved = [new[n].cast(kinds[n]).alias(n) if n in new else s[n].alias(n) for n in names]
+            after = F.struct(*moved, F.lit(False).alias("__done"))
+            if until is not None:
+                done = F.coalesce(until(after, i), F.lit(True))
+                after = F.struct(*moved, done.alias("__done"))
+            return F.when(ends, F.struct(*[s[n].alias(n) for n in names], F.lit(True).alias("__done"))).otherwise(after)
+
+        runs = F.when(by > 0, first <= last).when(by < 0, first >= last).otherwise(False)
+        turns = F.when(runs, F.sequence(first, last, by)).otherwise(F.array().cast("array<bigint>"))
+        folded = self.df.withColumn("__loop", F.aggregate(turns, state, turn))
+        return self._with(folded.withColumns({n: F.col("__loop")[n] for n in names}).drop("__loop"))
+
     def vector(self, name: str, *members: str) -> Frame:
         return self._meta(vectors={**self.meta.vectors, name: members})
 
@@ -199,26 +264,39 @@ class Frame:
         members = self.meta.vectors[vector]
         return self._with(df.select(*[F.when(at == members.index(c) + 1, value).otherwise(F.col(c)).alias(c) if c in members else F.col(c) for c in df.columns]))
 
-    def recode(self, name: str, rules: list[tuple], into: str | None = None, otherwise: str = "keep") -> Frame:
-        """Rules (test, value): test is a value, (low, high), 'sysmis', 'missing' or 'else'; value may be 'copy' or None. The first match wins."""
+    def recode(self, name: str, rules: list[tuple], into: str | None = None) -> Frame:
+        """Rules (test, value): test is a value, (low, high), 'sysmis', 'missing', 'convert' (a string that holds a number) or 'else'; value may be COPY or None. The first match wins.
+
+        Without a match the variable keeps its value; a new variable (``into``) is missing, or blank
+        if it is a string. Strings match apart from trailing blanks. 'copy' means COPY unless the variable is a string.
+        """
+        text = self.df.schema[name].dataType.typeName() == "string"
         c = F.col(name)
         out: Column | None = None
+        strings = False
         for test, value in rules:
+            copied = value is COPY or not text and isinstance(value, str) and value == "copy"
+            given = c if copied else F.lit(value)
+            strings |= text if copied else isinstance(value, str)
             if test == "else":
                 hit = F.lit(True)
             elif test == "sysmis":
                 hit = c.isNull()
             elif test == "missing":
                 hit = self.is_missing(name)
+            elif test == "convert":
+                given, strings = F.trim(c).try_cast("double"), False
+                hit = given.isNotNull()
             elif isinstance(test, tuple):
                 low, high = test
                 hit = (F.lit(True) if low is None else c >= low) & (F.lit(True) if high is None else c <= high)
             else:
-                hit = c == test
-            given = c if isinstance(value, str) and value == "copy" else F.lit(value)
+                hit = F.rtrim(c) == test.rstrip() if text else c == test
             hit = F.coalesce(hit, F.lit(False))
             out = F.when(hit, given) if out is None else out.when(hit, given)
-        return self.compute(into or name, out if into else out.otherwise(c))
+        if into is None:
+            return self.compute(name, out.otherwise(c))
+        return self.compute(into, out.otherwise("") if strings else out)
 
     def count(self, into: str, names: Iterable[str], values: Iterable = (), ranges: Iterable[tuple] = (), missing: bool = False, sysmis: bool = False) -> Frame:
         """Number of variables that match; a user-missing value counts by ``missing`` only, never by its value."""

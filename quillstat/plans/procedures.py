@@ -210,3 +210,25 @@ def regression_two_terms(spark, d):
     fit = models.regression(frame(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"])
     row = (round(float(fit["b"][1]), 4), round(float(fit["b"][2]), 3), round(float(fit["b"][0]), 3), round(float(fit["se"][1]), 6), round(float(fit["t"][1]), 4), round(float(fit["r2"]), 8), round(float(fit["f"]), 3))
     return spark.createDataFrame([row], "b1 double, b2 double, b0 double, se1 double, t1 double, r2 double, f double")
+
+
+@query("""select 'temporary' as data, count(*)::double as n, round(sum(s_acctbal * 2), 2) as s from supplier where s_acctbal > 1000 union all select 'restored', count(*)::double, round(sum(s_acctbal), 2) from supplier""")
+def temporary_chain(spark, d):
+    f = frame(spark, d, "supplier").temporary().select_if(F.col("s_acctbal") > 1000).compute("s_acctbal", F.col("s_acctbal") * 2)
+    one = lambda name, g: g.df.agg(F.count("*").cast("double").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("s")).select(F.lit(name).alias("data"), "n", "s")
+    return one("temporary", f).unionByName(one("restored", f.restored()))
+
+
+@query("""with recursive k as (select p_partkey, p_size, 1::bigint as i, 0::double as total, p_size::double as rest from part union all select p_partkey, p_size, i + 1, total + rest, floor(rest / 2) from k where rest > 0 and i <= 40)
+select p_partkey, arg_max(total, i) as total, arg_max(rest, i) as rest from k group by p_partkey""")
+def loop_with_condition(spark, d):
+    f = frame(spark, d, "part").loop_many({"total": F.lit(0.0), "rest": F.col("p_size").cast("double")}, lambda s, i: {"total": s["total"] + s["rest"], "rest": F.floor(s["rest"] / 2)}, while_=lambda s, i: s["rest"] > 0)
+    return f.df.select("p_partkey", "total", "rest")
+
+
+@query("""select c_custkey, case c_mktsegment when 'BUILDING' then 'b' when 'MACHINERY' then c_mktsegment else '' end as seg, case when c_nationkey between 0 and 4 then 0.0 when c_nationkey = 7 then 7.0 end as nat, try_cast(substr(c_name, 11) as double) as num from customer""")
+def recode_into(spark, d):
+    from quillstat.frame import COPY
+
+    f = frame(spark, d, "customer").recode("c_mktsegment", [("BUILDING", "b"), ("MACHINERY", COPY)], into="seg").compute("n", F.col("c_nationkey").cast("double")).recode("n", [((0, 4), 0.0), (7, COPY)], into="nat")
+    return f.compute("tail", F.substring("c_name", 11, 100)).recode("tail", [("convert", None)], into="num").df.select("c_custkey", "seg", "nat", "num")

@@ -293,3 +293,21 @@ def test_files_meet_by_position(spark):
     assert rows(added.select("at", "k", "n", "second", "f"), "at") == [(1, 1, 1, 0.0, 1.0), (2, 1, 2, 0.0, 0.0), (3, 1, 11, 1.0, 0.0), (4, 1, 12, 1.0, 0.0), (5, 2, 3, 0.0, 1.0), (6, 2, 13, 1.0, 0.0)]
     with pytest.raises(ValueError):
         combine.add_files([main, look.select(F.col("t").alias("n"))])
+
+
+def test_dictionary_entries(spark):
+    f = Frame(spark.createDataFrame([(1, 0, "a")], "x int, y int, s string"))
+    f = f.formats(x="F8.2").print_formats(x="F4.0").mrset("$m", ["x", "y"], "both", counted=1).document("one").document("two").add_document("three")
+    assert f.meta.formats == {"x": "F4.0"} and f.meta.write_formats == {"x": "F8.2"} and f.meta.documents == ("two", "three")
+    assert rows(f.display_mrsets()) == [("$m", "both", "counted", "x, y")] and f.delete_mrset("$m").display_mrsets().count() == 0
+    with pytest.raises(ValueError):
+        f.mrset("$n", ["x"])
+
+
+def test_loops_of_several_variables(spark):
+    f = Frame(spark.createDataFrame([(1,), (5,), (None,)], "n int"))
+    got = f.loop_many({"a": F.lit(0.0), "b": F.lit(1.0)}, lambda s, i: {"a": s["b"], "b": s["a"] + s["b"]}, stop=F.col("n"))
+    assert rows(got.df.select("n", "a", "b"), F.col("n").asc_nulls_first()) == [(None, 0.0, 1.0), (1, 1.0, 1.0), (5, 5.0, 8.0)]
+    down = f.loop_many({"a": F.lit(0.0)}, lambda s, i: {"a": s["a"] * 10 + i}, start=5, stop=1, by=-2, until=lambda s, i: i == 3)
+    assert {r["a"] for r in down.df.collect()} == {53.0}
+    assert {r["a"] for r in f.loop_many({"a": F.lit(0.0)}, lambda s, i: {"a": s["a"] + 1}, most=7).df.collect()} == {7.0}
