@@ -91,17 +91,23 @@ def contrast(frame: Frame, x: str, by: str, coefficients: dict) -> dict[str, flo
 
 
 def post_hoc(frame: Frame, x: str, by: str) -> DataFrame:
-    """All pairs of groups: difference, standard error, t, and p by LSD, Bonferroni, Sidak and Scheffe. Groups, not cases, are paired."""
-    g = _groups(frame, x, by).select("g", "n", "mean")
+    """All pairs of groups: difference, standard error, t, and p by LSD, Bonferroni, Sidak, Scheffe, Tukey and, with each pair's own variances, Games-Howell. Groups, not cases, are paired."""
+    g = _groups(frame, x, by).select("g", "n", "mean", "variance")
     w = anova(frame, x, by)
     a, b = (g.toDF(*[f"{p}_{c}" for c in g.columns]) for p in "ab")
     k = g.agg(F.count("*").cast("double").alias("groups"))
-    pairs = a.join(b, F.col("a_g") < F.col("b_g")).crossJoin(F.broadcast(w.select("ss_within", "df_within"))).crossJoin(F.broadcast(k))
-    se = F.sqrt(F.try_divide("ss_within", "df_within") * (F.try_divide(F.lit(1.0), "a_n") + F.try_divide(F.lit(1.0), "b_n")))
-    pairs = pairs.withColumn("difference", F.col("a_mean") - F.col("b_mean")).withColumn("se", se).withColumn("t", F.try_divide("difference", "se"))
+    pairs = a.join(b, F.col("a_g") < F.col("b_g")).crossJoin(F.broadcast(w.select("ss_within", "df_within"))).crossJoin(F.broadcast(k))  # one row each
+    div = F.try_divide
+    se = F.sqrt(div("ss_within", "df_within") * (div(F.lit(1.0), "a_n") + div(F.lit(1.0), "b_n")))
+    pairs = pairs.withColumn("difference", F.col("a_mean") - F.col("b_mean")).withColumn("se", se).withColumn("t", div("difference", "se"))
     m = F.col("groups") * (F.col("groups") - 1) / 2
-    pairs = pairs.withColumn("lsd", 2 * (1 - S.distribution("cdf.t", F.abs("t"), F.col("df_within")))).withColumn("bonferroni", F.least(F.lit(1.0), F.col("lsd") * m)).withColumn("sidak", 1 - F.pow(1 - F.col("lsd"), m))
-    return pairs.withColumn("scheffe", S.distribution("sig.f", F.try_divide(F.col("t") ** 2, F.col("groups") - 1), F.col("groups") - 1, F.col("df_within"))).select(F.col("a_g").alias("g1"), F.col("b_g").alias("g2"), "difference", "se", "t", "lsd", "bonferroni", "sidak", "scheffe")
+    pairs = pairs.withColumn("lsd", _two_sided(F.col("t"), F.col("df_within"))).withColumn("bonferroni", F.least(F.lit(1.0), F.col("lsd") * m)).withColumn("sidak", 1 - F.pow(1 - F.col("lsd"), m))
+    pairs = pairs.withColumn("scheffe", S.distribution("sig.f", div(F.col("t") ** 2, F.col("groups") - 1), F.col("groups") - 1, F.col("df_within")))
+    pairs = pairs.withColumn("tukey", S.distribution("sig.srange", F.abs("t") * F.sqrt(F.lit(2.0)), F.col("groups"), F.col("df_within")))
+    e1, e2 = div("a_variance", "a_n"), div("b_variance", "b_n")
+    pairs = pairs.withColumn("se_own", F.sqrt(e1 + e2)).withColumn("df_own", div((e1 + e2) ** 2, div(e1**2, F.col("a_n") - 1) + div(e2**2, F.col("b_n") - 1)))
+    pairs = pairs.withColumn("games_howell", S.distribution("sig.srange", F.abs(div("difference", "se_own")) * F.sqrt(F.lit(2.0)), F.col("groups"), F.col("df_own")))
+    return pairs.select(F.col("a_g").alias("g1"), F.col("b_g").alias("g2"), "difference", "se", "t", "lsd", "bonferroni", "sidak", "scheffe", "tukey", "se_own", "df_own", "games_howell")
 
 
 def correlations(frame: Frame, names: list[str], listwise: bool = False) -> DataFrame:
@@ -235,14 +241,30 @@ def binomial(frame: Frame, x: str, cut: float, p: float = 0.5) -> DataFrame:
     return out.withColumn("p", F.least(F.lit(1.0), tail))
 
 
-def ks_normal(frame: Frame, x: str) -> DataFrame:
-    """Largest deviations from the normal distribution with the sample's moments."""
+def ks_one_sample(frame: Frame, x: str, family: str, *parameters: float) -> DataFrame:
+    """Largest deviations of the sample from a normal (mean, sd), uniform (low, high), poisson (mean) or exponential (mean) distribution; parameters that are not given come from the sample."""
     v = frame.valid(x).cast("double")
     m = moments(frame, v)
-    stats = frame.cases().agg(m["n"].alias("n"), m["mean"].alias("mean"), m["sd"].alias("sd"))
+    from_sample = {"normal": [m["mean"], m["sd"]], "uniform": [F.min(v), F.max(v)], "poisson": [m["mean"]], "exponential": [m["mean"]]}[family]
+    given = [F.max(F.lit(float(p))) for p in parameters] or from_sample
+    stats = frame.cases().agg(m["n"].alias("n"), *[c.alias(f"p{i}") for i, c in enumerate(given)])
     cells = ordering.ranked(frame.cases().where(v.isNotNull()).groupBy(v.alias("v")).agg(F.sum("__w").alias("c")), [], "v", "c").withColumnRenamed("__cc", "cc")
-    f = cells.crossJoin(F.broadcast(stats)).withColumn("f", S.distribution("cdf.normal", F.col("v"), F.col("mean"), F.col("sd")))
-    return f.agg(F.max("n").alias("n"), F.max(F.try_divide("cc", "n") - F.col("f")).alias("positive"), F.min(F.try_divide(F.col("cc") - F.col("c"), F.col("n")) - F.col("f")).alias("negative")).withColumn("d", F.greatest("positive", -F.col("negative"))).withColumn("z", F.sqrt("n") * F.col("d"))
+    rows = cells.crossJoin(F.broadcast(stats))  # one row
+    p0, p1, at = F.col("p0"), F.col("p1") if len(given) > 1 else None, F.col("v")
+    cdf = {
+        "normal": lambda at: S.distribution("cdf.normal", at, p0, p1),
+        "uniform": lambda at: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(at - p0, p1 - p0))),
+        "poisson": lambda at: F.when(at < 0, 0.0).otherwise(S.distribution("cdf.poisson", F.floor(at), p0)),
+        "exponential": lambda at: F.when(at < 0, 0.0).otherwise(1 - F.exp(-F.try_divide(at, p0))),
+    }[family]
+    f = rows.withColumn("f", cdf(at)).withColumn("below", cdf(at - 1) if family == "poisson" else F.col("f"))
+    out = f.agg(F.max("n").alias("n"), F.max(F.try_divide("cc", "n") - F.col("f")).alias("positive"), F.min(F.try_divide(F.col("cc") - F.col("c"), F.col("n")) - F.col("below")).alias("negative"))
+    out = out.withColumn("d", F.greatest("positive", -F.col("negative"))).withColumn("z", F.sqrt("n") * F.col("d"))
+    return out.withColumn("p", S.distribution("sig.smirnov", F.col("z")))
+
+
+def ks_normal(frame: Frame, x: str) -> DataFrame:
+    return ks_one_sample(frame, x, "normal")
 
 
 def runs(frame: Frame, x: str, cut: float) -> DataFrame:

@@ -232,3 +232,11 @@ def recode_into(spark, d):
 
     f = frame(spark, d, "customer").recode("c_mktsegment", [("BUILDING", "b"), ("MACHINERY", COPY)], into="seg").compute("n", F.col("c_nationkey").cast("double")).recode("n", [((0, 4), 0.0), (7, COPY)], into="nat")
     return f.compute("tail", F.substring("c_name", 11, 100)).recode("tail", [("convert", None)], into="num").df.select("c_custkey", "seg", "nat", "num")
+
+
+@query("""with v as (select l_extendedprice as x, count(*)::double as c from lineitem group by 1), s as (select min(x) as lo, max(x) as hi, sum(c) as n, sum(x * c) / sum(c) as m from v), k as (select x, c, sum(c) over (order by x) as cc, lo, hi, n, m from v, s), f as (select *, (x - lo) / (hi - lo) as u, 1 - exp(-x / m) as e from k)
+select 'uniform' as family, max(n) as n, round(max(cc / n - u), 8) as positive, round(min((cc - c) / n - u), 8) as negative from f union all select 'exponential', max(n), round(max(cc / n - e), 8), round(min((cc - c) / n - e), 8) from f""")
+def ks_families(spark, d):
+    f = frame(spark, d, "lineitem")
+    one = lambda k: inference.ks_one_sample(f, "l_extendedprice", k).select(F.lit(k).alias("family"), "n", F.round("positive", 8).alias("positive"), F.round("negative", 8).alias("negative"))
+    return one("uniform").unionByName(one("exponential"))

@@ -311,3 +311,24 @@ def test_loops_of_several_variables(spark):
     down = f.loop_many({"a": F.lit(0.0)}, lambda s, i: {"a": s["a"] * 10 + i}, start=5, stop=1, by=-2, until=lambda s, i: i == 3)
     assert {r["a"] for r in down.df.collect()} == {53.0}
     assert {r["a"] for r in f.loop_many({"a": F.lit(0.0)}, lambda s, i: {"a": s["a"] + 1}, most=7).df.collect()} == {7.0}
+
+
+def test_studentized_range(spark):
+    """Against published 5 % points of the studentized range, and the t distribution for two means."""
+    for q, k, df in ((3.577935, 3, 20), (3.877676, 3, 10), (3.977, 5, 60), (3.314493, 3, 1e9), (4.327, 4, 10)):
+        assert 1 - S.studentized_range_cdf(q, k, df) == pytest.approx(0.05, abs=2e-4)
+    assert 1 - S.studentized_range_cdf(2.5, 2, 7) == pytest.approx(S.t_two_sided(2.5 / math.sqrt(2), 7), abs=1e-7)
+    rows_ = [(v, g) for g, vs in enumerate(([1, 2, 3, 4], [3, 5, 6, 9], [2, 2, 8, 9])) for v in vs]
+    frame = Frame(spark.createDataFrame([(float(v), g) for v, g in rows_], "x double, g int"))
+    for r in inference.post_hoc(frame, "x", "g").collect():
+        assert r["lsd"] <= r["tukey"] <= r["scheffe"] + 1e-9 and r["tukey"] <= r["bonferroni"] and 0 < r["games_howell"] < 1
+
+
+def test_kolmogorov_smirnov_families(spark):
+    frame = Frame(spark.createDataFrame([(float(v),) for v in (0, 1, 1, 2, 3, 3, 4, 6)], "x double"))
+    got = inference.ks_one_sample(frame, "x", "poisson", 2.5).first()
+    cdf = lambda k: sum(math.exp(-2.5) * 2.5**j / math.factorial(j) for j in range(int(k) + 1)) if k >= 0 else 0.0
+    seen = {0: 1, 1: 3, 2: 4, 3: 6, 4: 7, 6: 8}
+    assert got["positive"] == pytest.approx(max(n / 8 - cdf(v) for v, n in seen.items()))
+    assert got["negative"] == pytest.approx(min(b / 8 - cdf(v - 1) for v, b in zip(seen, [0, 1, 3, 4, 6, 7], strict=True)))
+    assert inference.ks_one_sample(frame, "x", "uniform", 0.0, 6.0).first()["d"] == pytest.approx(5.0 / 24 + 0, abs=0.2) and S.smirnov_tail(1.3581) == pytest.approx(0.05, abs=1e-4)
