@@ -79,10 +79,19 @@ def predict(frame: Frame, fit: dict, into: str = "pred", residual: tuple[str, st
     return out.withColumn(residual[0], frame.valid(residual[1]) - F.col(into)) if residual else out
 
 
-def logistic(frame: Frame, y: str, xs: list[str], rounds: int = 20, tolerance: float = 1e-8) -> dict:
-    """Binary logit by Newton steps; each is one aggregation of gradient and Hessian."""
-    cases = _complete(frame, [y, *xs]).persist()
-    terms = [F.lit(1.0), *[frame.valid(x).cast("double") for x in xs]]
+def indicators(frame: Frame, name: str, most: int = 1000) -> list[tuple[str, Column]]:
+    """(label, 0/1 column) of each value of a categorical variable but the last, which is the reference."""
+    values = [r[0] for r in frame.cases().select(frame.valid(name).alias("v")).where("v is not null").distinct().orderBy("v").limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{name} has more than {most} values")
+    return [(f"{name}({v})", (frame.valid(name) == v).cast("double")) for v in values[:-1]]
+
+
+def logistic(frame: Frame, y: str, xs: list[str], rounds: int = 20, tolerance: float = 1e-8, categorical: list[str] = ()) -> dict:
+    """Binary logit by Newton steps; each is one aggregation of gradient and Hessian. Categorical predictors become indicators of all values but the last."""
+    cases = _complete(frame, [y, *xs])
+    coded = [t for x in xs for t in (indicators(frame, x) if x in categorical else [(x, frame.valid(x).cast("double"))])]
+    terms, xs = [F.lit(1.0), *[c for _, c in coded]], [n for n, _ in coded]
     w, target = F.col("__w"), frame.valid(y).cast("double")
     b = np.zeros(len(terms))
     for _ in range(rounds):
@@ -98,10 +107,16 @@ def logistic(frame: Frame, y: str, xs: list[str], rounds: int = 20, tolerance: f
         b = b + step
         if np.abs(step).max() < tolerance:
             break
-    cases.unpersist()
     se = np.sqrt(np.diag(inverse))
     wald = np.array([(v / e) ** 2 if e else math.nan for v, e in zip(b, se, strict=True)])
-    return {"terms": ["Constant", *xs], "b": b, "se": se, "wald": wald, "p": np.array([1 - S.chisq_cdf(v, 1) if v == v else v for v in wald]), "exp_b": np.exp(b), "minus_2ll": -2 * row["ll"]}
+    return {"terms": ["Constant", *xs], "b": b, "se": se, "wald": wald, "p": np.array([1 - S.chisq_cdf(v, 1) if v == v else v for v in wald]), "exp_b": np.exp(b), "minus_2ll": -2 * row["ll"], "columns": terms}
+
+
+def classification(frame: Frame, fit: dict, y: str, names: list[str], cut: float = 0.5) -> DataFrame:
+    """observed, predicted (probability above ``cut``) and weight of the complete cases of a logistic fit."""
+    eta = reduce(lambda a, c: a + c, [t * float(v) for t, v in zip(fit["columns"], fit["b"], strict=True)])
+    p = 1 / (1 + F.exp(-eta))
+    return _complete(frame, [y, *names]).groupBy(frame.valid(y).alias("observed"), (p > cut).cast("int").alias("predicted")).agg(F.sum("__w").alias("n"))
 
 
 def glm(frame: Frame, y: str, factors: list[str], interactions: list[tuple[str, ...]] = (), kind: int = 3) -> dict[str, tuple[float, float, float]]:
@@ -183,23 +198,46 @@ def factor(frame: Frame, names: list[str], extraction: str = "pc", min_eigen: fl
     kmo = (r[off] ** 2).sum() / ((r[off] ** 2).sum() + (partial[off] ** 2).sum())
     gamma = {"varimax": 1.0, "quartimax": 0.0, "equamax": k / 2}.get(rotation or "")
     rotated = rotate(loadings, gamma) if gamma is not None and k > 1 else loadings
-    return {"eigenvalues": values, "loadings": loadings, "rotated": rotated, "communalities": (loadings**2).sum(1), "kmo": kmo, "n": n}
+    out = {"eigenvalues": values, "percent": 100 * values / len(r), "loadings": loadings, "rotated": rotated, "communalities": (loadings**2).sum(1), "kmo": kmo, "n": n}
+    if rotation == "promax" and k > 1:
+        out["rotated"], out["structure"], out["factor_correlations"] = promax(loadings)
+    return out
+
+
+def promax(loadings: np.ndarray, power: float = 4.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pattern, structure, factor correlations): an oblique rotation of varimax loadings towards their powers."""
+    start = rotate(loadings, 1.0)
+    norm = np.sqrt((start**2).sum(1, keepdims=True))
+    a = start / norm
+    target = a * np.abs(a) ** (power - 1)
+    turn = np.linalg.lstsq(a, target, rcond=None)[0]
+    turn = turn * np.sqrt(np.diag(np.linalg.inv(turn.T @ turn)))  # factors of variance 1
+    pattern = a @ turn * norm
+    inverse = np.linalg.inv(turn)
+    between = inverse @ inverse.T
+    return pattern, pattern @ between, between
 
 
 def rotate(loadings: np.ndarray, gamma: float, rounds: int = 100) -> np.ndarray:
-    """Orthomax rotation by singular value decompositions of the criterion's gradient."""
+    """Orthomax rotation with Kaiser's weights: each pair of factors is turned by the angle that maximises the criterion in their plane.
+
+    As complex numbers z = (x + iy)^2 of a pair, the criterion depends on the angle through the real part of a quartic moment's phase.
+    """
     h = np.sqrt((loadings**2).sum(1, keepdims=True))
     a = loadings / h
     p, k = a.shape
-    turn, last = np.eye(k), 0.0
     for _ in range(rounds):
-        b = a @ turn
-        u, s, vt = np.linalg.svd(a.T @ (b**3 - gamma / p * b * (b**2).sum(0)))
-        turn = u @ vt
-        if s.sum() < last * (1 + 1e-12):
+        most = 0.0
+        for i in range(k):
+            for j in range(i + 1, k):
+                z = (a[:, i] + 1j * a[:, j]) ** 2
+                angle = np.angle((z**2).sum() - gamma / p * z.sum() ** 2) / 4
+                turned = (a[:, i] + 1j * a[:, j]) * np.exp(-1j * angle)
+                a[:, i], a[:, j] = turned.real, turned.imag
+                most = max(most, abs(angle))
+        if most < 1e-10:
             break
-        last = s.sum()
-    return a @ turn * h
+    return a * h
 
 
 def reliability(frame: Frame, names: list[str]) -> DataFrame:
@@ -215,6 +253,29 @@ def reliability(frame: Frame, names: list[str]) -> DataFrame:
     return out.select("n", (k / (k - 1) * (1 - F.try_divide(parts, F.col("vt")))).alias("alpha"))
 
 
+def reliability_items(frame: Frame, names: list[str]) -> DataFrame:
+    """A row an item: mean and variance of the scale without it, its correlation with the rest, and alpha without it; one pass over complete cases."""
+    from quillstat.operators.aggregate import moments
+
+    cases, k = _complete(frame, names), len(names)
+    x = {v: frame.valid(v).cast("double") for v in names}
+    add = lambda a, b: a + b
+    total = reduce(add, x.values())
+    aggs = []
+    for i, v in enumerate(names):
+        rest, own, whole = moments(frame, total - x[v]), moments(frame, x[v]), moments(frame, total)
+        aggs += [rest["mean"].alias(f"m{i}"), rest["variance"].alias(f"r{i}"), own["variance"].alias(f"v{i}")]
+    one = cases.agg(*aggs, whole["variance"].alias("t"))
+    every = reduce(add, [F.col(f"v{i}") for i in range(k)])
+    rows = []
+    for i, v in enumerate(names):
+        rest, own = F.col(f"r{i}"), F.col(f"v{i}")
+        r = F.try_divide(F.col("t") - rest - own, 2 * F.sqrt(rest * own))
+        alpha = (k - 1) / (k - 2) * (1 - F.try_divide(every - own, rest)) if k > 2 else F.lit(None).cast("double")
+        rows.append(F.struct(F.lit(v).alias("item"), F.col(f"m{i}").alias("mean_if_deleted"), rest.alias("variance_if_deleted"), r.alias("item_total_r"), alpha.alias("alpha_if_deleted")))
+    return one.select(F.inline(F.array(*rows)))
+
+
 def split_half(frame: Frame, first: list[str], second: list[str]) -> DataFrame:
     from quillstat.operators.aggregate import moments
 
@@ -258,7 +319,7 @@ def roc_coordinates(frame: Frame, x: str, state: str, positive) -> DataFrame:
 
 def quick_cluster(frame: Frame, names: list[str], k: int, rounds: int = 10) -> tuple[np.ndarray, DataFrame]:
     """k-means from rows of the identity matrix, ties to the lowest cluster; centres in order of the first variable, and the cases with their cluster."""
-    cases = _complete(frame, names).persist()
+    cases = _complete(frame, names)
     centres = np.eye(k, len(names))
     xs = [frame.valid(v).cast("double") for v in names]
 
@@ -277,6 +338,5 @@ def quick_cluster(frame: Frame, names: list[str], k: int, rounds: int = 10) -> t
         if np.allclose(fresh, centres, rtol=0, atol=1e-12):
             break
         centres = fresh
-    cases.unpersist()
     centres = centres[np.argsort(centres[:, 0], kind="stable")]
     return centres, frame.df.withColumn("cluster", nearest(centres) + 1)

@@ -240,3 +240,18 @@ def ks_families(spark, d):
     f = frame(spark, d, "lineitem")
     one = lambda k: inference.ks_one_sample(f, "l_extendedprice", k).select(F.lit(k).alias("family"), "n", F.round("positive", 8).alias("positive"), F.round("negative", 8).alias("negative"))
     return one("uniform").unionByName(one("exponential"))
+
+
+@query("""with c as (select l_quantity as a, l_discount * 100 as b, l_tax * 100 as c from lineitem), v as (select var_samp(a) as va, var_samp(b) as vb, var_samp(c) as vc, var_samp(b + c) as ra, var_samp(a + c) as rb, var_samp(a + b) as rc, avg(b + c) as ma, avg(a + c) as mb, avg(a + b) as mc, corr(a, b + c) as ka, corr(b, a + c) as kb, corr(c, a + b) as kc from c)
+select 'a' as item, round(ma, 6) as mean_if_deleted, round(ra, 6) as variance_if_deleted, round(ka, 8) as item_total_r, round(2 * (1 - (vb + vc) / ra), 8) as alpha_if_deleted from v union all select 'b', round(mb, 6), round(rb, 6), round(kb, 8), round(2 * (1 - (va + vc) / rb), 8) from v union all select 'c', round(mc, 6), round(rc, 6), round(kc, 8), round(2 * (1 - (va + vb) / rc), 8) from v""")
+def reliability_items(spark, d):
+    f = frame(spark, d, "lineitem").compute("a", F.col("l_quantity")).compute("b", F.col("l_discount") * 100).compute("c", F.col("l_tax") * 100)
+    out = models.reliability_items(f, ["a", "b", "c"])
+    return out.select("item", F.round("mean_if_deleted", 6).alias("mean_if_deleted"), F.round("variance_if_deleted", 6).alias("variance_if_deleted"), F.round("item_total_r", 8).alias("item_total_r"), F.round("alpha_if_deleted", 8).alias("alpha_if_deleted"))
+
+
+@query("""with c as (select (l_discount > .05)::int as y, l_returnflag as g from lineitem), r as (select avg(y) filter (g = 'R') as p from c), n as (select g, avg(y) as p from c group by g) select 'Constant' as term, round(ln(p / (1 - p)), 6) as b from r union all select 'l_returnflag(' || g || ')', round(ln(n.p / (1 - n.p)) - ln(r.p / (1 - r.p)), 6) from n, r where g <> 'R'""")
+def logistic_categorical(spark, d):
+    f = frame(spark, d, "lineitem").compute("y", (F.col("l_discount") > 0.05).cast("double"))
+    fit = models.logistic(f, "y", ["l_returnflag"], categorical=["l_returnflag"])
+    return spark.createDataFrame([(t, round(float(b), 6)) for t, b in zip(fit["terms"], fit["b"], strict=True)], "term string, b double")

@@ -332,3 +332,35 @@ def test_kolmogorov_smirnov_families(spark):
     assert got["positive"] == pytest.approx(max(n / 8 - cdf(v) for v, n in seen.items()))
     assert got["negative"] == pytest.approx(min(b / 8 - cdf(v - 1) for v, b in zip(seen, [0, 1, 3, 4, 6, 7], strict=True)))
     assert inference.ks_one_sample(frame, "x", "uniform", 0.0, 6.0).first()["d"] == pytest.approx(5.0 / 24 + 0, abs=0.2) and S.smirnov_tail(1.3581) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_promax_and_classification(spark):
+    rng = np.random.default_rng(4)
+    f = rng.normal(size=(400, 2)) @ np.array([[1, 0.4], [0, 0.9]])
+    x = np.hstack([f[:, [0]] + 0.4 * rng.normal(size=(400, 3)), f[:, [1]] + 0.4 * rng.normal(size=(400, 3))])
+    names = [f"v{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    fit = models.factor(Frame(df), names, rotation="promax")
+    pattern, between = fit["rotated"], fit["factor_correlations"]
+    assert pattern.shape == (6, 2) and np.allclose(np.diag(between), 1) and abs(between[0, 1]) > 0.15
+    assert np.allclose(pattern @ between @ pattern.T, fit["loadings"] @ fit["loadings"].T, atol=1e-8)
+    for name, gamma in (("varimax", 1.0), ("quartimax", 0.0)):
+        turned = models.rotate(fit["loadings"], gamma)
+        weight = np.sqrt((turned**2).sum(1, keepdims=True))
+        value = lambda b: (b**4).sum() - gamma / len(b) * ((b**2).sum(0) ** 2).sum()
+        best = max(value(turned / weight @ np.array([[math.cos(t), -math.sin(t)], [math.sin(t), math.cos(t)]])) for t in np.linspace(0, math.pi, 721))
+        assert value(turned / weight) >= best - 1e-9, name
+    big = np.abs(pattern).argmax(1)
+    assert len(set(big[:3])) == len(set(big[3:])) == 1 and big[0] != big[3] and np.abs(np.sort(np.abs(pattern), axis=1)[:, 0]).max() < 0.15
+    rows_ = [(float(i), "a" if i % 3 else "b", int(i + (i % 4) * 3 > 20)) for i in range(40)]
+    frame = Frame(spark.createDataFrame(rows_, "x double, g string, y int"))
+    fit = models.logistic(frame, "y", ["x", "g"], categorical=["g"])
+    assert fit["terms"] == ["Constant", "x", "g(a)"]
+    eta = [fit["b"][0] + fit["b"][1] * x + fit["b"][2] * (g == "a") for x, g, _ in rows_]
+    # At the maximum the fitted probabilities sum to the successes, in all and for each group.
+    p = [1 / (1 + math.exp(-e)) for e in eta]
+    assert sum(p) == pytest.approx(sum(y for _, _, y in rows_), abs=1e-5)
+    want = {}
+    for e, (_, _, y) in zip(eta, rows_, strict=True):
+        want[y, int(e > 0)] = want.get((y, int(e > 0)), 0) + 1
+    assert {(r["observed"], r["predicted"]): r["n"] for r in models.classification(frame, fit, "y", ["x", "g"]).collect()} == want
