@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.frame import Frame
-from quillstat.functions.special import chisq_cdf, distribution
+from quillstat.functions.special import chisq_cdf, distribution, normal_inverse
 
 #: Most cells of a table that statistics are computed of; a table is bounded by its variables' values, not by cases.
 CELLS = 250_000
@@ -61,10 +61,16 @@ def table(frame: Frame, row: str, column: str) -> np.ndarray:
     return out
 
 
-def association(t: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> dict[str, float]:
-    """Ordinal, nominal and numeric measures of a table; x and y are the row and column values (default 0, 1, ...)."""
+def association(t: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None, same: bool = True, confidence: float = 0.95) -> dict[str, float]:
+    """Ordinal, nominal and numeric measures of a table; x and y are the row and column values (default 0, 1, ...).
+
+    ``same`` tells whether rows and columns have the same categories, without which there is no kappa. A
+    table of one row or one column has no statistics.
+    """
     n, r, c = t.sum(), t.sum(1), t.sum(0)
     rows, cols = t.shape
+    if rows < 2 or cols < 2:
+        return {}
     x = np.arange(rows, dtype=float) if x is None else np.asarray(x, float)
     y = np.arange(cols, dtype=float) if y is None else np.asarray(y, float)
     below = np.zeros((rows + 1, cols + 1))
@@ -92,14 +98,23 @@ def association(t: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None
         "uncertainty": 2 * (hx + hy - hxy) / (hx + hy), "uncertainty_row": (hx + hy - hxy) / hx, "uncertainty_column": (hx + hy - hxy) / hy,
         "eta_row": math.sqrt(max(0.0, 1 - sum((t[:, k] @ x**2) - (t[:, k] @ x) ** 2 / c[k] for k in range(cols)) / sxx)), "eta_column": math.sqrt(max(0.0, 1 - sum((t[k] @ y**2) - (t[k] @ y) ** 2 / r[k] for k in range(rows)) / syy)),
     }
-    if rows == cols:
+    if rows == cols and same and (r @ c) < n**2:
         po, pe = np.trace(t) / n, (r @ c) / n**2
         out["kappa"] = (po - pe) / (1 - pe)
     if t.shape == (2, 2):
         (a, b), (d, e) = t
         out["yates"] = max(abs(a * e - b * d) - n / 2, 0) ** 2 * n / (r.prod() * c.prod())
         out["odds_ratio"] = a * e / (b * d) if b * d else math.inf
-        out["fisher_two_sided"] = fisher(t)
+        z = normal_inverse(0.5 + confidence / 2)
+        cohorts = [("risk_first", a, b, d, e), ("risk_second", b, a, e, d)]
+        for name, hit, miss, hit2, miss2 in cohorts:
+            if hit and hit2:
+                ratio, se = hit * (hit2 + miss2) / (hit2 * (hit + miss)), math.sqrt(miss / (hit * (hit + miss)) + miss2 / (hit2 * (hit2 + miss2)))
+                out |= {name: ratio, f"{name}_low": ratio * math.exp(-z * se), f"{name}_high": ratio * math.exp(z * se)}
+        if min(a, b, d, e):
+            se = math.sqrt(1 / a + 1 / b + 1 / d + 1 / e)
+            out |= {"odds_ratio_low": out["odds_ratio"] * math.exp(-z * se), "odds_ratio_high": out["odds_ratio"] * math.exp(z * se)}
+        out["fisher_two_sided"], out["fisher_one_sided"] = fisher(t), fisher(t, False)
         out["mcnemar"] = (abs(b - d) - 1) ** 2 / (b + d) if b + d else math.nan
     pe = np.outer(r, c) / n
     out["pearson"] = ((t - pe) ** 2 / pe).sum()
@@ -107,10 +122,13 @@ def association(t: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None
     return out
 
 
-def fisher(t: np.ndarray) -> float:
-    """Two-sided exact probability of a 2 x 2 table: all tables no likelier than the one seen."""
+def fisher(t: np.ndarray, two_sided: bool = True) -> float:
+    """Exact probability of a 2 x 2 table: of all tables no likelier than the one seen, or of the lesser tail with it."""
     (a, b), (c, d) = t.astype(int)
     r, k, n = a + b, a + c, a + b + c + d
     prob = lambda x: math.comb(k, x) * math.comb(n - k, r - x) / math.comb(n, r)
     seen = prob(a)
+    least, most = max(0, r + k - n), min(r, k)
+    if not two_sided:
+        return min(1.0, sum(map(prob, range(least, a + 1))), sum(map(prob, range(a, most + 1))))
     return min(1.0, sum(p for x in range(max(0, r + k - n), min(r, k) + 1) if (p := prob(x)) <= seen * (1 + 1e-9)))

@@ -364,3 +364,12 @@ def test_promax_and_classification(spark):
     for e, (_, _, y) in zip(eta, rows_, strict=True):
         want[y, int(e > 0)] = want.get((y, int(e > 0)), 0) + 1
     assert {(r["observed"], r["predicted"]): r["n"] for r in models.classification(frame, fit, "y", ["x", "g"]).collect()} == want
+
+
+def test_small_tables():
+    """The tea table: exact tails are binomial coefficients over 70; risks against their formulas."""
+    t = crosstabs.association(np.array([[3.0, 1.0], [1.0, 3.0]]))
+    assert t["fisher_two_sided"] == pytest.approx(34 / 70) and t["fisher_one_sided"] == pytest.approx(17 / 70) and t["odds_ratio"] == 9 and t["kappa"] == pytest.approx(0.5)
+    assert t["risk_first"] == pytest.approx(3) and t["risk_first_low"] == pytest.approx(3 * math.exp(-1.959964 * math.sqrt(1 / 12 + 3 / 4)), rel=1e-5)
+    assert t["odds_ratio_high"] == pytest.approx(9 * math.exp(1.959964 * math.sqrt(8 / 3)), rel=1e-5)
+    assert crosstabs.association(np.array([[3.0, 4.0]])) == {} and "kappa" not in crosstabs.association(np.array([[3.0, 1.0], [1.0, 3.0]]), same=False)
