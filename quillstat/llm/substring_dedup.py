@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.llm import _words as W
-from quillstat.llm._tables import BROADCAST_ROWS, discard, forget, new_path, small, store
+from quillstat.llm._tables import BROADCAST_ROWS, arrow_batches, discard, forget, new_path, small, store
 
 WINDOW = 35
 ANCHOR = 12
@@ -39,6 +39,8 @@ BROADCAST_FINGERPRINTS = 2_000_000
 PACKED = 256
 #: Bytes of a window's key: a 64-bit hash and, of hot fingerprints, 32 bits of a second one.
 KEY, HOT_KEY = 8, 12
+#: Texts that a task sends to Python at once.
+ROWS = 1_000
 #: Runs above which the index merges them all into one.
 FAN_IN = 2
 
@@ -350,7 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = []
     for k in range(batches):
         part = base.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k)
-        found.append(own.ingest(fingerprint_counts(part, "text", window, anchor)))
+        with arrow_batches(spark, ROWS):
+            found.append(own.ingest(fingerprint_counts(part, "text", window, anchor)))
         own.compact()
     if index is None:
         forget(own.path, spark)
@@ -359,10 +362,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A fingerprint that recurs is found by the last batch that holds it, with its whole number.
     recurring = store(reduce(DataFrame.unionByName, found).groupBy("fp").agg(F.max("n").alias("n")), "recurring")
     discard(*found)
-    spans = repeated_spans(every, recurring, window, anchor)
+    with arrow_batches(spark, ROWS):
+        spans = repeated_spans(every, recurring, window, anchor)
     words = F.collect_list(F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("start").cast("long") + F.col("count") + (window - 1)))
     spans = spans.groupBy(F.col("id").alias("sid"), F.col("tk").alias("stk")).agg(words.alias("spans"))
-    spans = store(spans.mapInArrow(_merged, f"sid {id_type}, stk int, spans array<long>"), "doc-spans")
+    with arrow_batches(spark, ROWS):
+        spans = store(spans.mapInArrow(_merged, f"sid {id_type}, stk int, spans array<long>"), "doc-spans")
     discard(recurring)
     n, values = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     side = F.broadcast(spans) if n <= BROADCAST_ROWS and values <= 4 * BROADCAST_ROWS else spans
