@@ -101,7 +101,8 @@ SPECIAL = [
 @query("with c as (select p_partkey, p_size::double as x, p_size::double as k, p_size / 51.0::double as u from part) select p_partkey, " + ", ".join(f"round(({sql})::double, 6) as {name.replace('.', '_')}" for name, _, _, sql in SPECIAL) + " from c")
 def special_distributions(spark, d):
     of = {"x": F.col("p_size").cast("double"), "k": F.col("p_size").cast("double"), "u": F.col("p_size") / 51.0}
-    return frame(spark, d, "part").df.select("p_partkey", *[F.round(distribution(name, of[arg], *map(F.lit, a)), 6).alias(name.replace(".", "_")) for name, arg, a, _ in SPECIAL])
+    part = frame(spark, d, "part").df.select("p_partkey", "p_size").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")  # a table of few file splits would keep few cores busy
+    return part.select("p_partkey", *[F.round(distribution(name, of[arg], *map(F.lit, a)), 6).alias(name.replace(".", "_")) for name, arg, a, _ in SPECIAL])
 
 
 @query("""select s_suppkey, case when s_acctbal > 5000 then 2.0 when s_acctbal > 0 then 1.0 else 0.0 end as band, (s_acctbal is null)::int::double as gone, s_nationkey as nation, case when s_acctbal between -500 and 0 then null else s_acctbal end as seen, case when s_nationkey = 3 then 'three' else '' end as lab from supplier""")

@@ -246,6 +246,37 @@ def test_more_distributions(spark):
         assert value(f"pdf.{name}", x, *a) == pytest.approx((value(f"cdf.{name}", x + 1e-5, *a) - value(f"cdf.{name}", x - 1e-5, *a)) / 2e-5, rel=1e-5)
 
 
+def test_kernels_run_once_for_each_distinct_row(spark, monkeypatch):
+    """Rows that repeat cost no further evaluation, in one batch or the next, and keep their places among missing ones."""
+    calls, kernel = [], S.KERNELS["cdf.hyper"]
+    monkeypatch.setitem(S.KERNELS, "cdf.hyper", lambda *row: calls.append(row) or kernel(*row))
+    S.value.cache_clear()
+    k = np.array([3.0, np.nan, 1.0, 3.0, 2.0, 1.0, np.inf, -0.0] * 5000)
+    drawn = np.array([4.0, 4.0, 4.0, 4.0, 4.0, 5.0, 4.0, 4.0] * 5000)
+    args = (k, np.full(len(k), 10.0), np.full(len(k), 6.0), drawn)
+    for _ in range(2):
+        got = S.evaluate("cdf.hyper", *args)
+        assert len(calls) == len(set(calls)) == 5
+        want = [kernel(*row) if math.isfinite(row[0]) else math.nan for row in zip(*[a[:8].tolist() for a in args], strict=True)]
+        assert np.array_equal(got, np.array(want * 5000), equal_nan=True)
+    S.value.cache_clear()
+    # Out of the domain, all missing, constant, and no rows.
+    assert np.isnan(S.evaluate("pdf.log", np.array([0.0, -1.0]), np.array([0.5, 2.0]))).all() and np.isnan(S.evaluate("idf.t", np.array([np.nan]), np.array([1.0]))).all()
+    assert S.evaluate("lngamma", np.array([3.0, 3.0])).tolist() == [math.lgamma(3.0)] * 2 and len(S.evaluate("lngamma", np.zeros(0))) == 0
+    rows = spark.createDataFrame([(1, 2.0, 4.0), (2, None, 4.0), (3, 2.0, 4.0), (4, 2.0, None), (5, 3.0, 4.0), (6, 2.0, 0.0)], "i int, x double, d double")
+    got = [r[0] for r in rows.coalesce(1).select(S.distribution("cdf.chisq", F.col("x"), F.col("d")).alias("p"), "i").orderBy("i").collect()]
+    assert got == [S.chisq_cdf(2.0, 4.0), None, S.chisq_cdf(2.0, 4.0), None, S.chisq_cdf(3.0, 4.0), None]
+
+
+def test_special_distributions_use_all_cores(spark, tmp_path):
+    """A table of one file split is dealt over several tasks."""
+    from quillstat.plans.functions import special_distributions
+
+    spark.range(4000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = special_distributions(spark, str(tmp_path)).select("p_partkey", "lngamma", F.spark_partition_id().alias("task"))
+    assert out.agg(F.count("*"), F.countDistinct("p_partkey"), F.countDistinct("task")).first()[:] == (4000, 4000, 2 * spark.sparkContext.defaultParallelism)
+
+
 def test_random_variates_have_their_medians(spark):
     n = 4000
     cases = (("beta", (2, 3), 0.38573), ("chisq", (5,), 4.35146), ("f", (4, 7), 0.92619), ("gamma", (3, 2), 1.33703), ("t", (4,), 0.0), ("lnormal", (2, 0.5), 2.0), ("landau", (), 1.35578), ("levy", (1, 1.5), 0.0), ("lvskew", (1, 2, 0), 0.0), ("xpower", (1, 2), 0.0), ("ntail", (1, 1), 1.41), ("rtail", (1, 1), 1.5448))
